@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontam, mixing, sharding
 
 QUERIES = {
+    "op2_decontaminate": decontam.query,
     "op9_source_mix": mixing.query,
     "op10_shard_splitters": sharding.query,
 }
 ORACLE_SQL = {
+    "op2_decontaminate": decontam.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_shard_splitters": sharding.ORACLE,
 }
