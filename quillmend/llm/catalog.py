@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding
+from . import decontam, langid, mixing, sharding, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontam.query,
+    "op5_language": langid.query,
+    "op6_toxicity": toxicity.query,
     "op9_source_mix": mixing.query,
     "op10_shard_splitters": sharding.query,
 }
