@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, sharding, toxicity
+from . import decontam, langid, mixing, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontam.query,
     "op5_language": langid.query,
     "op6_toxicity": toxicity.query,
+    "op8_secrets": secrets.query,
     "op9_source_mix": mixing.query,
     "op10_shard_splitters": sharding.query,
 }
