@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, secrets, sharding, toxicity
+from . import decontam, fingerprints, langid, mixing, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontam.query,
+    "op4_fingerprints": fingerprints.query,
     "op5_language": langid.query,
     "op6_toxicity": toxicity.query,
     "op8_secrets": secrets.query,
