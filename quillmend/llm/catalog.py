@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, langid, mixing, secrets, sharding, toxicity
+from . import decontam, fingerprints, langid, mixing, neardup, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_near_duplicates": neardup.query,
     "op2_decontaminate": decontam.query,
     "op4_fingerprints": fingerprints.query,
     "op5_language": langid.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_shard_splitters": sharding.query,
 }
 ORACLE_SQL = {
+    "op1_near_duplicates": neardup.ORACLE,
     "op2_decontaminate": decontam.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_shard_splitters": sharding.ORACLE,
