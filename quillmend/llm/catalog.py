@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, langid, mixing, neardup, secrets, sharding, toxicity
+from . import decontam, fingerprints, langid, mixing, neardup, secrets, sharding, suffixdedup, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints.query,
     "op5_language": langid.query,
     "op6_toxicity": toxicity.query,
+    "op7_suffix_dedup": suffixdedup.query,
     "op8_secrets": secrets.query,
     "op9_source_mix": mixing.query,
     "op10_shard_splitters": sharding.query,
