@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, langid, mixing, neardup, secrets, sharding, suffixdedup, toxicity
+from . import decontam, fingerprints, langid, linechunks, mixing, neardup, secrets, sharding, suffixdedup, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.query,
     "op2_decontaminate": decontam.query,
+    "op3_line_chunks": linechunks.query,
     "op4_fingerprints": fingerprints.query,
     "op5_language": langid.query,
     "op6_toxicity": toxicity.query,
