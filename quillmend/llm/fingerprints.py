@@ -16,13 +16,15 @@ from . import common, splitters
 
 #: A paragraph is a line; longer lines are cut every so many code points.
 LONGEST_PARAGRAPH = 256
-#: A block has three tables of so many cells, for about so many digests of either text.
-CELLS, DIGESTS_PER_BLOCK = 16, 8
+#: A block has three tables of so many cells, for about so many digests of either text. Only cells that
+#: aren't empty are kept, so room costs nothing.
+CELLS, DIGESTS_PER_BLOCK = 128, 64
 #: Tries; each has twice the blocks of the one before.
 TRIES = 12
 
-_CELL = "struct<c:int,k:bigint,h:bigint>"
+_CELL = "struct<i:int,c:int,k:bigint,h:bigint>"
 _PEELED = "struct<p:bigint,s:int>"
+_NONE = f"cast(array() as array<{_CELL}>)"
 
 
 def digests(text: str) -> Column:
@@ -41,44 +43,54 @@ def _blocks_for(n: str) -> str:
 
 
 def _in_blocks(units: list[str], blocks: str, body: str) -> str:
-    """``body`` for each block 0 to ``blocks`` - 1, with ``v0``, ``v1``, ... bound to the digests that fall in it.
+    """``body`` for each block 0 to ``blocks`` - 1, with ``$0``, ``$1``, ... standing for the digests that fall in it.
 
     Two levels, so that a long text isn't read once for each block.
     """
     pairs = lambda xs: "named_struct(" + ", ".join(f"'v{i}', {x}" for i, x in enumerate(xs)) + ")"
-    coarse = f"cast(sqrt({blocks}) as int)"
-    inner = [f"filter(gg.v{i}, u -> shiftrightunsigned(u, 0) & (nb - 1) = g0 + b1 * ng)" for i in range(len(units))]
+    inner = [f"if(nb = 1, gg.v{i}, filter(gg.v{i}, u -> (u & (nb - 1)) = g0 + b1 * ng))" for i in range(len(units))]
     fields = body
     for i in range(len(units)):
         fields = fields.replace(f"${i}", f"bb.v{i}")
     fine = f"transform(sequence(0, nb div ng - 1), b1 -> {_let('bb', pairs(inner), fields)})"
-    outer = [f"filter({u}, u -> u & (ng - 1) = g0)" for u in units]
+    outer = [f"if(ng = 1, {u}, filter({u}, u -> (u & (ng - 1)) = g0))" for u in units]
     grouped = f"transform(sequence(0, ng - 1), g0 -> {_let('gg', pairs(outer), fine)})"
-    power = f"cast(power(2, floor(log2({coarse}))) as int)"
-    return _let("nb", f"cast({blocks} as int)", _let("ng", power.replace(blocks, "nb"), f"flatten({grouped})"))
+    return _let("nb", f"cast({blocks} as int)", _let("ng", "cast(power(2, floor(log2(sqrt(nb)))) as int)", f"flatten({grouped})"))
+
+
+def _merged(cells: str) -> str:
+    """Cells by place, those of one place added up, without the empty ones."""
+    push = "if(a.l.i < 0 or (a.l.c = 0 and a.l.k = 0 and a.l.h = 0), a.o, concat(a.o, array(a.l)))"
+    add = "named_struct('o', a.o, 'l', named_struct('i', e.i, 'c', a.l.c + e.c, 'k', a.l.k ^ e.k, 'h', a.l.h ^ e.h))"
+    start = f"named_struct('o', {_NONE}, 'l', named_struct('i', -1, 'c', 0, 'k', 0L, 'h', 0L))"
+    return f"aggregate(array_sort({cells}), {start}, (a, e) -> if(a.l.i = e.i, {add}, named_struct('o', {push}, 'l', e)), a -> {push})"
+
+
+def _places(h: str) -> list[str]:
+    """The three cells of a check hash."""
+    return [f"cast((shiftrightunsigned({h}, {8 * j}) & {CELLS - 1}) + {CELLS * j} as int)" for j in range(3)]
 
 
 def _table(units: str, salt: str) -> str:
     """The cells of one block."""
+    three = ", ".join(f"named_struct('i', {p}, 'c', 1, 'k', e.k, 'h', e.x)" for p in _places("e.x"))
     entries = f"transform({units}, u -> named_struct('k', u, 'x', xxhash64(u, {salt})))"
-    cell = (
-        f"aggregate(es, named_struct('c', 0, 'k', 0L, 'h', 0L), (a, e) -> if((shiftrightunsigned(e.x, sh) & {CELLS - 1}) = i,"
-        " named_struct('c', a.c + 1, 'k', a.k ^ e.k, 'h', a.h ^ e.x), a))"
-    )
-    return _let("es", entries, f"flatten(transform(array(0, 8, 16), sh -> transform(sequence(0, {CELLS - 1}), i -> {cell})))")
+    return _merged(f"flatten(transform({entries}, e -> array({three})))")
+
+
+def _negative(cells: str) -> str:
+    return f"transform({cells}, c -> named_struct('i', c.i, 'c', -c.c, 'k', c.k, 'h', c.h))"
 
 
 def _peel(cells: str, salt: str) -> str:
     """A struct of o (the digests found, with the side that has them: 1 or -1) and ok (nothing is left)."""
     pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 and xxhash64(c.k, {salt}) = c.h), c -> named_struct('k', c.k, 'h', c.h, 's', c.c)))"
-    without = (
-        f"transform(s.cells, (c, i) -> aggregate(ps, c, (a, p) -> if((shiftrightunsigned(p.h, 8 * (i div {CELLS})) & {CELLS - 1}) = i % {CELLS},"
-        " named_struct('c', a.c - p.s, 'k', a.k ^ p.k, 'h', a.h ^ p.h), a)))"
-    )
+    taken = ", ".join(f"named_struct('i', {p}, 'c', -p.s, 'k', p.k, 'h', p.h)" for p in _places("p.h"))
+    without = _merged(f"concat(s.cells, flatten(transform(ps, p -> array({taken}))))")
     found = "concat(s.o, transform(ps, p -> named_struct('p', p.k, 's', p.s)))"
     step = _let("ps", pure, f"if(size(ps) = 0, named_struct('cells', s.cells, 'o', s.o, 'more', false), named_struct('cells', {without}, 'o', {found}, 'more', true))")
     start = f"named_struct('cells', {cells}, 'o', cast(array() as array<{_PEELED}>), 'more', true)"
-    return f"aggregate(sequence(1, {3 * CELLS + 1}), {start}, (s, r) -> if(s.more, {step}, s), s -> named_struct('o', s.o, 'ok', forall(s.cells, c -> c.c = 0 and c.k = 0 and c.h = 0)))"
+    return f"aggregate(sequence(1, {3 * CELLS + 1}), {start}, (s, r) -> if(s.more and size(s.cells) > 0, {step}, s), s -> named_struct('o', s.o, 'ok', size(s.cells) = 0))"
 
 
 def difference(a: str, b: str) -> Column:
@@ -88,25 +100,23 @@ def difference(a: str, b: str) -> Column:
     (After ``TRIES`` failures, which takes colliding hashes each time, null.)
     """
     size = f"{_blocks_for(f'greatest(size({a}), size({b}))')} * cast(power(2, try) as int)"
-    subtracted = f"zip_with({_table('$0', 'try')}, {_table('$1', 'try')}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+    subtracted = _merged(f"concat({_table('$0', 'try')}, {_negative(_table('$1', 'try'))})")
     peeled = _in_blocks([a, b], size, _peel(subtracted, "try"))
     one = _let("all", peeled, "if(forall(all, x -> x.ok), flatten(transform(all, x -> x.o)), null)")
     return F.expr(f"aggregate(sequence(0, {TRIES - 1}), cast(null as array<{_PEELED}>), (got, try) -> if(got is null, {one}, got))")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Shared digests by all digests of both (1.0 if neither has any), from what peeling recovers."""
-    apart = F.size(difference(a, b))
-    both = F.size(F.expr(a)) + F.size(F.expr(b))
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - apart) / (both + apart).cast("double"))
+def likeness(a: str, b: str, apart: str) -> Column:
+    """Shared digests by all digests of both (1.0 if neither has any).
+
+    apart: a column with the size of their difference, as recovered (a column, so that it is computed once).
+    """
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, (size({a}) + size({b}) - {apart}) / cast(size({a}) + size({b}) + {apart} as double))")
 
 
 def serialized(units: str) -> Column:
-    """A fingerprint as text: digests, blocks, then the cells that aren't empty as block-place, count, XOR, check XOR in hex."""
-    cells = (
-        f"array_join(transform(filter(transform({_table('$0', '0')}, (c, i) -> named_struct('i', i, 'c', c.c, 'k', c.k, 'h', c.h)), c -> c.c <> 0),"
-        " c -> concat(lower(hex(c.i)), '.', c.c, '.', lower(hex(c.k)), '.', lower(hex(c.h)))), ',')"
-    )
+    """A fingerprint as text: digests, then for each block the cells that aren't empty as place, count, XOR, check XOR in hex."""
+    cells = f"array_join(transform({_table('$0', '0')}, c -> concat(lower(hex(c.i)), '.', c.c, '.', lower(hex(c.k)), '.', lower(hex(c.h)))), ',')"
     blocks = _in_blocks([units], _blocks_for(f"size({units})"), cells)
     return F.concat_ws("|", F.expr(f"size({units})").cast("string"), F.expr(f"array_join({blocks}, ';')"))
 
@@ -148,6 +158,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.expr("cast(n_chars div 2 as int)")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next", F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("other"), digests("next").alias("after"))
+    rows = rows.withColumns({"apart_edited": F.size(difference("own", "other")), "apart_next": F.size(difference("own", "after"))})
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", serialized("own").alias("fingerprint"), serialized("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "after").alias("near_next")
+        "doc_id", "n_chars", "edited_sha256", serialized("own").alias("fingerprint"), serialized("other").alias("edited_fingerprint"), likeness("own", "other", "apart_edited").alias("near_edited"), likeness("own", "after", "apart_next").alias("near_next")
     )
