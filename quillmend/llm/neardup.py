@@ -6,8 +6,10 @@ odd sketch, a bitmap of parities: the population count of the XOR of two of them
 differ. Candidates whose sketches are near enough are confirmed on their full sets.
 
 Buckets may be huge, so their pairs are never listed. In each round a bucket's pivot is compared with its
-other members; whoever is linked shares a component then, and only members that are still apart go on, with
-twice the pivots. Two members of a bucket are left uncompared only if they are in one component already.
+other members; whoever is linked shares a component then, and only members still apart go on, with
+sixteen times the pivots. Of those, shingles that none of the others has bound how similar a pair can be. Two members
+of a bucket are left uncompared only if they are in one component already, or if that bound or their sketches
+rule a link out.
 """
 
 from __future__ import annotations
@@ -162,6 +164,52 @@ def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame
     return common.staged(rows.select("a", "b", "ta", "tb").mapInArrow(_confirmed, f"a {kind}, b {kind}"), "links")
 
 
+def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingle) of rows (id, text)."""
+    known = _Words()
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingles(text.as_py(), known)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found.view(np.int64))], names=["id", "shingle"])
+
+
+def _possible(n: str, alone: str, m: str, lone: str) -> Column:
+    """Whether two sets can be linked: of n and m shingles, ``alone`` and ``lone`` are in no other set."""
+    n, alone, m, lone = (F.col(x) for x in (n, alone, m, lone))
+    return 100 * F.least(n - alone, m - lone) >= PERCENT * (alone + lone + F.greatest(n - alone, m - lone))
+
+
+def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The members (bucket, id, component) that can still have a link in their bucket, with n and ``alone``.
+
+    alone: shingles of a document that no other document of all open buckets has. They are in no
+    intersection and in every union, so a pair's similarity is bounded; a member that is ruled out even
+    with the partner in its bucket that has the fewest of them goes.
+    """
+    members = common.staged(members, "apart")
+    ids = common.staged(members.select("id").distinct(), "ids")
+    each = _texts(docs, ids).select("id", "text").mapInArrow(_lone, "id bigint, shingle bigint")
+    lone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    known = ids.join(lone, "id", "left").join(classes.select("id", "n"), "id").select("id", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    rated = common.staged(members.join(known, "id"), "rated")
+    # the least that a partner can have: the second least where the member itself has the least
+    least = rated.groupBy("bucket").agg(F.min("alone").alias("least"), F.min_by("id", "alone").alias("by"))
+    second = rated.join(least, "bucket").filter("id <> by").groupBy("bucket").agg(F.min("alone").alias("second"))
+    best = rated.join(least, "bucket").join(second, "bucket").withColumn("partner", F.when(F.col("id") == F.col("by"), F.col("second")).otherwise(F.col("least")))
+    return best.filter(100 * (F.col("n") - F.col("alone")) >= PERCENT * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after more links (a, b)."""
+    for end in ("a", "b"):
+        links = links.join(labels.withColumnRenamed("component", "c"), F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("c", end)).select("a", "b")
+    merged = components(links, "a", "b").withColumnsRenamed({"node": "was", "component": "now"})
+    old = labels.join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = merged.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return common.staged(old.union(new), "labels")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept) for every row of ``df``.
 
@@ -186,27 +234,31 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     # equal sets of different rows of one key link classes, too
     same = worded.join(classes.withColumnRenamed("id", "a").select("n", "c1", "c2", "a"), ["n", "c1", "c2"]).filter("a <> id").select("a", F.col("id").alias("b"))
     members = members.filter("id <> pivot").select("bucket", "id")
+    labels = components(links, "a", "b")
     while True:
-        joined = components(links, "a", "b")
-        at = members.join(joined, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        at = members.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         at = common.staged(at, "at")
         open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        members = common.staged(at.join(open_, "bucket"), "open")
+        members = common.staged(_linkable(at.join(open_, "bucket"), classes, docs), "open")
         if members.isEmpty():
             break
-        pivots *= 2
+        pivots *= 16
         salt = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
-        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min_by(F.struct("id", "component"), "id").alias("p"))
-        chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca")), "chosen")
-        pairs = members.join(chosen, "bucket").filter("component <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min_by(F.struct("id", "component", "n", "alone"), "id").alias("p"))
+        chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua")), "chosen")
+        pairs = members.join(chosen, "bucket").filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua"))
+        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
-        links = links.union(_linked(pairs, classes, docs))
+        more = _linked(pairs, classes, docs)
         members = members.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = _relabelled(labels, more)
     repeated = worded.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     if not repeated.isEmpty():  # one key with several texts: its classes hang together
-        joined = components(links.unionByName(same.join(repeated, F.col("b") == F.col("id"), "left_semi")), "a", "b")
-    by_class = classes.select("n", "c1", "c2", F.col("id").alias("rep")).join(joined, F.col("rep") == F.col("node"), "left")
+        labels = components(links.unionByName(same.join(repeated, F.col("b") == F.col("id"), "left_semi")), "a", "b")
+    by_class = classes.select("n", "c1", "c2", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select("n", "c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     own = signed.select("id", "n", "c1", "c2").join(by_class, ["n", "c1", "c2"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
