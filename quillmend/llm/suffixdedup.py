@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,10 @@ LENGTH = 100
 PIECE = 20
 #: Depth of the multikey quicksort, in bytes; blind tries go on from there.
 SHALLOW = 24
-#: Below so many suffixes a part is sorted at once.
-_LEAF = 2048
-_CHUNK_BYTES, _SORT_BYTES = 512 << 10, 4 << 20
+#: The quicksort leaves parts of so many suffixes to one sort of all their words to that depth.
+_LEAF = 1 << 16
+#: Chunks are small so that their arrays stay in the processor's cache.
+_CHUNK_BYTES, _SORT_BYTES = 64 << 10, 4 << 20
 #: So many hashes are broadcast at most (8 bytes each); beyond, segments are found by a shuffle and cut from their texts again.
 BROADCAST_HASHES = 4_000_000
 #: So many bytes of spans are broadcast at most.
@@ -100,7 +102,7 @@ class Filed:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bytes, np.ndarray]]:
-    """(ids, bytes, ends) of documents of (id, text), some hundred KB together; texts under ``LENGTH`` bytes are left out."""
+    """(ids, bytes, ends) of documents of (id, text), some dozens of KB together; texts under ``LENGTH`` bytes are left out."""
     ids, parts, size = [], [], 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -117,10 +119,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bytes, np
         yield ids, b"".join(parts), np.cumsum([len(p) for p in parts])
 
 
+def _grouped(items: Iterator, n: int) -> Iterator[list]:
+    while found := list(islice(items, n)):
+        yield found
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for _, data, ends in _chunks(batches):
-            values, counts = np.unique(Filed(data, ends).hashes, return_counts=True)
+        for many in _grouped(_chunks(batches), 32):
+            values, counts = np.unique(np.concatenate([Filed(data, ends).hashes for _, data, ends in many]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "n"])
 
 
@@ -148,36 +155,46 @@ def _cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in wanted], pa.int64()), pa.array([key] * len(wanted), pa.int64()), pa.array([w["at"] for w in wanted], pa.int64()), pa.array([w["len"] for w in wanted], pa.int64()), pa.array([w["twice"] for w in wanted], pa.bool_()), pa.array([data[w["at"] : w["at"] + w["len"]] for w in wanted], pa.binary())], names=["h", "id", "at", "len", "twice", "segment"])
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place, as numbers that order like the bytes."""
-    return data[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+def _words(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there, as a number that orders like them."""
+    x = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for n in (1, 2, 4):
+        x = (x[:-n] << _U(8 * n)) | x[n:]
+    return x
 
 
-def _shallow(data: np.ndarray, at: np.ndarray, depth: int, out: list[np.ndarray]) -> None:
-    """Multikey quicksort: appends the suffixes in order, one array for each group that agrees to ``SHALLOW`` bytes."""
-    work = [(at, depth)]
+def _shallow(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort to ``SHALLOW`` bytes: the suffixes in order, and where a group of agreeing ones begins."""
+    parts, starts, work = [], [], [(at, 0)]
     while work:
         at, depth = work.pop()
-        if depth >= SHALLOW or len(at) <= 1:
-            if len(at):
-                out.append(at)
+        if not len(at):
             continue
-        word = _words(data, at + depth)
-        if len(at) <= _LEAF:
-            order = np.argsort(word, kind="stable")
-            cut = np.flatnonzero(np.diff(word[order])) + 1
-            work += [(part, depth + 8) for part in reversed(np.split(at[order], cut))]
+        if depth >= SHALLOW or len(at) <= _LEAF:
+            new = np.zeros(len(at), bool)
+            if depth < SHALLOW:
+                keys = [words[at + d] for d in range(depth, SHALLOW, 8)]
+                order = np.lexsort(keys[::-1])
+                at = at[order]
+                for k in keys:
+                    k = k[order]
+                    new[1:] |= k[1:] != k[:-1]
+            new[0] = True
+            parts.append(at)
+            starts.append(new)
             continue
-        pivot = np.sort(word[:: max(1, len(word) // 31)])[min(15, len(word) // 2)]
+        word = words[at + depth]
+        pivot = np.sort(word[:: len(word) // 31])[15]
         low, high = word < pivot, word > pivot
         work += [(at[high], depth), (at[~(low | high)], depth + 8), (at[low], depth)]
+    return np.concatenate(parts), np.concatenate(starts)
 
 
-def _deep(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+def _deep(words: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Classes of equal ``LENGTH``-byte suffixes, by blind tries.
 
-    group: numbers of groups that agree to ``SHALLOW`` bytes. In each group one suffix is the leaf against
-    which all others are compared, blindly up to where they branch off it: the depth and the byte there
+    new: where a group begins that agrees to ``SHALLOW`` bytes. In each group one suffix is the leaf against
+    which all others are compared, blindly up to where they branch off it: the depth and the bytes there
     name the subtree that each belongs to. Those that never branch off equal the leaf; the subtrees are
     groups of the next round. All tries grow side by side. Returns a class number for each suffix.
     """
@@ -186,41 +203,45 @@ def _deep(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     result = np.full(len(at), -1, np.int64)
     todo, classes = np.arange(len(at)), 0
     while len(todo):
-        _, leaf, group = np.unique(group, return_index=True, return_inverse=True)
-        branch = np.full(len(todo), -1, np.int64)  # eight-byte step and the bytes there
-        there = np.zeros(len(todo), np.uint64)
-        alike = np.arange(len(todo))
+        leaf = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        result[todo[leaf]] = classes + np.arange(len(leaf))
+        rest = np.flatnonzero(~new)
+        branch, there = np.full(len(rest), -1, np.int8), np.zeros(len(rest), np.uint64)
+        own, other = at[todo[rest]], at[todo[leaf[group[rest]]]]
+        alike = np.arange(len(rest))
         for k, step in enumerate(steps):
-            own, other = _words(data, at[todo[alike]] + step), _words(data, at[todo[leaf[group[alike]]]] + step)
-            off = own != other
-            branch[alike[off]], there[alike[off]] = k, own[off]
-            alike = alike[~off]
             if not len(alike):
                 break
-        result[todo[alike]] = classes + group[alike]
+            w = words[own[alike] + step]
+            off = w != words[other[alike] + step]
+            if off.any():
+                branch[alike[off]], there[alike[off]] = k, w[off]
+                alike = alike[~off]
+        result[todo[rest[alike]]] = classes + group[rest[alike]]
         classes += len(leaf)
         apart = np.flatnonzero(branch >= 0)
         if not len(apart):
             break
-        order = np.lexsort((there[apart], branch[apart], group[apart]))
-        a = apart[order]
-        new = (np.diff(group[a]) != 0) | (np.diff(branch[a]) != 0) | (there[a][1:] != there[a][:-1])
-        todo, group = todo[a], np.concatenate([[0], np.cumsum(new)])
+        g, branch, there = group[rest[apart]], branch[apart], there[apart]
+        order = np.lexsort((there, branch, g))
+        g, branch, there = g[order], branch[order], there[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (g[1:] != g[:-1]) | (branch[1:] != branch[:-1]) | (there[1:] != there[:-1])
+        todo = todo[rest[apart]][order]
     return result
 
 
 def equal_windows(data: bytes, starts: np.ndarray) -> np.ndarray:
-    """A class number for each start; equal numbers for equal strings of ``LENGTH`` bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    groups: list[np.ndarray] = []
-    place = np.full(len(raw), -1, np.int64)
-    place[starts] = np.arange(len(starts))
-    _shallow(raw, starts, 0, groups)
-    at = np.concatenate(groups) if groups else starts
-    classes = _deep(raw, at, np.repeat(np.arange(len(groups)), [len(g) for g in groups]))
-    out = np.empty(len(starts), np.int64)
-    out[place[at]] = classes
-    return out
+    """A class number for each start (ascending); equal numbers for equal strings of ``LENGTH`` bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    words = _words(np.frombuffer(data, np.uint8))
+    at, new = _shallow(words, starts)
+    classes = _deep(words, at, new)
+    by_place = np.empty(len(data), np.int64)
+    by_place[at] = classes
+    return by_place[starts]
 
 
 def _sorted_spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
