@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from . import common
 
 #: About so many bytes of text of each language are learned from, drawn by a hash of the id.
-FIT_BYTES = 12_000_000
+FIT_BYTES = 8_000_000
 #: Words and n-grams seen less often in the sample aren't known.
 LEAST_WORD, LEAST_GRAM = 3, 5
 LONGEST_GRAM = 5
 SEED = 5
 UNDETERMINED = "und"
-_CACHE = 200_000
+_CACHE = 50_000
 
 _LETTERS = regex.compile(r"\p{L}+")
 

@@ -43,7 +43,7 @@ _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 _draw = np.random.Generator(np.random.PCG64(85))
 _MULTIPLY = _draw.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_CHUNK, _WORDS_KEPT = 4096, 1_000_000
+_CHUNK, _WORDS_KEPT = 4096, 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
