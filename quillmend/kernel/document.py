@@ -7,6 +7,7 @@ container that isn't kept, is taken back to the mark where it began.
 from __future__ import annotations
 
 import re
+import sys
 
 from ..errors import JsonTextError
 from ..options import Allow, Options, Repairs
@@ -15,6 +16,8 @@ from .scanner import Fault, Scanner
 
 #: Containers and groups within each other.
 DEEPEST = 256
+#: A level takes four calls.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * DEEPEST + 2000))
 
 _STARTS = frozenset("{[snbzuw(")
 _NOISE = frozenset(".;+")

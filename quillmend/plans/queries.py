@@ -124,7 +124,7 @@ _case("validate_ok", "events", "CASE WHEN event_id % 3 = 0 THEN concat(props, ',
 _case("validate_value", "events", "concat(' ', props, '\\n')", lambda c: fn.validate(c)["value"], "props")
 _case("is_valid_json", "events", "CASE WHEN event_id % 3 = 0 THEN replace(props, '\"', '') ELSE props END", fn.is_valid_json, "event_id % 3 <> 0")
 _BAD = {
-    "ExpectedComma": ("'[1 2]'", 3), "TrailingComma": ("'[1,]'", 3), "ExpectedColon": ("'{\"a\" 1}'", 5), "UnquotedValue": ("'[a]'", 1), "UnexpectedEnd": ("'[1'", 2), "NoValueFound": ("''", 0), "TrailingValue": ("'1 2'", 2), "UnexpectedCharacter": (r'''"['a']"''', 1), "InvalidUnicodeEscape": (r"""'["\\u12"]'""", 4), "InvalidEscape": (r"""'["\\x1"]'""", 4), "ExpectedObjectKey": ("'{(1)}'", 1),
+    "ExpectedComma": ("'[1 2]'", 3), "TrailingComma": ("'[1,]'", 3), "ExpectedColon": ("'{\"a\" \"b\"}'", 5), "UnquotedValue": ("'[a]'", 1), "UnexpectedEnd": ("'[1'", 2), "NoValueFound": ("''", 0), "TrailingValue": ("'1 2'", 2), "UnexpectedCharacter": (r'''"['a']"''', 1), "InvalidUnicodeEscape": (r"""'["\\u12"]'""", 4), "InvalidEscape": (r"""'["\\x1"]'""", 4), "ExpectedObjectKey": ("'{(1)}'", 1),
 }
 _N = len(_BAD)
 _DAMAGE = f"CASE event_id % {_N} " + " ".join(f"WHEN {i} THEN {d}" for i, (d, _) in enumerate(_BAD.values())) + " END"
