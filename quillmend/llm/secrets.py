@@ -30,9 +30,9 @@ WEAK = {
     "key": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]{0,80}[0-9])(?=[A-Za-z0-9+/]{0,80}[A-Z])(?=[A-Za-z0-9+/]{0,80}[a-z])[A-Za-z0-9+/]{32,80}={0,2}(?![A-Za-z0-9+/_=-])", 0, 0),
     "endpoint": (r"""https?://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|internal|local)(?::[0-9]{2,5})?\b""", 0, 0),
 }
-ROLES = {"access": "identifier", "login": "identifier", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
+ROLES = {"access": "identifier", "login": "account", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
 #: A weak part needs, this many code points away at most, a part of one of these roles.
-NEEDS = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}
+NEEDS = {"identifier": ("secret",), "account": ("secret",), "secret": ("identifier", "account"), "endpoint": ("identifier", "secret")}
 REACH = 200
 
 _SPANS = "array<struct<start:int,end:int,kind:string>>"
