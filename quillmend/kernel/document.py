@@ -1,7 +1,8 @@
 """From tokens to canonical JSON text.
 
 One renderer serves all verbs. It appends pieces of output as values are read; a value that is dropped, or a
-container that isn't kept, is taken back to the mark where it began.
+container that isn't kept, is taken back to the mark where it began. What is sound JSON already, whole
+containers and runs of members, isn't read token by token (:mod:`.sound`).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import sys
 from ..errors import JsonTextError
 from ..options import Allow, Options, Repairs
 from . import classes as c
+from . import sound
 from .scanner import Fault, Scanner
 
 #: Containers and groups within each other.
@@ -39,12 +41,14 @@ def depth_of(text: str) -> int:
 
 
 class _Level:
-    """An open container: whether it has no member yet, and whether a comma waits for one."""
+    """An open container: whether it has no member yet, whether a comma waits for one, and after how many
+    members read by token to look for sound ones again (more each time)."""
 
-    __slots__ = ("comma", "empty")
+    __slots__ = ("comma", "empty", "patience", "wait")
 
     def __init__(self):
         self.empty, self.comma = True, False
+        self.patience = self.wait = 4
 
     def filled(self) -> None:
         self.empty = self.comma = False
@@ -219,9 +223,9 @@ class Renderer:
     def container(self, opener: str) -> bool:
         mark, level, keyed = len(self.out), _Level(), opener == "{"
         self._deeper()
-        self.take()
+        start = self.take()[3]
         self.out.append(opener)
-        closed = self._members(level, keyed)
+        closed = self._sound(level, self.scanner.text, start) or self._members(level, keyed)
         kept = True
         if not closed:
             if not self.repairs & Repairs.TRUNCATION:
@@ -234,6 +238,45 @@ class Renderer:
         self.depth -= 1
         return kept
 
+    def _sound(self, level: _Level, text: str, start: int, skipped: int = 0) -> bool:
+        """Takes the sound members after the opener at ``start``; whether they end with the closer.
+
+        skipped: how many characters of the document aren't in ``text`` (but for an opener put before the rest).
+        """
+        found = sound.ahead(text, start)
+        if not found:
+            return False
+        stop, closed = found
+        piece, deep, _ = sound.canonical(text[start + 1 : stop - closed])
+        if self.depth + deep + (self.values >= 1) > DEEPEST:
+            return False  # for the error's place
+        if piece:
+            if not level.empty:
+                self.out.append(", ")
+            self.out.append(piece)
+            level.filled()
+        self.deepest = max(self.deepest, self.depth + deep)
+        self.scanner.at, self.next = stop + skipped, None
+        return closed
+
+    def _resumed(self, level: _Level, keyed: bool) -> bool | None:
+        """After some members read by token, again the sound ones; None if there are none."""
+        at = self.next[3]
+        text = ("{" if keyed else "[") + self.scanner.text[at:]
+        if len(text) < 64:
+            level.wait = 1 << 60
+            return None
+        before = self.scanner.at, self.next
+        size = len(self.out)
+        closed = self._sound(level, text, 0, at - 1)
+        if len(self.out) > size or closed:
+            level.wait = level.patience
+            return closed
+        self.scanner.at, self.next = before
+        level.patience *= 2
+        level.wait = level.patience
+        return None
+
     def _members(self, level: _Level, keyed: bool) -> bool:
         """Renders members until the closer (True) or until no more can be had (False)."""
         own = "}" if keyed else "]"
@@ -256,6 +299,11 @@ class Renderer:
             else:
                 if self.strict and not level.empty and not level.comma:
                     raise self.fault("ExpectedComma")
+                level.wait -= 1
+                if level.wait < 0 and (resumed := self._resumed(level, keyed)) is not None:
+                    if resumed:
+                        return True
+                    continue
                 if not (self._member(level, kind) if keyed else self._item(level, None)):
                     return False
 

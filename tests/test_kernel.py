@@ -191,3 +191,37 @@ def test_fold_equals_one_shot(value, size):
             assert got["output"] == render(accepted)
             rebuilt = rebuilt[: got["keep"]] + got["text"].encode()
             assert rebuilt.decode() == got["output"]
+
+
+def test_sound_parts_change_nothing(monkeypatch):
+    """Damaged documents read with and without the short cut for sound parts."""
+    import random
+
+    from quillmend.kernel import sound
+
+    rng, short_cut = random.Random(5), sound.ahead
+
+    def value(depth):
+        k = rng.randrange(8)
+        if depth <= 0 or k < 3:
+            return rng.choice([1, -2.5, "x y", 'é"q\\', True, None, "a{b", "c, d", 1e20, "", "http://x/y", "’s"])
+        if k < 5:
+            return [value(depth - 1) for _ in range(rng.randrange(5))]
+        return {rng.choice(["a", "b c", "k:", "é", "x'"]) + str(i): value(depth - 1) for i in range(rng.randrange(6))}
+
+    def outcome(text, options):
+        try:
+            return render(text, options)
+        except JsonTextError as e:
+            return e.kind, e.position, e.char
+
+    for _ in range(1500):
+        text = json.dumps(value(4), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            text = rng.choice([text[:at] + text[at + 1 :], text[:at], text[:at] + rng.choice(list("{}[]:,\"'\\/ab1.-+e \n`é“") + ["//c\n", "...", "```", "\\u12"]) + text[at:]])
+        options = rng.choice([Options(), Options.strict(), Options.partial(rng.randrange(128)), Options(127, rng.randrange(4096))])
+        monkeypatch.setattr(sound, "ahead", short_cut)
+        fast = outcome(text, options)
+        monkeypatch.setattr(sound, "ahead", lambda *_: None)
+        assert fast == outcome(text, options), text
