@@ -31,6 +31,8 @@ CALIBRATE_ONE_IN = 3
 LEAST_CONTEXTS = 5
 #: Words of the dictionaries: shared ones, and contrasting ones by their z score.
 SHARED_WORDS, CONTRAST_WORDS, LEAST_Z = 2_000, 400, 5.0
+#: A contrasting word is this many times as frequent in its class.
+LEAST_RATIO = 4.0
 THRESHOLD = 0.7
 SEED = 6
 
@@ -96,12 +98,15 @@ def _dictionaries(fit: DataFrame) -> tuple[bytes, bytes]:
         if len(w) >= 3:
             z[w] = (r.t / nt - r.o / no) / math.sqrt(p * (1 / nt + 1 / no))
     by_z = sorted(z, key=lambda w: (-z[w], w))
-    toxic = [w for w in by_z[:CONTRAST_WORDS] if z[w] > LEAST_Z]
+    counted = {bytes(r.w): (r.t, r.o) for r in rows}
+    apart = lambda w: counted[w][0] * no >= LEAST_RATIO * max(1, counted[w][1]) * nt
+    toxic = [w for w in by_z if z[w] > LEAST_Z and apart(w)][:CONTRAST_WORDS]
     ordinary = by_z[::-1][: len(toxic)]
-    shared = [w for w in sorted(df, key=lambda w: (-df[w], w)) if abs(z.get(w, 0)) < LEAST_Z][:SHARED_WORDS]
-    # what comes last is nearest and so cheapest to refer to
-    content = lambda ws: b" ".join(reversed(ws)) + b" "
-    return content(shared) + content(toxic), content(shared) + content(ordinary)
+    shared = [w for w in sorted(df, key=lambda w: (-df[w], w)) if w not in set(toxic)][:SHARED_WORDS]
+    # the shared words come last and so equally far from a window in both; only the contrasting ones make a difference
+    content = lambda ws: b" " + b" ".join(reversed(ws)) + b" "
+    size = max(len(content(toxic)), len(content(ordinary)))
+    return content(toxic).rjust(size) + content(shared), content(ordinary).rjust(size) + content(shared)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
