@@ -32,7 +32,7 @@ _LEAF = 1 << 16
 #: Chunks are small so that their arrays stay in the processor's cache.
 _CHUNK_BYTES, _SORT_BYTES = 64 << 10, 4 << 20
 #: So many hashes are broadcast at most (8 bytes each); beyond, segments are found by a shuffle and cut from their texts again.
-BROADCAST_HASHES = 4_000_000
+BROADCAST_HASHES = 2_500_000
 #: So many bytes of spans are broadcast at most.
 BROADCAST_SPANS = 64 << 20
 #: Under a hash with more unequal segments than this, windows are aggregated one by one instead of sorted in one task.
