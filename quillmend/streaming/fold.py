@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,10 +18,11 @@ from ..kernel.fold import Fold
 from ..options import Options
 
 _FIELDS = ["accepted", "output", "keep", "text", "error_kind", "error_position"]
+_ARROW = [pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 _OUT = "seq bigint, accepted boolean, output string, keep bigint, text string, error_kind string, error_position bigint"
 
 
-def _frame(key: str, rows: list[tuple], kind) -> pd.DataFrame:
+def _frame(key: str, rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[key, "seq", *_FIELDS])
     return out.astype({"seq": "int64", "keep": "int64", "accepted": bool, "error_position": "Int64"}) if rows else out
 
@@ -32,18 +34,24 @@ def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options =
     document is forgotten before the chunk.
     """
     kind = dict(df.dtypes)[key]
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, state, rows = frame.sort_values(seq, kind="stable"), Fold(options), []
-        forget = frame[reset] if reset else [False] * len(frame)
-        for k, s, c, f in zip(frame[key], frame[seq], frame[chunk], forget, strict=True):
-            if f is True or f == True:  # noqa: E712 - numpy's
-                state.reset()
-            got = state.push("" if c is None or c != c else c)
-            rows.append((k, s, *(got[x] for x in _FIELDS)))
-        return _frame(key, rows, kind)
-
-    return df.groupBy(key).applyInPandas(fold, f"`{key}` {kind}, {_OUT}")
+    columns = [key, seq, chunk, *([reset] if reset else [])]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and seq, a row out for each; only the present key's state is held."""
+        state, last = None, None
+        for batch in batches:
+            keys, chunks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            forget = batch.column(3).to_pylist() if reset else [False] * len(keys)
+            rows = []
+            for k, c, f in zip(keys, chunks, forget, strict=True):
+                if state is None or k != last or f:
+                    state, last = Fold(options), k
+                rows.append(state.push(c or ""))
+            out = [pa.array([r[x] for r in rows], t) for x, t in zip(_FIELDS, _ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *out], names=[key, "seq", *_FIELDS])
+
+    rows = df.select(*columns).repartition(key).sortWithinPartitions(key, seq)
+    return rows.mapInArrow(fold, f"`{key}` {kind}, {_OUT}")
 
 
 class FoldProcessor(StatefulProcessor):
@@ -70,7 +78,7 @@ class FoldProcessor(StatefulProcessor):
             self.waiting.removeKey((turn,))
             turn += 1
         self.document.update((state.text, state.output, turn))
-        yield _frame(self.key, out, None)
+        yield _frame(self.key, out)
 
     def close(self) -> None:
         pass
