@@ -181,7 +181,7 @@ def _possible(n: str, alone: str, m: str, lone: str) -> Column:
 
 
 def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The members (bucket, id, component) that can still have a link in their bucket, with n and ``alone``.
+    """The members (bucket, id, component) that can still have a link in their bucket, with n, bands and ``alone``.
 
     alone: shingles of a document that no other document of all open buckets has. They are in no
     intersection and in every union, so a pair's similarity is bounded; a member that is ruled out even
@@ -191,13 +191,13 @@ def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     ids = common.staged(members.select("id").distinct(), "ids")
     each = _texts(docs, ids).select("id", "text").mapInArrow(_lone, "id bigint, shingle bigint")
     lone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    known = ids.join(lone, "id", "left").join(classes.select("id", "n"), "id").select("id", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    known = ids.join(lone, "id", "left").join(classes.select("id", "n", "bands"), "id").select("id", "n", "bands", F.coalesce("alone", F.lit(0)).alias("alone"))
     rated = common.staged(members.join(known, "id"), "rated")
     # the least that a partner can have: the second least where the member itself has the least
     least = rated.groupBy("bucket").agg(F.min("alone").alias("least"), F.min_by("id", "alone").alias("by"))
     second = rated.join(least, "bucket").filter("id <> by").groupBy("bucket").agg(F.min("alone").alias("second"))
     best = rated.join(least, "bucket").join(second, "bucket").withColumn("partner", F.when(F.col("id") == F.col("by"), F.col("second")).otherwise(F.col("least")))
-    return best.filter(100 * (F.col("n") - F.col("alone")) >= PERCENT * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone")
+    return best.filter(100 * (F.col("n") - F.col("alone")) >= PERCENT * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone", "bands")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -244,9 +244,11 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
             break
         pivots *= 16
         salt = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
-        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min_by(F.struct("id", "component", "n", "alone"), "id").alias("p"))
-        chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua")), "chosen")
-        pairs = members.join(chosen, "bucket").filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua"))
+        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min_by(F.struct("id", "component", "n", "alone", "bands"), "id").alias("p"))
+        chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua"), F.col("p.bands").alias("ba")), "chosen")
+        # a pair counts in the first bucket that it shares; there it has been compared, or is now
+        first = F.expr("filter(zip_with(bands, ba, (x, y) -> if(x = y, x, null)), v -> v is not null)[0] = bucket")
+        pairs = members.join(chosen, "bucket").filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua") & first)
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
