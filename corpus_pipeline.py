@@ -18,13 +18,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model is learned from the labelled documents among ``docs`` that aren't held out.
     """
     model = langid.train(docs.filter(common.id_remainder("doc_id", 5) != 0), "doc_id", "text", "lang")
-    return langid.predict(docs, "text", model).filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    inner, at = common.shielded(docs)  # columns of any name stay
+    told = langid.predict(inner, at["text"], model).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    return common.restored(told, docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id."""
     found = neardup.near_duplicates(docs, "doc_id", "text").filter("kept").select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    inner, at = common.shielded(docs)
+    return common.restored(inner.join(found, F.col(at["doc_id"]).eqNullSafe(F.col("kept_id")), "left_semi"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +35,24 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     index = decontam.build_index(docs, "doc_id", "text")
     found = decontam.contamination(index, decontam.search(index, common.table(spark, sf_dir, "benchmark"), "item_id", "text"))
     bad = found.filter((F.col("n_hit") > 0) & (decontam.ONE_IN * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    inner, at = common.shielded(docs)
+    return common.restored(inner.join(bad, F.col(at["doc_id"]).eqNullSafe(F.col("bad_id")), "left_anti"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sized = docs.withColumn("mix_size", mixing.word_count("text"))
-    taken = mixing.mix(sized, "source", "mix_size", "doc_id")
-    return taken.filter("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    inner, at = common.shielded(docs)
+    taken = mixing.mix(inner.withColumn("mix_size", mixing.word_count(at["text"])), at["source"], "mix_size", at["doc_id"])
+    taken = taken.filter("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return common.restored(taken, docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and their slot in it."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"key_text": common.hash60(text), "key_id": common.hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "key_size": (F.octet_length(text) + 16).cast("bigint")})
-    return sharding.assign(keyed, "key_text", "key_id", "key_size", sharding.SHARDS).drop("key_text", "key_id", "key_size")
+    inner, at = common.shielded(docs)
+    text = F.coalesce(F.col(at["text"]), F.lit(""))
+    keyed = inner.withColumns({"key_text": common.hash60(text), "key_id": common.hash60(F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit(""))), "key_size": (F.octet_length(text) + 16).cast("bigint")})
+    return common.restored(sharding.assign(keyed, "key_text", "key_id", "key_size", sharding.SHARDS), docs.columns, "shard", "slot")
 
 
 STAGES = [

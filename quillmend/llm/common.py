@@ -67,6 +67,18 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named in0, in1, ... so that no name of its own can clash, and the new name of each."""
+    inner = [f"in{i}" for i in range(len(df.columns))]
+    return df.toDF(*inner), dict(zip(df.columns, inner, strict=True))
+
+
+def restored(out: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The columns of ``columns`` under their own names again, then ``added``; an input column of such a name gives way."""
+    taken = {a.lower() for a in added}
+    return out.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in taken], *added)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

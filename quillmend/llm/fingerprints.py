@@ -131,8 +131,14 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Null keys come last; rows of one key follow each other by the hash of their text, equal rows in any
     order. A single row is followed by itself. The table is range-partitioned by sampled splitters; each
-    range also gets a copy of the row before its first, so no range waits for another.
+    range also gets a copy of the row before its first, so no range waits for another. An input column
+    named next gives way.
     """
+    inner, at = common.shielded(df)
+    return common.restored(_with_next(inner, at[key], at[text]), df.columns, "next")
+
+
+def _with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     k, h, n, r, g = (common.fresh(df, x) for x in ("key", "hash", "size", "range", "ghost"))
     keyed = df.withColumns({k: F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)), h: F.xxhash64(text), n: F.octet_length(text).cast("bigint") + 16})
     total = keyed.agg(F.sum(n)).first()[0] or 0

@@ -159,8 +159,13 @@ def predict(df: DataFrame, text: str, model: Model) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (0 to 1).
 
     ``und`` with score 0 if the text is null or has no letter (or nothing was learned). Equal languages
-    are told apart by code point order.
+    are told apart by code point order. Input columns named like the added ones give way to them.
     """
+    inner, at = common.shielded(df)
+    return common.restored(_predict(inner, at[text], model), df.columns, "lang_pred", "score")
+
+
+def _predict(df: DataFrame, text: str, model: Model) -> DataFrame:
     at = df.columns.index(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

@@ -94,8 +94,13 @@ def remove(df: DataFrame, key: str, text: str) -> DataFrame:
 
     key: a bigint column; a smaller key is earlier, null keys come first, rows of one key are ordered by the
     hash of their text. Null texts stay null; an empty text has no chunk of several lines. Lines end with
-    a line feed. An empty table gives an empty result; other columns stay.
+    a line feed. An empty table gives an empty result; other columns stay, but for ones named like the added.
     """
+    inner, at = common.shielded(df)
+    return common.restored(_remove(inner, at[key], at[text]), df.columns, "kept", "n_removed")
+
+
+def _remove(df: DataFrame, key: str, text: str) -> DataFrame:
     uid = common.fresh(df, "uid")
     n = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
     if n[0] == n[1]:

@@ -72,8 +72,14 @@ def mix(df: DataFrame, source: str, size: str, key: str, weights: tuple[float, .
     hash of seed and key.
 
     No source is gathered in one task: order buckets are summed first, and only the one bucket of each
-    source in which the fraction ends is ranked.
+    source in which the fraction ends is ranked. Input columns named like the added ones give way to them.
     """
+    inner, at = common.shielded(df)
+    out = _mix(inner, at[source], at[size], at[key], weights, budget, max_epochs, seed)
+    return common.restored(out, df.columns, "source_size", "target", "repeats")
+
+
+def _mix(df: DataFrame, source: str, size: str, key: str, weights: tuple[float, ...], budget: float, max_epochs: float, seed: int) -> DataFrame:
     s, b, h = (common.fresh(df, x) for x in ("source", "bucket", "hash"))
     hashed = df.withColumn(h, common.hash60(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
     sums = common.staged(hashed.groupBy(F.col(source).alias(s)).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("__n")), "totals")

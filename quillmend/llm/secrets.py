@@ -75,8 +75,15 @@ def scan(df: DataFrame, text: str) -> DataFrame:
 
     linked holds the weak candidates that a complementary part backs, without those that overlap a strong
     finding. Null and empty texts have none. Only texts with parts of two roles are looked at for weak
-    candidates, as no other can have a linked one. Rows keep to themselves, equal ones too.
+    candidates, as no other can have a linked one. Rows keep to themselves, equal ones too. Input columns
+    named like the added ones give way to them.
     """
+    inner, at = common.shielded(df)
+    out = _scan(inner, at[text]).withColumn(at[text], F.lit(None))
+    return common.restored(out, df.columns, "strong", "linked").drop(text)
+
+
+def _scan(df: DataFrame, text: str) -> DataFrame:
     keep = [c for c in df.columns if c != text]
     t, row, strong = common.fresh(df, "text"), common.fresh(df, "row"), "strong"
     empty = F.expr(f"cast(array() as {_SPANS})")

@@ -23,13 +23,18 @@ def assign(df: DataFrame, key1: str, key2: str, size: str, shards: int, law: str
     are more than a shard's share. law ``bytes``: a record goes where the middle of its bytes lies, so
     shards differ from the mean by less than the largest record. law ``rows``: row counts differ by at
     most one. Ties of both keys are ordered by a hash of the whole row; equal rows are interchangeable.
-    An empty table gives an empty result. The columns added must not be there before.
+    An empty table gives an empty result. Input columns named shard or slot give way.
     """
     if law not in ("bytes", "rows"):
         raise ValueError(f"unknown law {law}")
-    for name in ("shard", "slot"):
-        if name in {c.lower() for c in df.columns}:
-            raise ValueError(f"the input has a column {name} already")
+    keyed = df.select(F.expr(key1).alias("key1"), F.expr(key2).alias("key2"), F.expr(size).alias("size"), F.struct("*").alias("row"))
+    columns = [F.col("row")[c].alias(f"in{i}") for i, c in enumerate(df.columns)]
+    out = _assign(keyed.select(*columns, "key1", "key2", "size"), shards, law, ranges_per_shard)
+    return common.restored(out, df.columns, "shard", "slot")
+
+
+def _assign(df: DataFrame, shards: int, law: str, ranges_per_shard: int) -> DataFrame:
+    key1, key2, size = "key1", "key2", "size"
     a, b, n, r = (common.fresh(df, x) for x in ("key1", "key2", "size", "range"))
     keyed = df.withColumns({a: F.coalesce(F.expr(key1), F.lit(-1)).cast("bigint"), b: F.coalesce(F.expr(key2), F.lit(-1)).cast("bigint"), n: F.greatest(F.coalesce(F.expr(size), F.lit(0)), F.lit(0)).cast("bigint")})
     keys = keyed.select(a, b, n)

@@ -334,8 +334,13 @@ def remove(df: DataFrame, key: str, text: str) -> DataFrame:
 
     key: a bigint column; a smaller key is earlier, null keys come first. Rows of one key are ordered by the
     hash of their text. Null and empty texts have no bytes; texts under 100 bytes lose nothing. All other
-    columns stay. An empty table gives an empty result.
+    columns stay, but for ones named like the added. An empty table gives an empty result.
     """
+    inner, at = common.shielded(df)
+    return common.restored(_remove(inner, at[key], at[text]), df.columns, "removed", "kept")
+
+
+def _remove(df: DataFrame, key: str, text: str) -> DataFrame:
     uid = common.fresh(df, "uid")
     n = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
     if n[0] == n[1]:

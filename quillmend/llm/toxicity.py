@@ -156,7 +156,15 @@ def _share(df: DataFrame, label: Column, value: int) -> float:
 
 
 def score(df: DataFrame, text: str, model: Model) -> DataFrame:
-    """``df`` with ``score`` (0 to 1). Every window of the whole text counts; null and empty texts are one empty window."""
+    """``df`` with ``score`` (0 to 1). Every window of the whole text counts; null and empty texts are one empty window.
+
+    An input column named score gives way.
+    """
+    inner, at = common.shielded(df)
+    return common.restored(_score(inner, at[text], model), df.columns, "score")
+
+
+def _score(df: DataFrame, text: str, model: Model) -> DataFrame:
     at = df.columns.index(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

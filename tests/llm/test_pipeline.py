@@ -29,6 +29,20 @@ def test_stages(spark):
     assert sharded.count() == mixed.count() and sharded.select("shard").distinct().count() <= 40 and sharded.columns == [*COLUMNS, "shard", "slot"]
 
 
+def test_clashing_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = ["shard", "slot", "score", "lang_pred", "target", "repeats", "source_size", "kept", "id", "n", "in0", "mix_size", "copy", "key_text", "__range", "bad_id", "component_id"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit("own"))
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, DATA)
+        if name != "sharding":
+            assert docs.columns == columns
+            assert docs.filter(" and ".join(f"`{c}` = 'own'" for c in names)).count() == docs.count() > 0
+    assert docs.columns == [c for c in columns if c not in ("shard", "slot")] + ["shard", "slot"]
+
+
 def test_run(spark):
     out = cp.run(spark, DATA)
     assert out.count() > 0 and out.columns == [*COLUMNS, "shard", "slot"]
