@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_near_duplicates": neardup.ORACLE,
     "op2_decontaminate": decontam.ORACLE,
+    "op7_suffix_dedup": suffixdedup.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_shard_splitters": sharding.ORACLE,
 }

@@ -378,6 +378,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Every window of 100 bytes, the first of each string left out; what is covered goes.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, array_slice(b, i, i + 99) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1
+), g AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM r
+), h AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g
+), runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM h GROUP BY doc_id, run
+), pieces AS (
+  SELECT runs.doc_id AS doc_id, a, z, hex(array_slice(b, lag(z, 1, 1) OVER (PARTITION BY runs.doc_id ORDER BY a), a - 1)) AS kept FROM runs JOIN d ON d.doc_id = runs.doc_id
+), gone AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(kept, '' ORDER BY a) AS kept FROM pieces GROUP BY doc_id
+)
+SELECT d.doc_id AS doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(gone.kept || hex(array_slice(b, last, n))) END) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
+
+
 def brute(texts: list[bytes]) -> list[tuple[bytes, int]]:
     """For tests: what is left of each text, in order, and its number of removed runs."""
     seen: set[bytes] = set()
