@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -57,6 +60,16 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer needs back to the system, for the stages that come after."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hash60(text: Column) -> Column:
     """A non-negative 60-bit integer from the first 15 hex digits of the MD5 (DuckDB can compute it too)."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

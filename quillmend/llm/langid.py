@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: About so many bytes of text of each language are learned from, drawn by a hash of the id.
-FIT_BYTES = 8_000_000
+FIT_BYTES = 4_000_000
 #: Words and n-grams seen less often in the sample aren't known.
-LEAST_WORD, LEAST_GRAM = 3, 5
+LEAST_WORD, LEAST_GRAM = 4, 12
 LONGEST_GRAM = 5
 SEED = 5
 UNDETERMINED = "und"
@@ -174,6 +174,8 @@ def _predict(df: DataFrame, text: str, model: Model) -> DataFrame:
         for frame in frames:
             got = [predictor(t) for t in frame.iloc[:, at]]
             yield frame.assign(lang_pred=[x[0] for x in got], score=[x[1] for x in got])
+        predictor.unseen.clear()
+        common.release()
 
     return df.mapInPandas(predicted, f"{fields}, lang_pred string, score double")
 

@@ -42,7 +42,7 @@ _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 _draw = np.random.Generator(np.random.PCG64(85))
 _MULTIPLY = _draw.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_CHUNK, _WORDS_KEPT = 4096, 150_000
+_CHUNK, _WORDS_KEPT = 4096, 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +123,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(key.view(np.int64))
                 sketch.append(odd_sketch(least))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "n", "c1", "c2", "bands", "sketch"])
+    known.clear()
+    common.release()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +141,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(100 * shared >= PERCENT * (len(own) + len(other) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+    known.clear()
+    common.release()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
