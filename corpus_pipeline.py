@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quillmend.llm import common, decontam, langid, mixing, neardup, sharding
 
+#: Near duplicates share so many hundredths of their shingles or more.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without any letter (or text) go; ``lang`` stays as it is.
@@ -25,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id."""
-    found = neardup.near_duplicates(docs, "doc_id", "text").filter("kept").select(F.col("id").alias("kept_id")).distinct()
+    found = neardup.near_duplicates(docs, "doc_id", "text", NEAR_PERCENT).filter("kept").select(F.col("id").alias("kept_id")).distinct()
     inner, at = common.shielded(docs)
     return common.restored(inner.join(found, F.col(at["doc_id"]).eqNullSafe(F.col("kept_id")), "left_semi"), docs.columns)
 

@@ -1,7 +1,7 @@
 """Near-duplicate documents by banded MinHash with odd sketches.
 
 Texts become sets of hashed word shingles. Equal sets form one class at once. A class has 64 MinHash
-samples; bands of four samples are the buckets in which candidates meet, and all samples are folded into an
+samples (more for links below 0.85); bands of four samples are the buckets in which candidates meet, and all samples are folded into an
 odd sketch, a bitmap of parities: the population count of the XOR of two of them tells how many samples
 differ. Candidates whose sketches are near enough are confirmed on their full sets.
 
@@ -29,11 +29,15 @@ SHINGLE = 5
 SAMPLES, BAND_ROWS = 64, 4
 BANDS = SAMPLES // BAND_ROWS
 SKETCH_BITS = 512
-#: A pair is dropped on its sketches when they differ as they would below this similarity: at the 0.85 that
-#: a link needs, 64 samples stray so far once in some ten million pairs.
-SKETCH_SIMILARITY = 0.58
-#: A link: shared shingles are at least so many hundredths of all shingles of both.
+#: A pair is dropped on its sketches when they differ as they would so many standard deviations of the
+#: samples below the similarity that a link needs: a link strays so far less than once in a million pairs.
+DEVIATIONS = 6.05
+#: A link of the query: shared shingles are at least so many hundredths of all shingles of both.
 PERCENT = 85
+#: Links of fewer hundredths aren't supported; they would need longer sketches.
+LEAST_PERCENT = 80
+#: Bands are enough to miss a pair at the link's similarity this often at most (16 bands at 85, 23 at 80).
+MISS = 7.5e-6
 #: So many ids are broadcast at most (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -42,6 +46,9 @@ _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 _draw = np.random.Generator(np.random.PCG64(85))
 _MULTIPLY = _draw.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_MORE = 32  # samples beyond the query's
+_MULTIPLY = np.concatenate([_MULTIPLY, _draw.integers(1, 1 << 63, _MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+_ADD = np.concatenate([_ADD, _draw.integers(0, 1 << 63, _MORE, dtype=np.uint64)])
 _CHUNK, _WORDS_KEPT = 4096, 100_000
 
 
@@ -78,11 +85,24 @@ def shingles(text: str | None, known: _Words) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def samples(found: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """The bands that find links of so many hundredths or more."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"links of {percent} hundredths")
+    return 1 if percent == 100 else int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** BAND_ROWS))))
+
+
+def sketch_limit(percent: int) -> int:
+    """The bits in which the sketches of a link of so many hundredths differ at most."""
+    similarity, count = percent / 100, bands_for(percent) * BAND_ROWS
+    return most_apart(similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / count), count)
+
+
+def samples(found: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     """The MinHash samples of a non-empty set of hashes."""
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(found), _CHUNK):  # bounds the memory for very long texts
-        least = np.minimum(least, (found[None, i : i + _CHUNK] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1))
+        least = np.minimum(least, (found[None, i : i + _CHUNK] * _MULTIPLY[:count, None] + _ADD[:count, None]).min(axis=1))
     return least
 
 
@@ -93,16 +113,16 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64)
 
 
-def most_apart(similarity: float) -> int:
+def most_apart(similarity: float, count: int = SAMPLES) -> int:
     """The bits in which sketches differ, on average, at a similarity."""
-    apart = 2 * SAMPLES * (1 - similarity)
+    apart = 2 * count * (1 - similarity)
     return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * apart / SKETCH_BITS)))
 
 
 _SIGNED = "n bigint, c1 bigint, c2 bigint, bands array<bigint>, sketch array<bigint>"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], in_bands: int) -> Iterator[pa.RecordBatch]:
     known = _Words()
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -116,9 +136,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     bands.append([])
                     sketch.append([])
                     continue
-                least = samples(found)
-                key = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for row in least.reshape(BANDS, BAND_ROWS).T:
+                least = samples(found, in_bands * BAND_ROWS)
+                key = np.arange(1, in_bands + 1, dtype=np.uint64)
+                for row in least.reshape(in_bands, BAND_ROWS).T:
                     key = _mix(key * _P + row)
                 bands.append(key.view(np.int64))
                 sketch.append(odd_sketch(least))
@@ -127,7 +147,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.release()
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text of a, text of b), those that the full sets link."""
     known, last, own = _Words(), None, np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
@@ -138,7 +158,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last, own = a, shingles(ta.as_py(), known)
                 other = shingles(tb.as_py(), known)
                 shared = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * shared >= PERCENT * (len(own) + len(other) - shared))
+                keep.append(100 * shared >= percent * (len(own) + len(other) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
     known.clear()
@@ -155,16 +175,16 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: first by their sketches, then by their full sets."""
     s = sketches.select(F.col("id"), "sketch")
     near = pairs.join(s.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
-    near = common.staged(near.filter(_apart(F.col("sa"), F.col("sb")) <= most_apart(SKETCH_SIMILARITY)).select("a", "b"), "near")
+    near = common.staged(near.filter(_apart(F.col("sa"), F.col("sb")) <= sketch_limit(percent)).select("a", "b"), "near")
     ids = common.staged(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "ids")
     texts = _texts(docs, ids)
     rows = near.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
     kind = dict(pairs.dtypes)["a"]
-    return common.staged(rows.select("a", "b", "ta", "tb").mapInArrow(_confirmed, f"a {kind}, b {kind}"), "links")
+    return common.staged(rows.select("a", "b", "ta", "tb").mapInArrow(lambda batches: _confirmed(batches, percent), f"a {kind}, b {kind}"), "links")
 
 
 def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +197,13 @@ def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found.view(np.int64))], names=["id", "shingle"])
 
 
-def _possible(n: str, alone: str, m: str, lone: str) -> Column:
+def _possible(n: str, alone: str, m: str, lone: str, percent: int) -> Column:
     """Whether two sets can be linked: of n and m shingles, ``alone`` and ``lone`` are in no other set."""
     n, alone, m, lone = (F.col(x) for x in (n, alone, m, lone))
-    return 100 * F.least(n - alone, m - lone) >= PERCENT * (alone + lone + F.greatest(n - alone, m - lone))
+    return 100 * F.least(n - alone, m - lone) >= percent * (alone + lone + F.greatest(n - alone, m - lone))
 
 
-def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The members (bucket, id, component) that can still have a link in their bucket, with n, bands and ``alone``.
 
     alone: shingles of a document that no other document of all open buckets has. They are in no
@@ -200,7 +220,7 @@ def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     least = rated.groupBy("bucket").agg(F.min("alone").alias("least"), F.min_by("id", "alone").alias("by"))
     second = rated.join(least, "bucket").filter("id <> by").groupBy("bucket").agg(F.min("alone").alias("second"))
     best = rated.join(least, "bucket").join(second, "bucket").withColumn("partner", F.when(F.col("id") == F.col("by"), F.col("second")).otherwise(F.col("least")))
-    return best.filter(100 * (F.col("n") - F.col("alone")) >= PERCENT * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone", "bands")
+    return best.filter(100 * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone", "bands")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,16 +233,17 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return common.staged(old.union(new), "labels")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept) for every row of ``df``.
 
-    key: a bigint column. component_id is the least key that links lead to, the row's own included; kept
+    Links are pairs of a similarity of ``percent`` hundredths or more. key: a bigint column. component_id is the least key that links lead to, the row's own included; kept
     where it is the row's own. Rows of one key are one document as far as links go. Rows with a null key
     have no component (null) and are kept. Null and empty texts have no shingles and no links. An empty
     table gives an empty result. Other columns of ``df`` aren't looked at.
     """
+    in_bands = bands_for(percent)
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    signed = common.staged(docs.mapInArrow(_signed, f"id bigint, {_SIGNED}"), "signed")
+    signed = common.staged(docs.mapInArrow(lambda batches: _signed(batches, in_bands), f"id bigint, {_SIGNED}"), "signed")
     docs = docs.filter(F.col("id").isNotNull())
     worded = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
     # classes of equal sets; the sketches of a class are equal too
@@ -233,7 +254,7 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     members = common.staged(met.join(buckets, "bucket").select("bucket", "id", "pivot"), "members")
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = common.staged(pairs, "pairs")
-    links, tried, pivots = _linked(pairs, classes, docs), pairs, 1
+    links, tried, pivots = _linked(pairs, classes, docs, percent), pairs, 1
     # equal sets of different rows of one key link classes, too
     same = worded.join(classes.withColumnRenamed("id", "a").select("n", "c1", "c2", "a"), ["n", "c1", "c2"]).filter("a <> id").select("a", F.col("id").alias("b"))
     members = members.filter("id <> pivot").select("bucket", "id")
@@ -242,7 +263,7 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
         at = members.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         at = common.staged(at, "at")
         open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        members = common.staged(_linkable(at.join(open_, "bucket"), classes, docs), "open")
+        members = common.staged(_linkable(at.join(open_, "bucket"), classes, docs, percent), "open")
         if members.isEmpty():
             break
         pivots *= 16
@@ -251,11 +272,11 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
         chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua"), F.col("p.bands").alias("ba")), "chosen")
         # a pair counts in the first bucket that it shares; there it has been compared, or is now
         first = F.expr("filter(zip_with(bands, ba, (x, y) -> if(x = y, x, null)), v -> v is not null)[0] = bucket")
-        pairs = members.join(chosen, "bucket").filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua") & first)
+        pairs = members.join(chosen, "bucket").filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua", percent) & first)
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
-        more = _linked(pairs, classes, docs)
+        more = _linked(pairs, classes, docs, percent)
         members = members.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
         if not more.isEmpty():
             links = links.union(more)
@@ -272,7 +293,7 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set and its component."""
-    return near_duplicates(common.table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return near_duplicates(common.table(spark, sf_dir, "documents"), "doc_id", "text", PERCENT).withColumnRenamed("id", "doc_id")
 
 
 #: Equal sets of documents are one there, too; pairs come from shared shingles.

@@ -80,6 +80,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.component_id == r.id) for r in got)
 
 
+def test_near_duplicates_by_similarity(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, *[f"x{i}" for i in range(20)]])), (3, " ".join([*base, *[f"y{i}" for i in range(27)]]))]
+    assert 0.8 <= len(_sets(rows[0][1])) / len(_sets(rows[1][1])) < 0.85 and len(_sets(rows[0][1])) / len(_sets(rows[2][1])) < 0.8
+    df = spark.createDataFrame(rows, "d bigint, t string")
+    found = lambda *percent: {r.id: r.component_id for r in neardup.near_duplicates(df, "d", "t", *percent).collect()}
+    assert found() == found(85) == {1: 1, 2: 2, 3: 3} and found(80) == {1: 1, 2: 1, 3: 3}
+    for percent in (80, 85, 90, 95):
+        n = neardup.bands_for(percent)
+        assert (1 - (percent / 100) ** neardup.BAND_ROWS) ** n <= neardup.MISS and n * neardup.BAND_ROWS <= len(neardup._MULTIPLY)
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(df, "d", "t", 79)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = neardup.near_duplicates(odd, "doc_id", "text").collect()
     assert len(rows) == len(odd_rows())

@@ -29,6 +29,12 @@ def test_stages(spark):
     assert sharded.count() == mixed.count() and sharded.select("shard").distinct().count() <= 40 and sharded.columns == [*COLUMNS, "shard", "slot"]
 
 
+def test_near_copies_below_the_query(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, base, "en", "a", 0), (2, base + " " + " ".join(f"x{i}" for i in range(20)), "en", "a", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r.doc_id for r in dict(cp.STAGES)["MinHash near-dedup"](spark, docs, DATA).collect()] == [1]
+
+
 def test_clashing_names(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     names = ["shard", "slot", "score", "lang_pred", "target", "repeats", "source_size", "kept", "id", "n", "in0", "mix_size", "copy", "key_text", "__range", "bad_id", "component_id"]
