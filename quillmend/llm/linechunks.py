@@ -1,13 +1,17 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by pairs of adjacent lines, or by content-defined chunks of lines.
 
-Every line is hashed, and a rolling hash over the last few line hashes says where a chunk ends, so chunks
+A run of two or more lines that occurs again consists of pairs of adjacent lines that do, whatever stands
+around it. So the pairs find every repeated run in its full length; a pair is removed where it has occurred
+before, after its bytes have been compared with the first.
+
+Chunks are the coarser form: every line is hashed, and a rolling hash over the last few line hashes says where a chunk ends, so chunks
 depend on what the lines are and not on where they stand: lines added at the front shift nothing. A chunk
 of several lines that occurs again anywhere is removed after its bytes have been compared with the first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,19 +49,24 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, first, end, h, k) of the chunks of several lines of (id, text); h and k: 128 bits of their hash."""
+def pairs(text: str) -> list[tuple[int, int]]:
+    """Line numbers (first, end) of every two adjacent lines of a text."""
+    return [(i, i + 2) for i in range(text.count("\n"))]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], pieces: Callable[[str], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, first, end, h, k) of the pieces of several lines of (id, text); h and k: 128 bits of their hash."""
     for batch in batches:
         ids, firsts, ends, hs, ks = [], [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             body = text.as_py()
             if not body:
                 continue
-            lines = body.split("\n")
-            for a, b in chunks(body):
+            lines = body.encode("utf-8", "surrogatepass").split(b"\n")
+            for a, b in pieces(body):
                 if b - a < LEAST_LINES:
                     continue
-                digest = np.frombuffer(xxhash.xxh3_128_digest("\n".join(lines[a:b]).encode("utf-8", "surrogatepass")), np.int64)
+                digest = np.frombuffer(xxhash.xxh3_128_digest(b"\n".join(lines[a:b])), np.int64)
                 ids.append(key)
                 firsts.append(a)
                 ends.append(b)
@@ -74,33 +83,35 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(wanted), pa.int64()), *[pa.array([w[c] for w in wanted], pa.int64()) for c in ("first", "end", "h", "k")], pa.array(["\n".join(lines[w["first"] : w["end"]]).encode() for w in wanted], pa.binary())], names=["id", "first", "end", "h", "k", "chunk"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Chunks (id, first, end) of rows (id: distinct and not null, text) that occur before, by id and place.
+def repeats(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]] = chunks) -> DataFrame:
+    """Pieces (id, first, end) of rows (id: distinct and not null, text) that occur before, by id and place.
 
-    Hashes are aggregated before they are shuffled, so a chunk that a third of all rows share is one row a
-    task. Only chunks whose hash occurs again have their bytes fetched and compared.
+    A pair that overlaps its own first occurrence (three equal lines) is no repetition of it. Hashes are
+    aggregated before they are shuffled, so a piece that a third of all rows share is one row a task. Only
+    pieces whose hash occurs again have their bytes fetched and compared.
     """
-    cut = common.staged(docs.mapInArrow(_cut, "id bigint, first bigint, end bigint, h bigint, k bigint"), "chunks")
+    cut = common.staged(docs.mapInArrow(lambda batches: _cut(batches, pieces), "id bigint, first bigint, end bigint, h bigint, k bigint"), "chunks")
     again = cut.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "k")
     wanted = cut.join(again, ["h", "k"]).groupBy("id").agg(F.collect_list(F.struct("first", "end", "h", "k")).alias("wanted"))  # of one document
     found = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_bytes_of, "id bigint, first bigint, end bigint, h bigint, k bigint, chunk binary")
     found = common.staged(found, "repeated")
     first = found.groupBy("h", "k", "chunk").agg(F.min(F.struct("id", "first")).alias("f")).select("h", "k", "chunk", F.col("f.id").alias("id0"), F.col("f.first").alias("first0"))
-    return found.join(first, ["h", "k", "chunk"]).filter("id <> id0 or first <> first0").select("id", "first", "end")
+    own_end = F.col("first0") + F.col("end") - F.col("first")  # of the first occurrence
+    return found.join(first, ["h", "k", "chunk"]).filter((F.col("id") != F.col("id0")) | (F.col("first") >= own_end)).select("id", "first", "end")
 
 
-def remove(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` with ``kept`` (the text without repeated chunks) and ``n_removed`` (its lines that went).
+def remove(df: DataFrame, key: str, text: str, pieces: Callable[[str], list[tuple[int, int]]] = chunks) -> DataFrame:
+    """``df`` with ``kept`` (the text without repeated pieces: :func:`chunks` or :func:`pairs`) and ``n_removed`` (its lines that went).
 
     key: a bigint column; a smaller key is earlier, null keys come first, rows of one key are ordered by the
-    hash of their text. Null texts stay null; an empty text has no chunk of several lines. Lines end with
+    hash of their text. Null texts stay null; an empty text has no piece of several lines. Lines end with
     a line feed. An empty table gives an empty result; other columns stay, but for ones named like the added.
     """
     inner, at = common.shielded(df)
-    return common.restored(_remove(inner, at[key], at[text]), df.columns, "kept", "n_removed")
+    return common.restored(_remove(inner, at[key], at[text], pieces), df.columns, "kept", "n_removed")
 
 
-def _remove(df: DataFrame, key: str, text: str) -> DataFrame:
+def _remove(df: DataFrame, key: str, text: str, pieces: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
     uid = common.fresh(df, "uid")
     n = df.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
     if n[0] == n[1]:
@@ -109,7 +120,7 @@ def _remove(df: DataFrame, key: str, text: str) -> DataFrame:
         body = F.coalesce(F.col(text), F.lit(""))
         numbered = df.withColumns({f"{uid}k": F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))), f"{uid}h": F.xxhash64(body), f"{uid}n": F.octet_length(body).cast("bigint") + 16})
         rows = sharding.assign(numbered, f"{uid}k", f"{uid}h", f"{uid}n", 1, "rows").withColumnRenamed("slot", uid).drop("shard", f"{uid}k", f"{uid}h", f"{uid}n")
-    gone = repeats(rows.select(F.col(uid).alias("id"), F.col(text).alias("text")).filter(F.col(text).isNotNull()))
+    gone = repeats(rows.select(F.col(uid).alias("id"), F.col(text).alias("text")).filter(F.col(text).isNotNull()), pieces)
     gone = gone.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("gone"))  # of one document
     both = rows.join(gone.withColumnsRenamed({"id": f"{uid}g", "gone": f"{uid}r"}), F.col(uid) == F.col(f"{uid}g"), "left").drop(uid, f"{uid}g")
     at = df.columns.index(text)
@@ -128,6 +139,6 @@ def _remove(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the chunks of lines that an earlier one (or itself, before) has."""
-    out = remove(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    """Every document without the runs of two or more lines that an earlier one (or itself, before) has."""
+    out = remove(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", pairs)
     return out.select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.col("n_removed").alias("n_removed_lines"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -207,6 +207,32 @@ def test_line_chunks_match_brute_force(docs, odd, empty):
     assert linechunks.remove(empty, "doc_id", "text").count() == 0
 
 
+def test_repeated_runs_of_lines_go(spark, odd, empty):
+    rng = random.Random(3)
+    runs = [[f"run {n} line {i}, which is shared" for i in range(n)] for n in range(2, 7)]
+    rows = [(d, "\n".join([f"start {d}", *runs[d % 5], f"own {d}", f"end {d}"][rng.randrange(2) :])) for d in range(30)]  # short runs in otherwise different documents
+    rows += [(100 + d, "\n".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for d in range(60)] + [(200, "same\nsame\nsame"), (201, "x\nx\nx\nx")]
+    got = {r.d: r for r in linechunks.remove(spark.createDataFrame(rows, "d bigint, t string"), "d", "t", linechunks.pairs).collect()}
+    for d, text in rows[5:30]:
+        assert not set(runs[d % 5]) & set(got[d].kept.split("\n")) and got[d].n_removed == len(runs[d % 5])
+    texts = [t.split("\n") for _, t in rows]
+    for at, (d, _) in enumerate(rows):  # all runs of any length, against all earlier documents and the same one
+        lines, gone = texts[at], set()
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                in_earlier = any(other[i : i + b - a] == lines[a:b] for other in texts[:at] for i in range(len(other) - (b - a) + 1))
+                if in_earlier or any(lines[i : i + b - a] == lines[a:b] for i in range(a - (b - a) + 1)):
+                    gone |= set(range(a, b))
+        assert got[d].kept == "\n".join(x for i, x in enumerate(lines) if i not in gone), d
+    assert {x for t in texts for x in t} == {x for r in got.values() for x in r.kept.split("\n")} | {""}  # one copy of every line stays
+    assert linechunks.remove(odd, "doc_id", "text", linechunks.pairs).count() == len(odd_rows()) and linechunks.remove(empty, "doc_id", "text", linechunks.pairs).count() == 0
+
+
+def test_line_query_takes_short_runs(spark, tmp_path):
+    spark.createDataFrame([(1, "a 1\nshared one\nshared two\nb 1"), (2, "a 2\nshared one\nshared two\nb 2")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed_lines for r in linechunks.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 2}
+
+
 def test_chunks_resist_shifts():
     lines = [f"line number {i} of the text" for i in range(60)]
     chunks = lambda ls: {tuple(ls[a:b]) for a, b in linechunks.chunks("\n".join(ls))}
