@@ -24,10 +24,10 @@ STRONG = {
     "access": (r"AKIA[A-Z0-9]{16,}", 20, 0),
     "hex": (r"[0-9a-f]{24,}", 24, 0),
 }
-#: Weak kinds.
+#: Weak kinds. A key is a whole run of any length, so its start is only tried where a run starts.
 WEAK = {
     "login": (r"""\b(?:[Uu]ser(?:_?[Nn]ame)?|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 0),
-    "key": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]{0,80}[0-9])(?=[A-Za-z0-9+/]{0,80}[A-Z])(?=[A-Za-z0-9+/]{0,80}[a-z])[A-Za-z0-9+/]{32,80}={0,2}(?![A-Za-z0-9+/_=-])", 0, 0),
+    "key": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/_=-])", 0, 0),
     "endpoint": (r"""https?://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|internal|local)(?::[0-9]{2,5})?\b""", 0, 0),
 }
 ROLES = {"access": "identifier", "login": "account", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
