@@ -18,10 +18,13 @@ NEAR_PERCENT = 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without any letter (or text) go; ``lang`` stays as it is.
 
-    The model is learned from the labelled documents among ``docs`` that aren't held out.
+    The model is learned from the labelled documents among ``docs`` that aren't held out. Where none teaches
+    a language, all documents with a letter stay.
     """
     model = langid.train(docs.filter(common.id_remainder("doc_id", 5) != 0), "doc_id", "text", "lang")
     inner, at = common.shielded(docs)  # columns of any name stay
+    if not model.langs:
+        return common.restored(inner.filter(F.col(at["text"]).rlike(r"\p{L}")), docs.columns)
     told = langid.predict(inner, at["text"], model).filter(F.col("lang_pred") != langid.UNDETERMINED)
     return common.restored(told, docs.columns)
 

@@ -35,6 +35,13 @@ def test_near_copies_below_the_query(spark):
     assert [r.doc_id for r in dict(cp.STAGES)["MinHash near-dedup"](spark, docs, DATA).collect()] == [1]
 
 
+def test_language_without_labels(spark):
+    rows = [(i, t, None, "a", 0) for i, t in enumerate(["plain words", "é", "Привет", "123 !", "", None, " \n"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    told = dict(cp.STAGES)["language ID"](spark, docs, DATA)
+    assert {r.doc_id for r in told.collect()} == {0, 1, 2} and told.columns == COLUMNS
+
+
 def test_clashing_names(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     names = ["shard", "slot", "score", "lang_pred", "target", "repeats", "source_size", "kept", "id", "n", "in0", "mix_size", "copy", "key_text", "__range", "bad_id", "component_id"]
