@@ -29,20 +29,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return common.restored(told, docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    found = neardup.near_duplicates(docs, "doc_id", "text", NEAR_PERCENT).filter("kept").select(F.col("id").alias("kept_id")).distinct()
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` shielded, with a distinct ``row`` number for each row, and the columns' new names.
+
+    The number is the id where ids are distinct and none is null; else it goes by id, nulls first, and then
+    by a hash of the text.
+    """
     inner, at = common.shielded(docs)
-    return common.restored(inner.join(found, F.col(at["doc_id"]).eqNullSafe(F.col("kept_id")), "left_semi"), docs.columns)
+    key, body = F.col(at["doc_id"]).cast("bigint"), F.coalesce(F.col(at["text"]), F.lit(""))
+    n = inner.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    if n[0] == n[1]:
+        return inner.withColumn("row", key), at
+    keyed = inner.withColumns({"key_id": F.coalesce(key, F.lit(-(1 << 63))), "key_text": common.hash60(body), "key_size": (F.octet_length(body) + 16).cast("bigint")})
+    placed = sharding.assign(keyed, "key_id", "key_text", "key_size", 1, "rows")
+    return common.staged(placed.select(*inner.columns, F.col("slot").alias("row")), "numbered"), at  # fixes the numbers
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: the one with the least id, a null id first; of one id, any."""
+    inner, at = _numbered(docs)
+    found = neardup.near_duplicates(inner, "row", at["text"], NEAR_PERCENT).filter("kept").select(F.col("id").alias("kept_row"))
+    return common.restored(inner.join(found, F.col("row") == F.col("kept_row"), "left_semi"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words are benchmark words."""
-    index = decontam.build_index(docs, "doc_id", "text")
+    """Rows of which less than a twentieth of the words are benchmark words."""
+    inner, at = _numbered(docs)
+    index = decontam.build_index(inner, "row", at["text"])
     found = decontam.contamination(index, decontam.search(index, common.table(spark, sf_dir, "benchmark"), "item_id", "text"))
-    bad = found.filter((F.col("n_hit") > 0) & (decontam.ONE_IN * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc").alias("bad_id")).distinct()
-    inner, at = common.shielded(docs)
-    return common.restored(inner.join(bad, F.col(at["doc_id"]).eqNullSafe(F.col("bad_id")), "left_anti"), docs.columns)
+    bad = found.filter((F.col("n_hit") > 0) & (decontam.ONE_IN * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc").alias("bad_row"))
+    return common.restored(inner.join(bad, F.col("row") == F.col("bad_row"), "left_anti"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,20 @@ def test_language_without_labels(spark):
     assert {r.doc_id for r in told.collect()} == {0, 1, 2} and told.columns == COLUMNS
 
 
+def test_rows_of_null_and_repeated_ids(spark):
+    stage = dict(cp.STAGES)
+    bad = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 100").orderBy("item_id").first().text
+    clean = [" ".join(f"c{i}w{k}" for k in range(60)) for i in range(4)]
+    rows = [(None, clean[0]), (None, clean[0]), (None, clean[1]), (None, bad), (7, clean[2]), (7, clean[2]), (7, clean[3]), (7, bad), (8, clean[3]), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    key = lambda x: (str(x[0]), str(x[1]))
+    single = stage["MinHash near-dedup"](spark, docs, DATA)
+    assert sorted([(r.doc_id, r.text) for r in single.collect()], key=key) == sorted([(None, clean[0]), (None, clean[1]), (None, bad), (7, clean[2]), (7, clean[3]), (9, None)], key=key)
+    got = stage["benchmark decontamination"](spark, docs, DATA)
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted([x for x in rows if x[1] != bad], key=key)
+    assert single.columns == got.columns == COLUMNS
+
+
 def test_clashing_names(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     names = ["shard", "slot", "score", "lang_pred", "target", "repeats", "source_size", "kept", "id", "n", "in0", "mix_size", "copy", "key_text", "__range", "bad_id", "component_id"]
