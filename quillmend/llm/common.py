@@ -8,6 +8,8 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) is a temporary folder made and set.
+    Only where the session has none and runs on one machine (tests) is a temporary folder made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmend-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,20 +48,45 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the Python process ends."""
+    atexit.register(_remove, spark, path)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as read back from a new folder of the shared one, and that folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillmend/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage: what reads the result never recomputes what is above it, and a lost executor
-    costs only the tasks that it ran. The folder goes when the Python process ends.
+    costs only the tasks that it ran. The folder goes with the scope, or when the Python process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmend/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """What is staged inside goes at the end, but for the folders that are taken off the list that this gives."""
+    _scopes.append(made := [])
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+        for path in made:
+            _remove(spark, path)
 
 
 def release() -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Phrases are searched in blocks of about so many bytes of text; a block's terms are what is broadcast.
 BLOCK_BYTES = 4 << 20
 WINDOW = 13
@@ -37,18 +37,18 @@ def words(text: str | None) -> list[bytes]:
 
 def encode_deltas(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Base-128 bytes of non-negative integers, and how many bytes each of them takes."""
-    gaps = gaps.astype(np.uint64)
-    length = np.ones(len(gaps), np.int64)
+    length = np.ones(len(gaps), np.int8)
+    most = int(gaps.max(initial=0))
     for k in range(1, 10):
-        more = gaps >= np.uint64(1 << (7 * k))
-        if not more.any():
+        if most < 1 << (7 * k):
             break
-        length += more
-    start = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()), np.uint8)
+        length += gaps >= 1 << (7 * k)
+    start = np.cumsum(length, dtype=np.int64) - length
+    out = np.zeros(int(length.sum(dtype=np.int64)), np.uint8)
+    has = np.arange(len(gaps))
     for k in range(int(length.max(initial=0))):
-        has = length > k
-        out[start[has] + k] = ((gaps[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(length[has] > k + 1, 128, 0).astype(np.uint8)
+        has = has[length[has] > k]
+        out[start[has] + k] = ((gaps[has] >> (7 * k)) & 127) | np.where(length[has] > k + 1, 128, 0)
     return out, length
 
 
@@ -81,15 +81,18 @@ class _Shard:
         yield pa.RecordBatch.from_arrays([pa.array([self.number] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([d[0] for d in self.docs], schema.field(2).type), pa.array([d[1] for d in self.docs], pa.int64()), pa.array([d[2] for d in self.docs], pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
         if not self.terms:
             return
-        at = np.concatenate([base + np.arange(len(x)) for (_, base, _), x in zip(self.docs, self.ids, strict=True)]) if self.ids else np.zeros(0, np.int64)
-        ids = np.concatenate(self.ids)
-        order = np.argsort(ids, kind="stable")
-        at, count = at[order], np.bincount(ids, minlength=len(self.terms))
+        ids, kind = np.concatenate(self.ids), np.int32 if self.at < 1 << 31 else np.int64
+        at = np.concatenate([np.arange(base, base + len(x), dtype=kind) for (_, base, _), x in zip(self.docs, self.ids, strict=True)])
+        self.ids = []
+        at, count = at[np.argsort(ids, kind="stable")], np.bincount(ids, minlength=len(self.terms))
+        del ids
         first = np.cumsum(count) - count
-        gaps = np.diff(at, prepend=0)
+        gaps = np.diff(at, prepend=kind(0))
         gaps[first] = at[first]
+        del at
         data, length = encode_deltas(gaps)
-        offsets = np.concatenate([[0], np.add.reduceat(length, first).cumsum()]).astype(np.int32)
+        del gaps
+        offsets = np.concatenate([[0], np.add.reduceat(length, first, dtype=np.int64).cumsum()]).astype(np.int32)
         terms = list(self.terms)
         for i in range(0, len(terms), 20_000):
             part = offsets[i : i + 20_001]
@@ -120,6 +123,8 @@ def build_index(df: DataFrame, doc: str, text: str) -> DataFrame:
                     shard = None
         if shard is not None:
             yield from shard.batches(schema)
+        shard = None
+        common.release()
 
     return common.staged(df.select(F.col(doc), F.col(text).cast("string")).mapInArrow(index, out), "postings")
 

@@ -121,8 +121,6 @@ def serialized(units: str) -> Column:
     return F.concat_ws("|", F.expr(f"size({units})").cast("string"), F.expr(f"array_join({blocks}, ';')"))
 
 
-#: Ranges of the order of ids hold about so many bytes, but there are no more than so many ranges.
-RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 _LAST = -(1 << 63)
 
 
@@ -141,8 +139,7 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
 def _with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     k, h, n, r, g = (common.fresh(df, x) for x in ("key", "hash", "size", "range", "ghost"))
     keyed = df.withColumns({k: F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)), h: F.xxhash64(text), n: F.octet_length(text).cast("bigint") + 16})
-    total = keyed.agg(F.sum(n)).first()[0] or 0
-    ranges = splitters.split(keyed.select(k, h, n), k, h, n, int(min(MOST_RANGES, max(32, total // RANGE_BYTES))))
+    ranges = splitters.split(common.staged(keyed.select(k, h, n), "keys"), k, h, n, 32)
     placed = keyed.withColumn(r, splitters.range_id(ranges.splitters, k, h))
     ends = {x[0]: (x[1], x[2]) for x in placed.groupBy(r).agg(F.max(F.struct(k, h)).alias("m")).select(r, f"m.{k}", f"m.{h}").collect()}  # a row a range
     order = sorted(ends)
@@ -151,7 +148,7 @@ def _with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     before = [(i, *ends[order[at - 1]]) for at, i in enumerate(order)]
     spark = df.sparkSession
     ghosts = spark.createDataFrame(before, f"`{r}` int, __k bigint, __h bigint")
-    ghosts = keyed.join(F.broadcast(ghosts), (F.col(k) == F.col("__k")) & (F.col(h) == F.col("__h")))  # at most MOST_RANGES
+    ghosts = keyed.join(F.broadcast(ghosts), (F.col(k) == F.col("__k")) & (F.col(h) == F.col("__h")))  # at most splitters.MOST_RANGES
     both = placed.select(*df.columns, k, h, r, F.lit(1).alias(g)).unionByName(ghosts.select(*df.columns, k, h, r, F.lit(0).alias(g)))
     window = Window.partitionBy(r).orderBy(g, k, h)
     return both.withColumn("next", F.lag(text).over(window)).filter(F.col(g) == 1).select(*df.columns, "next")

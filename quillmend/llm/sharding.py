@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import common, splitters
 
+#: Ranges for each shard at least; large tables have more (:data:`.splitters.RANGE_BYTES`), so that one is a task's work.
 RANGES_PER_SHARD = 16
 
 
@@ -37,7 +38,7 @@ def _assign(df: DataFrame, shards: int, law: str, ranges_per_shard: int) -> Data
     key1, key2, size = "key1", "key2", "size"
     a, b, n, r = (common.fresh(df, x) for x in ("key1", "key2", "size", "range"))
     keyed = df.withColumns({a: F.coalesce(F.expr(key1), F.lit(-1)).cast("bigint"), b: F.coalesce(F.expr(key2), F.lit(-1)).cast("bigint"), n: F.greatest(F.coalesce(F.expr(size), F.lit(0)), F.lit(0)).cast("bigint")})
-    keys = keyed.select(a, b, n)
+    keys = common.staged(keyed.select(a, b, n), "keys")  # read several times
     ranges = splitters.split(keys, a, b, n, shards * ranges_per_shard)
     before_bytes, before_rows, x, y = [], [], 0, 0
     for s, k in zip(ranges.sizes, ranges.rows, strict=True):
@@ -48,8 +49,8 @@ def _assign(df: DataFrame, shards: int, law: str, ranges_per_shard: int) -> Data
     start, row = common.fresh(df, "start"), common.fresh(df, "row")
     placed = keyed.withColumns({r: splitters.range_id(ranges.splitters, a, b), "__tie": F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))])})
     placed = placed.withColumns({
-        start: F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n) + F.expr(f"element_at({splitters.long_array(before_bytes)}, {r} + 1)"),
-        row: F.row_number().over(w) - 1 + F.expr(f"element_at({splitters.long_array(before_rows)}, {r} + 1)"),
+        start: F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n) + F.get(splitters.long_array(before_bytes), F.col(r)),
+        row: F.row_number().over(w) - 1 + F.get(splitters.long_array(before_rows), F.col(r)),
     })
     if law == "bytes":
         shard = f"least({shards - 1}, ((2 * {start} + {n}) * {shards}) div {max(1, 2 * x)})"

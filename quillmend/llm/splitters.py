@@ -7,13 +7,17 @@ and one count a range, neither of which grows with the rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLES_PER_RANGE = 32
+SAMPLES_PER_RANGE = 16
 OVERFULL = 2.0
+#: Ranges hold about so many bytes, but there are no more than so many of them.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 
 
 @dataclass(frozen=True)
@@ -33,38 +37,34 @@ class Ranges:
         return sum(self.rows)
 
 
-def _pair(a: int, b: int) -> str:
-    return f"named_struct('a',{a}L,'b',{b}L)"
-
-
-def long_array(values: list[int]) -> str:
-    return "array(" + ",".join(f"{v}L" for v in values) + ")"
+def long_array(values: list[int]) -> Column:
+    """A constant array of bigints; a short expression however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
 def range_id(splitters: list[tuple[int, int]], key1: str, key2: str) -> Column:
-    """How many splitters are at or below the key: a two-level search, about 2 * sqrt(n) comparisons.
+    """How many splitters are at or below the key, by binary search.
 
     ``key1`` and ``key2`` are SQL texts of non-null bigint expressions.
     """
     if not splitters:
         return F.lit(0)
-    step = max(1, int(len(splitters) ** 0.5))
-    blocks = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    key = f"named_struct('a',{key1},'b',{key2})"
-    coarse = "array(" + ",".join(_pair(*b[0]) for b in blocks) + ")"
-    fine = "array(" + ",".join("array(" + ",".join(_pair(*s) for s in b) + ")" for b in blocks) + ")"
-    block = f"size(filter({coarse}, s -> s <= {key}))"
-    inside = f"size(filter(element_at({fine}, greatest({block}, 1)), s -> s <= {key}))"
-    return F.expr(f"greatest({block} - 1, 0) * {step} + {inside}").cast("int")
+    a, b = long_array([x for x, _ in splitters]), long_array([y for _, y in splitters])
+    x, y = F.expr(key1), F.expr(key2)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(splitters).bit_length()))])
+
+    def further(found: Column, step: Column) -> Column:
+        at = found + step - 1  # null beyond the end
+        return F.when((F.get(a, at) < x) | ((F.get(a, at) == x) & (F.get(b, at) <= y)), found + step).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), further).cast("int")
 
 
 def _sampled(df: DataFrame, key1: str, key2: str, size: str, total: int, samples: int, seed: int) -> list[tuple[int, int, float]]:
-    """Rows drawn with probability min(1, samples * size / total), each with the size that it stands for.
+    """Rows drawn with probability min(1, samples * size / total), each with the size that it stands for, by key.
 
     The draw hashes the key, so a task that runs again draws the same rows.
     """
-    if not total:
-        return []
     unit = F.expr(f"pmod(xxhash64({key1}, {key2}, {seed}), 1000003) / 1000003D")
     chosen = df.filter(unit < F.expr(f"({size}) * {samples / total!r}D"))
     found = chosen.select(F.expr(key1).alias("a"), F.expr(key2).alias("b"), F.expr(f"cast(greatest({size}, {total / samples!r}D) as double)").alias("w"))
@@ -72,15 +72,10 @@ def _sampled(df: DataFrame, key1: str, key2: str, size: str, total: int, samples
 
 
 def _quantiles(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
-    weight, seen, cuts = sum(w for *_, w in sample), 0.0, []
-    for a, b, w in sample:
-        if seen >= weight * (len(cuts) + 1) / parts:
-            if not cuts or (a, b) > cuts[-1]:
-                cuts.append((a, b))
-        seen += w
-        if len(cuts) == parts - 1:
-            break
-    return cuts
+    """Keys before which about 1, 2, ... of ``parts`` shares of the weight lie."""
+    before = list(accumulate((w for *_, w in sample), initial=0.0))
+    at = {bisect_left(before, before[-1] * i / parts) for i in range(1, parts)}
+    return sorted({sample[i][:2] for i in at if i < len(sample)})
 
 
 def _counted(df: DataFrame, splitters: list[tuple[int, int]], key1: str, key2: str, size: str) -> Ranges:
@@ -91,17 +86,23 @@ def _counted(df: DataFrame, splitters: list[tuple[int, int]], key1: str, key2: s
     return Ranges(splitters, sizes, rows)
 
 
-def split(df: DataFrame, key1: str, key2: str, size: str, parts: int, seed: int = 17) -> Ranges:
-    """Splitters for about ``parts`` ranges of like total ``size``.
+def parts_for(total: int, least: int) -> int:
+    """Ranges of about ``RANGE_BYTES``, but at least ``least`` and at most ``MOST_RANGES`` (or ``least``)."""
+    return max(least, min(MOST_RANGES, total // RANGE_BYTES))
+
+
+def split(df: DataFrame, key1: str, key2: str, size: str, least: int, seed: int = 17) -> Ranges:
+    """Splitters for ranges of like total ``size``: :func:`parts_for` says how many.
 
     Ranges beyond ``OVERFULL`` times the mean are sampled again and cut, until none is left or the
     sample finds no further key inside them (all their rows share one key).
     """
-    total = df.agg(F.sum(F.expr(size))).first()[0]
-    total = int(total or 0)
-    sample = _sampled(df, key1, key2, size, total, SAMPLES_PER_RANGE * parts, seed)
-    ranges = _counted(df, _quantiles(sample, parts), key1, key2, size)
-    while total:
+    total = int(df.agg(F.sum(F.expr(size))).first()[0] or 0)
+    parts = parts_for(total, least)
+    if not total:
+        return _counted(df, [], key1, key2, size)
+    ranges = _counted(df, _quantiles(_sampled(df, key1, key2, size, total, SAMPLES_PER_RANGE * parts, seed), parts), key1, key2, size)
+    while True:
         full = {i: s for i, (s, n) in enumerate(zip(ranges.sizes, ranges.rows, strict=True)) if n > 1 and s > OVERFULL * total / parts}
         if not full:
             return ranges
@@ -110,10 +111,9 @@ def split(df: DataFrame, key1: str, key2: str, size: str, parts: int, seed: int
         bounds, more = [None, *ranges.splitters, None], set()
         for i, s in full.items():
             low, high = bounds[i], bounds[i + 1]
-            own = [x for x in found if (low is None or x[:2] >= low) and (high is None or x[:2] < high)]
+            own = found[0 if low is None else bisect_left(found, low) : len(found) if high is None else bisect_left(found, high)]  # a pair is before all triples that begin with it
             more |= set(_quantiles(own, max(2, round(s * parts / total))))
         more -= set(ranges.splitters)
         if not more:
             return ranges
         ranges = _counted(df, sorted({*ranges.splitters, *more}), key1, key2, size)
-    return ranges

@@ -17,7 +17,7 @@ def test_stages(spark):
     told = stage["language ID"](spark, docs, DATA)
     assert told.columns == COLUMNS and {r.doc_id for r in told.select("doc_id").collect()} == {r.doc_id for r in docs.filter("doc_id < 10000").select("doc_id").collect()}
     single = stage["MinHash near-dedup"](spark, told, DATA)
-    expected = {r.id for r in neardup.near_duplicates(told, "doc_id", "text").filter("kept").collect()}
+    expected = {r.id for r in neardup.near_duplicates(told, "doc_id", "text", cp.NEAR_PERCENT).filter("kept").collect()}
     assert single.columns == COLUMNS and {r.doc_id for r in single.collect()} == expected and single.count() == len(expected)
     clean = stage["benchmark decontamination"](spark, single, DATA)
     found = decontam.query(spark, DATA).filter("contaminated").select("doc_id")
