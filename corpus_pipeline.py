@@ -16,17 +16,19 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without any letter (or text) go; ``lang`` stays as it is.
+    """Documents whose language can be told, a null ``lang`` filled in by the prediction; documents without any letter (or text) go.
 
     The model is learned from the labelled documents among ``docs`` that aren't held out. Where none teaches
-    a language, all documents with a letter stay.
+    a language (all null, an empty table), all documents with a letter stay as they are. Rows keep to
+    themselves: null and repeated ids, equal rows and very long texts are no matter. A ``lang`` that isn't
+    null stays as it is.
     """
     model = langid.train(docs.filter(common.id_remainder("doc_id", 5) != 0), "doc_id", "text", "lang")
     inner, at = common.shielded(docs)  # columns of any name stay
     if not model.langs:
         return common.restored(inner.filter(F.col(at["text"]).rlike(r"\p{L}")), docs.columns)
     told = langid.predict(inner, at["text"], model).filter(F.col("lang_pred") != langid.UNDETERMINED)
-    return common.restored(told, docs.columns)
+    return common.restored(told.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")), docs.columns)
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -46,14 +48,22 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the least id, a null id first; of one id, any."""
+    """One row of each group of near duplicates: the one with the least id, a null id first; of one id, any.
+
+    Rows count, not ids: rows of one id or with a null id are documents of their own. Null and empty texts
+    have no duplicates and stay. A text of under five words is a duplicate of equal words alone.
+    """
     inner, at = _numbered(docs)
     found = neardup.near_duplicates(inner, "row", at["text"], NEAR_PERCENT).filter("kept").select(F.col("id").alias("kept_row"))
     return common.restored(inner.join(found, F.col("row") == F.col("kept_row"), "left_semi"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which less than a twentieth of the words are benchmark words."""
+    """Rows of which less than a twentieth of the words are benchmark words.
+
+    Each row is judged by its own words: null and repeated ids are no matter. Null and empty texts, and all
+    rows where the benchmark is empty, stay.
+    """
     inner, at = _numbered(docs)
     index = decontam.build_index(inner, "row", at["text"])
     found = decontam.contamination(index, decontam.search(index, common.table(spark, sf_dir, "benchmark"), "item_id", "text"))
@@ -62,7 +72,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it (:func:`quillmend.llm.mixing.mix`).
+
+    A null source is one of its own, null and empty texts have size 0 and follow their place in their
+    source's order, as do rows of one id.
+    """
     inner, at = common.shielded(docs)
     taken = mixing.mix(inner.withColumn("mix_size", mixing.word_count(at["text"])), at["source"], "mix_size", at["doc_id"])
     taken = taken.filter("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
@@ -70,7 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and their slot in it."""
+    """All rows with their ``shard`` and their ``slot`` in it; equal texts, nulls and empty ones among them, side by side."""
     inner, at = common.shielded(docs)
     text = F.coalesce(F.col(at["text"]), F.lit(""))
     keyed = inner.withColumns({"key_text": common.hash60(text), "key_id": common.hash60(F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit(""))), "key_size": (F.octet_length(text) + 16).cast("bigint")})
@@ -88,9 +102,15 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        with common.scope(spark) as made:  # what a stage stages inside goes when its result is written
+            made += before
+            docs, path = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+            made.remove(path)
+        before = [path]
+    for path in before:
+        common.at_exit(spark, path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
