@@ -21,7 +21,7 @@ from ..kernel import document, spans, tree
 from ..options import Allow, Options, Repairs
 
 __all__ = [
-    "deserialize", "extract", "extract_all", "extract_partial", "fenced_block", "from_value", "is_valid_json", "json_array", "json_as_bigint", "json_as_bool", "json_as_double", "json_as_number", "json_as_string", "json_as_ubigint", "json_elements", "json_entries", "json_eq", "json_get", "json_index", "json_is", "json_is_empty", "json_kind", "json_len", "json_object", "json_of", "json_pointer", "json_push", "json_put", "json_quote", "json_set", "json_take", "loads", "loads_text", "parse", "parse_partial", "parse_result", "repair", "repair_bytes", "repair_bytes_result", "repair_extract", "repair_into", "repair_result", "try_parse", "try_parse_partial", "try_repair", "try_repair_bytes", "try_repair_extract", "validate",
+    "deserialize", "deserialize_result", "deserialize_value", "extract", "extract_all", "extract_partial", "fenced_block", "from_value", "from_value_result", "is_valid_json", "json_array", "json_as_bigint", "json_as_bool", "json_as_double", "json_as_number", "json_as_string", "json_as_ubigint", "json_at", "json_elements", "json_entries", "json_eq", "json_get", "json_index", "json_is", "json_is_empty", "json_kind", "json_len", "json_object", "json_of", "json_pointer", "json_push", "json_put", "json_quote", "json_set", "json_take", "loads", "loads_result", "loads_text", "parse", "parse_partial", "parse_result", "repair", "repair_bytes", "repair_bytes_into", "repair_bytes_result", "repair_extract", "repair_into", "repair_result", "try_deserialize", "try_loads", "try_loads_text", "try_parse", "try_parse_partial", "try_repair", "try_repair_bytes", "try_repair_extract", "validate",
 ]
 
 _ALL, _PASSES = int(Allow.ALL), int(Repairs.ALL)
@@ -29,7 +29,9 @@ _ALL, _PASSES = int(Allow.ALL), int(Repairs.ALL)
 #: Texts that are their own repair: a flat object or array, or a scalar, in canonical spelling with plain strings.
 _TEXT = r'"[A-Za-z0-9 _.-]*"'
 _SCALAR = rf"(?:{_TEXT}|true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?)"
-CANONICAL = rf"^(?:\{{(?:{_TEXT}: {_SCALAR}(?:, {_TEXT}: {_SCALAR})*)?\}}|\[(?:{_SCALAR}(?:, {_SCALAR})*)?\])\z"
+# the repetitions are possessive: the JVM runs those as loops, others as a call for each round, which long arrays don't survive
+_MEMBER = f"{_TEXT}: {_SCALAR}"
+CANONICAL = rf"^(?:\{{(?:{_MEMBER}(?:, {_MEMBER})*+)?\}}|\[(?:{_SCALAR}(?:, {_SCALAR})*+)?\])\z"
 
 
 def _col(c: Column | str) -> Column:
@@ -139,6 +141,12 @@ def repair_bytes_result(c: Column | str, allow: int = _ALL, repairs: int = _PASS
     return _verb("repair_bytes", "result", int(allow), int(repairs))(_col(c))
 
 
+def repair_bytes_into(prefix: Column | str, c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
+    """``prefix`` (binary) with the repaired bytes after it, or alone where that fails."""
+    prefix = _col(prefix)
+    return F.coalesce(F.concat(prefix, try_repair_bytes(c, allow, repairs)), prefix)
+
+
 def repair_extract(c: Column | str) -> Column:
     """The JSON found in a text, repaired; the repaired whole text if that fails."""
     return _verb("repair_extract", "raise", _ALL, _PASSES)(_col(c))
@@ -236,7 +244,6 @@ def _looked_up(verb: str, *args):
         "entries": lambda n: [{"key": k, "value": tree.write(v)} for k, v in n] if isinstance(n, tree.Members) else None,
         "len": lambda n: len(n) if isinstance(n, list) else 0,
         "eq": lambda n: tree.equal(n, *args),
-        "loads": lambda n: tree.write(tree.loaded(n)),
     }
     kinds = {"bool": "boolean", "double": "double", "bigint": "bigint", "elements": "array<string>", "entries": "array<struct<key:string,value:string>>", "len": "int", "eq": "boolean"}
     return _mapped(_reading(functions[verb]), kinds.get(verb, "string"))
@@ -247,6 +254,11 @@ def json_get(c: Column | str, key: str) -> Column:
     return _looked_up("get", key)(_col(c))
 
 
+def json_at(c: Column | str, at: str | int) -> Column:
+    """The member of that key or the element of that number; the text null where there is none."""
+    return F.when(_col(c).isNotNull(), F.coalesce(json_index(c, at) if isinstance(at, int) else json_get(c, at), F.lit("null")))
+
+
 def json_index(c: Column | str, i: int) -> Column:
     return _looked_up("index", i)(_col(c))
 
@@ -418,9 +430,25 @@ def json_object(*pairs: Column | str) -> Column:
 # -- other models
 
 
+@lru_cache(maxsize=256)
+def _loads(flavour: str, allow: int, repairs: int):
+    options = Options(allow, repairs)
+
+    def loaded(text: str) -> str:
+        return tree.write(tree.loaded(tree.read(document.render(text, options))))
+
+    if flavour == "result":
+        return _tabled(_reported(loaded), ("value", "error"), f"struct<value:string,error:{ERROR_TYPE}>")
+    return _mapped(_attempt(loaded) if flavour == "try" else loaded, "string")
+
+
 def loads_text(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
     """Repaired, keys sorted, the last of duplicates, numbers beyond any float as strings."""
-    return _looked_up("loads")(_verb("repair", "raise", int(allow), int(repairs))(_col(c)))
+    return _loads("raise", int(allow), int(repairs))(_col(c))
+
+
+def try_loads_text(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
+    return _loads("try", int(allow), int(repairs))(_col(c))
 
 
 def loads(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
@@ -428,36 +456,103 @@ def loads(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
     return F.parse_json(loads_text(c, allow, repairs))
 
 
+def try_loads(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
+    return F.parse_json(try_loads_text(c, allow, repairs))
+
+
+def loads_result(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
+    """struct<value: variant, error>."""
+    r = _loads("result", int(allow), int(repairs))(_col(c))
+    return F.when(_col(c).isNotNull(), F.struct(F.parse_json(r["value"]).alias("value"), r["error"].alias("error")))
+
+
+def _typed_value(text: str, spec, options: Options | None):
+    """A document as a Spark type; raises JsonTextError for its text and Mismatch for its types."""
+    try:
+        node = tree.read(text if options is None else document.render(text, options))
+    except JsonTextError:
+        raise
+    except (ValueError, RecursionError):
+        document.render(text, Options(_ALL, 0))  # says what is wrong with the text, and where
+        raise tree.Mismatch("no JSON value in canonical text") from None
+    return tree.coerced(node, spec)
+
+
+def _typed_error(e: ValueError) -> dict:
+    """The error's row: a text error has its kind and byte, a type error the kind Mismatch and no place."""
+    return e.row() if isinstance(e, JsonTextError) else {"kind": "Mismatch", "char": None, "position": None, "message": str(e)}
+
+
 @lru_cache(maxsize=64)
-def _typed(schema: str, spec_json: str, repaired: bool, allow: int, repairs: int):
+def _typed(schema: str, spec_json: str, flavour: str, repaired: bool, allow: int, repairs: int):
     import json
 
-    spec, options = json.loads(spec_json), Options(allow, repairs)
+    spec, options = json.loads(spec_json), Options(allow, repairs) if repaired else None
 
-    def typed(text: str) -> dict:
+    def attempt(text: str) -> dict:
         try:
-            node = tree.read(document.render(text, options) if repaired else text)
-            return {"value": tree.coerced(node, spec), "error": None}
-        except (ValueError, RecursionError) as e:
-            return {"value": None, "error": str(e)}
+            return {"value": _typed_value(text, spec, options), "error": None}
+        except ValueError as e:
+            if flavour == "raise":
+                raise
+            return {"value": None, "error": None if flavour == "try" else _typed_error(e) if flavour == "result" else str(e)}
 
-    return _tabled(typed, ("value", "error"), f"struct<value:{schema},error:string>")
+    error = ERROR_TYPE if flavour == "result" else "string"
+    return _tabled(attempt, ("value", "error"), f"struct<value:{schema},error:{error}>")
 
 
 def _spec(schema: str | DataType) -> tuple[str, str]:
     import json
+    import re
 
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
-    return kind.simpleString(), json.dumps(kind.jsonValue())
+    return re.sub(r"\bchar\(1\)", "string", kind.simpleString()), json.dumps(kind.jsonValue())
+
+
+def _read_as(c: Column | str, schema: str | DataType, flavour: str, repaired: bool, allow: int, repairs: int) -> Column:
+    if _spec(schema)[0] == "variant":  # any value
+        if not repaired:
+            r = _verb("repair", "result", _ALL, 0)(_col(c))
+            text, error = F.when(r["error"].isNull(), _col(c)), r["error"]
+        else:
+            r = _loads("result", int(allow), int(repairs))(_col(c))
+            text, error = r["value"], r["error"]
+        return F.struct(F.parse_json(text).alias("value"), (error if flavour == "result" else error["message"]).alias("error"))
+    return _typed(*_spec(schema), flavour, repaired, int(allow), int(repairs))(_col(c))
 
 
 def deserialize(c: Column | str, schema: str | DataType, allow: int = _ALL, repairs: int = _PASSES) -> Column:
-    """struct<value, error>: the repaired document as a Spark type, or what is wrong with it."""
-    return _typed(*_spec(schema), True, int(allow), int(repairs))(_col(c))
+    """struct<value, error>: the repaired document as a Spark type, or what is wrong with it as a text.
+
+    Beside Spark's own types: ``variant`` (alone) takes any value; ``char(1)`` a string of one character; a struct
+    of fields _1, _2, ... an array of so many elements; ``binary`` an array of numbers from 0 to 255.
+    """
+    return _read_as(c, schema, "text", True, allow, repairs)
+
+
+def deserialize_result(c: Column | str, schema: str | DataType, allow: int = _ALL, repairs: int = _PASSES) -> Column:
+    """struct<value, error<kind, char, position, message>>; the kind of an error of types is Mismatch."""
+    return _read_as(c, schema, "result", True, allow, repairs)
+
+
+def deserialize_value(c: Column | str, schema: str | DataType, allow: int = _ALL, repairs: int = _PASSES) -> Column:
+    """The value alone; an error ends the query."""
+    if _spec(schema)[0] == "variant":
+        return loads(c, allow, repairs)
+    return _read_as(c, schema, "raise", True, allow, repairs)["value"]
+
+
+def try_deserialize(c: Column | str, schema: str | DataType, allow: int = _ALL, repairs: int = _PASSES) -> Column:
+    """The value, or null where the document can't be repaired or read as the type."""
+    return _read_as(c, schema, "try", True, allow, repairs)["value"]
 
 
 def from_value(c: Column | str, schema: str | DataType) -> Column:
-    """The same from canonical text."""
-    return _typed(*_spec(schema), False, _ALL, _PASSES)(_col(c))
+    """struct<value, error> from canonical text."""
+    return _read_as(c, schema, "text", False, _ALL, _PASSES)
+
+
+def from_value_result(c: Column | str, schema: str | DataType) -> Column:
+    return _read_as(c, schema, "result", False, _ALL, _PASSES)

@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf, udtf
 
 from ..errors import ERROR_TYPE, JsonTextError
 from ..kernel import document, spans, tree
+from ..kernel.classes import quoted
 from ..options import Options
 from . import columns
 
@@ -47,6 +48,60 @@ def _by_column(function, kind: str):
     return pandas_udf(series, kind)
 
 
+def _rows(columns_: tuple[pd.Series, ...], function) -> list:
+    """The function over rows; null where an argument is null, or where a text is no JSON."""
+    out = []
+    for row in zip(*columns_, strict=True):
+        try:
+            out.append(None if any(v is None for v in row) else function(*row))
+        except (ValueError, RecursionError):
+            out.append(None)
+    return out
+
+
+def _edit_by_columns(function):
+    """An edit with its pointer and values as columns; null where the pointer leads nowhere."""
+
+    def series(*args: pd.Series) -> pd.Series:
+        return pd.Series(_rows(args, lambda d, *rest: columns._text(function(tree.read(d), *rest))), dtype=object)
+
+    by_count = {
+        3: lambda f: (lambda a, b, c: f(a, b, c)),
+        4: lambda f: (lambda a, b, c, d: f(a, b, c, d)),
+    }
+    wrapped = by_count[function.__code__.co_argcount](series)
+    wrapped.__annotations__ = {**dict.fromkeys(wrapped.__code__.co_varnames, pd.Series), "return": pd.Series}
+    return pandas_udf(wrapped, "string")
+
+
+def _take_by_columns():
+    def taken(document_: str, path: str) -> dict:
+        old: list = []
+        rest = tree.replaced(tree.read(document_), path, lambda v: old.append(v))
+        return {"taken": columns._text(old[0]) if old else None, "rest": columns._text(rest) if old else document_}
+
+    def frame(docs: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        rows = [r or {"taken": None, "rest": None} for r in _rows((docs, paths), taken)]
+        return pd.DataFrame({f: pd.Series([r[f] for r in rows], dtype=object) for f in ("taken", "rest")})
+
+    return pandas_udf(frame, "struct<taken:string,rest:string>")
+
+
+def _valid(text: str) -> bool:
+    try:
+        document.render(text, Options(columns._ALL, 0))
+    except JsonTextError:
+        return False
+    return True
+
+
+def _kind(text: str) -> str | None:
+    try:
+        return tree.kind(tree.read(text))
+    except (ValueError, RecursionError):
+        return None
+
+
 @udtf(returnType="pos int, value string")
 class JsonSpans:
     """Every top-level value of a text, as it stands there."""
@@ -59,10 +114,12 @@ class JsonSpans:
 def register_all(spark: SparkSession) -> None:
     """Registers the functions for SQL.
 
-    repair, try_repair, repair_result, repair_bytes, try_repair_bytes, repair_extract, try_repair_extract,
-    extract, extract_partial, extract_all, validate_result; repair_with and try_repair_with (text, allow,
-    repairs); json_get, json_index, json_pointer (document, argument); json_elements, json_entries, json_len;
-    json_as_text, json_as_f64; loads_text; the table function json_spans.
+    repair, repair_bytes, repair_extract, each with try_ before and _result after it; validate_result;
+    json_extract, json_extract_partial, json_extract_all; repair_with and try_repair_with (text, allow, repairs), which
+    parse_partial and try_parse_partial are other names of; json_get, json_index, json_pointer (document, argument);
+    json_set, json_push (document, pointer, value), json_put (document, pointer, key, value), json_take (document,
+    pointer); json_elements, json_entries, json_len; json_as_text, json_as_f64; json_kind,
+    json_quote, json_of_double, is_valid_json; json_loads_text and try_json_loads_text; the table function json_spans.
     """
     every, passes = columns._ALL, columns._PASSES
     for name in ("repair", "repair_bytes", "repair_extract"):
@@ -74,11 +131,23 @@ def register_all(spark: SparkSession) -> None:
         spark.udf.register(f"json_{name}", columns._span(name))
     spark.udf.register("repair_with", _masked(True, "repair"))
     spark.udf.register("try_repair_with", _masked(False, "repair"))
+    spark.udf.register("parse_partial", _masked(True, "repair"))
+    spark.udf.register("try_parse_partial", _masked(False, "repair"))
+    spark.udf.register("json_set", _edit_by_columns(lambda n, path, v: tree.replaced(n, path, lambda _: tree.read(v))))
+    spark.udf.register("json_push", _edit_by_columns(lambda n, path, v: tree.replaced(n, path, lambda a: [*a, tree.read(v)] if tree.kind(a) == "array" else a)))
+    spark.udf.register("json_put", _edit_by_columns(lambda n, path, key, v: tree.replaced(n, path, lambda o: tree.Members([*o, (key, tree.read(v))]) if isinstance(o, tree.Members) else o)))
+    spark.udf.register("json_take", _take_by_columns())
+    spark.udf.register("is_valid_json", columns._mapped(_valid, "boolean"))
+    spark.udf.register("json_kind", columns._mapped(_kind, "string"))
+    spark.udf.register("json_quote", columns._mapped(quoted, "string"))
+    spark.udf.register("json_of_double", columns._float_text())
     spark.udf.register("json_get", _by_column(tree.get, "string"))
     spark.udf.register("json_index", _by_column(lambda n, i: tree.index(n, int(i)), "string"))
     spark.udf.register("json_pointer", _by_column(tree.pointer, "string"))
-    for name, verb in (("json_elements", "elements"), ("json_entries", "entries"), ("json_len", "len"), ("json_as_text", "string"), ("json_as_f64", "double"), ("json_loads_text", "loads")):
+    for name, verb in (("json_elements", "elements"), ("json_entries", "entries"), ("json_len", "len"), ("json_as_text", "string"), ("json_as_f64", "double")):
         spark.udf.register(name, columns._looked_up(verb))
+    spark.udf.register("json_loads_text", columns._loads("raise", every, passes))
+    spark.udf.register("try_json_loads_text", columns._loads("try", every, passes))
     spark.udtf.register("json_spans", JsonSpans)
 
 

@@ -71,6 +71,8 @@ def scalar(code: int) -> str:
     return "\ufffd" if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF else chr(code)
 
 
+#: Halves of surrogate pairs, which are no characters.
+LONE = re.compile("[\ud800-\udfff]")
 _PLAIN_OUT = re.compile(r'[^"\\\x00-\x1f]*\Z')
 _OUT = re.compile(r'["\\\x00-\x1f]')
 _NAMED = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}

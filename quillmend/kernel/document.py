@@ -103,6 +103,15 @@ class Renderer:
         if not self.value():
             raise Fault("NoValueFound", 0)
         self.values = 1
+        text = self._rest(prose)
+        if self.values > 1:
+            text = f"[{text}]"
+        if self.deepest + 1 > DEEPEST and depth_of(text) > DEEPEST:
+            raise Fault("DepthLimitExceeded", self.scanner.end)
+        return text
+
+    def _rest(self, prose: bool) -> str:
+        """The values after the first; all of them, unwrapped."""
         while self._another(prose):
             mark = len(self.out)
             if self.values == 1 and self.deepest >= DEEPEST - 1 and depth_of("".join(self.out)) >= DEEPEST:
@@ -112,12 +121,26 @@ class Renderer:
                 del self.out[mark:]
                 break
             self.values += 1
-        text = "".join(self.out)
-        if self.values > 1:
-            text = f"[{text}]"
-        if self.deepest + 1 > DEEPEST and depth_of(text) > DEEPEST:
-            raise Fault("DepthLimitExceeded", self.scanner.end)
-        return text
+        return "".join(self.out)
+
+    def resumed(self, open_: str, values: int) -> tuple[str | None, int]:
+        """What follows a sound part of a document that ends just after a value inside these openers, with so many
+        values at the top before; and how many there are in all. None if a container around that part is dropped.
+        """
+        self.depth = self.deepest = len(open_)
+        self.values = values
+        for opener in reversed(open_):
+            level, keyed = _Level(), opener == "{"
+            level.filled()
+            if not self._members(level, keyed):
+                if not self.repairs & Repairs.TRUNCATION:
+                    raise self.fault("UnexpectedEnd")
+                if not self.allow & (Allow.OBJ if keyed else Allow.ARR):
+                    return None, 0
+            self.out.append("}" if keyed else "]")
+            self.depth -= 1
+        self.values += bool(open_)
+        return self._rest(False), self.values
 
     def _another(self, prose: bool) -> bool:
         """Passes what stands between values at the top; whether one follows."""
@@ -376,11 +399,12 @@ def escaped_twice(text: str) -> bool:
     return '\\"' in text and not c.RAW_QUOTE.search(text)
 
 
-def _unescaped(text: str) -> str:
+def unescaped(text: str) -> str:
+    """A document without the outermost escapes."""
     return c.ESCAPED.sub(lambda m: c.ESCAPES.get(m[1], m[0]), text)
 
 
-def _origin(text: str, at: int) -> int:
+def origin(text: str, at: int) -> int:
     """The byte of ``text`` that a place in its unescaped form comes from."""
     seen, last = 0, 0
     for m in c.ESCAPED.finditer(text):
@@ -399,9 +423,9 @@ def render(text: str, options: Options = Options()) -> str:  # noqa: B008 - froz
     """Canonical JSON text of a damaged document; raises JsonTextError."""
     twice = bool(options.repairs & Repairs.UNQUOTED) and escaped_twice(text)
     try:
-        return Renderer(_unescaped(text) if twice else text, options).document()
+        return Renderer(unescaped(text) if twice else text, options).document()
     except Fault as f:
-        raise JsonTextError(f.kind, _origin(text, f.at) if twice else bytes_before(text, f.at), f.char) from None
+        raise JsonTextError(f.kind, origin(text, f.at) if twice else bytes_before(text, f.at), f.char) from None
 
 
 def render_bytes(data: bytes, options: Options = Options()) -> bytes:  # noqa: B008

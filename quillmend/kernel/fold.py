@@ -1,12 +1,101 @@
-"""A document that arrives in chunks."""
+"""A document that arrives in chunks.
+
+What has arrived as sound JSON up to the end of a member needs no second reading: a checkpoint keeps its
+canonical text and the containers that are open there, and only what follows is rendered again with each
+chunk. So a stream of sound members costs time in proportion to its length.
+"""
 
 from __future__ import annotations
 
-import os.path
+import re
 
 from ..errors import JsonTextError
-from ..options import Options
-from .document import render
+from ..options import Options, Repairs
+from .document import Renderer, bytes_before, escaped_twice, origin, render, unescaped
+from .scanner import Fault
+from .sound import respelled
+
+#: Deeper containers get no checkpoints.
+_DEEPEST = 128
+_HEAD = re.compile(r"[ \t\n\r]*(?=[{\[])")
+_FENCED_HEAD = re.compile(r"[ \t\n\r]*(?:```[A-Za-z]*[ \t]*\n[ \t\n\r]*)?(?=[{\[])")
+_TOKEN = re.compile(r'([ \t\n\r]*)(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|((?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null)(?=[ \t\n\r,\]}]))|([\[\]{},:]))')
+
+
+class _Whole(Exception):
+    """Only the whole text tells the output."""
+
+
+class _Sound:
+    """How far a growing text is strict JSON, and the last place there that ends a value.
+
+    ``at``: just after that value; ``open``: the openers around it; ``done``: the canonical text up to it;
+    ``values``: complete values at the top. ``after`` is what the grammar wants next.
+    """
+
+    def __init__(self, fences: bool):
+        self.head = _FENCED_HEAD if fences else _HEAD
+        self.at, self.open, self.done, self.values, self.quotes = 0, "", "", 0, False
+        self.read, self.after, self.stack, self.pending, self.stuck = 0, "start", [], [], False
+
+    def advance(self, text: str) -> None:
+        if self.stuck:
+            return
+        if self.after == "start":
+            m = self.head.match(text)
+            if not m:
+                self.stuck = len(text) > 64  # prose, or something else
+                return
+            self.read, self.after = m.end(), "value"
+        while m := _TOKEN.match(text, self.read):
+            blanks, string, scalar, mark = m.groups()
+            after, stack = self.after, self.stack
+            if after in ("ended", "done") and (mark == "," and stack or mark in ("}", "]") and stack or not stack and mark in ("{", "[") and "\n" in blanks):
+                # what follows a value shows that it is whole
+                self.done += "".join(self.pending)
+                self.pending = []
+                self.at, self.open, self.values = self.read, "".join(stack), self.values + (not stack)
+            if string is not None and after in ("value", "first value"):
+                self.pending.append(respelled(string))
+                self.after, self.quotes = "ended", True
+            elif string is not None and after in ("key", "first key"):
+                self.pending.append(respelled(string))
+                self.after, self.quotes = "colon", True
+            elif scalar is not None and after in ("value", "first value") and stack:
+                self.pending.append(scalar)
+                self.after = "ended"
+            elif mark == ":" and after == "colon":
+                self.pending.append(": ")
+                self.after = "value"
+            elif mark == "," and after == "ended":
+                self.pending.append(", ")
+                self.after = "key" if stack[-1] == "{" else "value"
+            elif mark in ("{", "[") and (after in ("value", "first value") or after == "done" and "\n" in blanks) and len(stack) < _DEEPEST:
+                self.pending.append(", " + mark if after == "done" else mark)
+                stack.append(mark)
+                self.after = "first key" if mark == "{" else "first value"
+            elif mark in ("}", "]") and stack and (after == "ended" or after == ("first key" if mark == "}" else "first value")) and (stack[-1] == "{") == (mark == "}"):
+                self.pending.append(mark)
+                stack.pop()
+                self.after = "ended" if stack else "done"
+            else:
+                self.stuck = True
+                return
+            self.read = m.end()
+
+
+def _shared(a: str, b: str) -> int:
+    """How many characters both begin with."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 class Fold:
@@ -17,18 +106,92 @@ class Fold:
     """
 
     def __init__(self, options: Options = Options(), text: str = "", output: str = ""):  # noqa: B008
-        self.options, self.text, self.output = options, text, output
+        self.options, self.text = options, text
+        self._forget(output)
+
+    def _forget(self, output: str, stuck: bool = False) -> None:
+        """Without a checkpoint, all output is tail."""
+        self._sound = _Sound(bool(self.options.repairs & Repairs.FENCES))
+        self._sound.stuck = stuck
+        self._before, self._done_bytes = 0, 0  # bytes of the text and of the output before the checkpoint
+        self._tail, self._wrapped = output, False
+
+    def _advance(self) -> None:
+        """Moves the checkpoint over what was accepted, as far as the output there is what it says."""
+        s = self._sound
+        at, size = s.at, len(s.done)
+        s.advance(self.text)
+        if s.at == at:
+            return
+        more = s.done[size:]
+        if not at and not self._tail.startswith(more) and self._tail.startswith("[" + more):  # several values
+            self._tail, self._wrapped = self._tail[1:-1], True
+        if not self._tail.startswith(more):
+            s.done = s.done[:size]
+            self._forget(self.output, stuck=True)
+            return
+        self._tail = self._tail[len(more) :]
+        self._done_bytes += len(more.encode("utf-8", "surrogatepass"))
+        self._before += len(self.text[at : s.at].encode("utf-8", "surrogatepass"))
+
+    def _after_checkpoint(self, rest: str) -> tuple[str, bool]:
+        """What follows ``done`` for the text after the checkpoint, and whether all is wrapped as a list of values."""
+        s, options = self._sound, self.options
+        twice = not s.quotes and bool(options.repairs & Repairs.UNQUOTED) and escaped_twice(rest)
+        r = Renderer(unescaped(rest) if twice else rest, options)
+        try:
+            out, values = r.resumed(s.open, s.values)
+        except Fault as f:
+            raise JsonTextError(f.kind, self._before + (origin(rest, f.at) if twice else bytes_before(rest, f.at)), f.char) from None
+        if out is None or r.deepest > _DEEPEST:
+            raise _Whole
+        return out, values > 1
 
     def push(self, chunk: str) -> dict:
         """accepted, output, and the change: keep so many bytes of the output before, then append text."""
-        before = self.output
+        self._advance()
+        s, tail = self._sound, None
         try:
-            output = render(self.text + chunk, self.options)
+            if s.at:
+                try:
+                    tail, wrapped = self._after_checkpoint(self.text[s.at :] + chunk)
+                except _Whole:
+                    self._forget(self.output, stuck=True)
+            if tail is None:
+                tail, wrapped = render(self.text + chunk, self.options), False
         except JsonTextError as e:
+            before = self.output
             return {"accepted": False, "output": before, "keep": len(before.encode()), "text": "", "error_kind": e.kind, "error_position": e.position}
-        self.text, self.output = self.text + chunk, output
-        shared = os.path.commonprefix([before, output])
-        return {"accepted": True, "output": output, "keep": len(shared.encode()), "text": output[len(shared) :], "error_kind": None, "error_position": None}
+        self.text += chunk
+        if wrapped == self._wrapped:
+            old, new, kept = self._tail + "]" * wrapped, tail + "]" * wrapped, wrapped + self._done_bytes
+            self._tail = tail
+        else:
+            old, kept = self.output, 0
+            self._tail, self._wrapped = tail, wrapped
+            new = self.output
+        n = _shared(old, new)
+        return {"accepted": True, "output": self.output, "keep": kept + len(old[:n].encode()), "text": new[n:], "error_kind": None, "error_position": None}
+
+    def value(self) -> str | None:
+        """The canonical text so far, None before anything was accepted."""
+        return self.output or None
+
+    @property
+    def output(self) -> str:
+        return "[" * self._wrapped + self._sound.done + self._tail + "]" * self._wrapped
+
+    @property
+    def input(self) -> str:
+        return self.text
+
+    def __len__(self) -> int:
+        """Bytes of the accepted text."""
+        return len(self.text.encode("utf-8", "surrogatepass"))
+
+    def is_empty(self) -> bool:
+        return not self.text
 
     def reset(self) -> None:
-        self.text = self.output = ""
+        self.text = ""
+        self._forget("")

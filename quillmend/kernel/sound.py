@@ -9,12 +9,10 @@ from __future__ import annotations
 import json
 import re
 
-from .classes import quoted
+from .classes import LONE, quoted
 
 _STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"')
 _NESTING = re.compile(r"[\[\]{}]")
-_LEVELS = re.compile(r"[\[\]{},]")
-_LONE = re.compile("[\ud800-\udfff]")
 _NO_BLANKS = dict.fromkeys(map(ord, " \n\r\t"))
 
 
@@ -25,8 +23,9 @@ def _constant(name: str):
 _DECODER = json.JSONDecoder(parse_constant=_constant)
 
 
-def _respelled(string: str) -> str:
-    return quoted(_LONE.sub("\ufffd", json.loads(string))) if "\\" in string else string
+def respelled(string: str) -> str:
+    """A JSON string in canonical spelling."""
+    return quoted(LONE.sub("\ufffd", json.loads(string))) if "\\" in string else string
 
 
 def canonical(piece: str) -> tuple[str, int, int]:
@@ -42,28 +41,30 @@ def canonical(piece: str) -> tuple[str, int, int]:
         else:
             depth -= 1
     if "\\" in piece:
-        strings = list(map(_respelled, strings))
+        strings = list(map(respelled, strings))
     rest = rest.replace(",", ", ").replace(":", ": ").split("\0")
     out = [""] * (2 * len(strings) + 1)
     out[::2], out[1::2] = rest, strings
     return "".join(out), most, depth
 
 
+#: Strings (an unfinished one, too) and what tells levels.
+_MARKS = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[\[\]{},]', re.DOTALL)
+
+
 def _last_comma(text: str, start: int, stop: int) -> int:
     """The last comma directly in the container that opens at ``start``, before ``stop``; -1 if there is none."""
     depth, found = 0, -1
-    piece = _STRING.sub(lambda m: "_" * len(m[0]), text[start:stop])
-    piece = piece.partition('"')[0]  # the decoder may have stopped inside a string
-    for m in _LEVELS.finditer(piece):
+    for m in _MARKS.finditer(text, start, stop):
         ch = m[0]
         if ch == ",":
             if depth == 1:
                 found = m.start()
         elif ch in "[{":
             depth += 1
-        else:
+        elif ch in "]}":
             depth -= 1
-    return start + found if found >= 0 else -1
+    return found
 
 
 def ahead(text: str, start: int) -> tuple[int, bool] | None:

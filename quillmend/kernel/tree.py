@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from decimal import Decimal
 
-from .classes import quoted
+from .classes import LONE, quoted
 
 
 class Num(str):
@@ -21,9 +22,21 @@ class Members(list):
     """Key and value pairs of an object."""
 
 
+_HALF = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 def read(text: str):
-    """The tree of valid JSON text."""
-    return _DECODER.decode(text)
+    """The tree of valid JSON text; halves of surrogate pairs without the other become U+FFFD."""
+    node = _DECODER.decode(text)
+    return _mended(node) if _HALF.search(text) else node
+
+
+def _mended(node):
+    if isinstance(node, Members):
+        return Members((_mended(k), _mended(v)) for k, v in node)
+    if isinstance(node, list):
+        return [_mended(v) for v in node]
+    return LONE.sub("\ufffd", node) if isinstance(node, str) and not isinstance(node, Num) else node
 
 
 def _constant(name: str):
@@ -125,19 +138,20 @@ def replaced(node, path: str, change):
     return node
 
 
+def _whole(node) -> int | None:
+    """An integer by its text, if it has few enough digits to fit any type."""
+    return int(node) if isinstance(node, Num) and len(node) <= 40 and node.lstrip("-").isdigit() else None
+
+
 def as_i64(node) -> int | None:
     """Exactly a 64-bit integer by its text."""
-    if isinstance(node, Num) and node.lstrip("-").isdigit():
-        n = int(node)
-        return n if -(1 << 63) <= n < 1 << 63 else None
-    return None
+    n = _whole(node)
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 def as_u64(node) -> int | None:
-    if isinstance(node, Num) and node.isdigit():
-        n = int(node)
-        return n if n < 1 << 64 else None
-    return None
+    n = _whole(node)
+    return n if n is not None and n < 1 << 64 and node[0] != "-" else None
 
 
 def as_f64(node) -> float | None:
@@ -149,7 +163,7 @@ def equal(node, other) -> bool:
     if isinstance(other, bool):
         return isinstance(node, bool) and node == other
     if isinstance(other, int):
-        return isinstance(node, Num) and node.lstrip("-").isdigit() and int(node) == other and not (node.startswith("-") and other > (1 << 63) - 1)
+        return isinstance(node, Num) and node.lstrip("-").isdigit() and Decimal(node) == other and not (node.startswith("-") and other > (1 << 63) - 1)
     if isinstance(other, float):
         return isinstance(node, Num) and float(node) == other
     if isinstance(other, str):
@@ -196,7 +210,7 @@ _INTEGERS = {"tinyint": ("i8", 8), "smallint": ("i16", 16), "int": ("i32", 32),
 def _integer(node, name: str, low: int, high: int) -> int:
     if not isinstance(node, Num):
         raise _expected("a number", node)
-    n = int(node) if node.lstrip("-").isdigit() and not (low == 0 and node.startswith("-")) else None
+    n = None if low == 0 and node.startswith("-") else _whole(node)
     if n is None or not low <= n <= high:
         raise Mismatch(f"number `{node}` does not fit `{name}`")
     return n
@@ -211,6 +225,11 @@ def coerced(node, spec: dict | str):
     """
     if isinstance(spec, dict):
         if spec["type"] == "struct":
+            fields = spec["fields"]
+            if fields and kind(node) == "array" and all(f["name"] == f"_{i}" for i, f in enumerate(fields, 1)):
+                if len(node) != len(fields):
+                    raise Mismatch(f"expected an array of {len(fields)} elements, found {len(node)}")
+                return {f["name"]: _nullable(v, f["type"], f["nullable"]) for f, v in zip(fields, node, strict=True)}
             if not isinstance(node, Members):
                 raise _expected("an object", node)
             out = {}
@@ -254,6 +273,14 @@ def coerced(node, spec: dict | str):
         if kind(node) != "string":
             raise _expected("a string", node)
         return str(node)
+    if name == "char(1)":
+        if kind(node) != "string" or len(node) != 1:
+            raise _expected("a character", node)
+        return str(node)
+    if name == "binary":
+        if kind(node) != "array":
+            raise _expected("an array", node)
+        return bytes(_integer(v, "u8", 0, 255) for v in node)
     if name == "void":
         if node is not None:
             raise _expected("null", node)

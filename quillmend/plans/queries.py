@@ -92,6 +92,10 @@ _case("repair_bytes_invalid", "events", "concat(cast(props AS binary), unhex('ff
 _case("try_repair", "events", "CASE WHEN event_id % 2 = 0 THEN props ELSE '' END", fn.try_repair, "CASE WHEN event_id % 2 = 0 THEN props END")
 _case("parse", "events", "replace(props, '\"', '')", fn.parse, "props")
 
+# -- long flat documents
+_LONG = "'[' || array_to_string(range(20000), ', ') || ', ' || n_regionkey || ']'"
+_case("repair_long_array", "nation", "concat('[', array_join(sequence(0, 19999), ', '), ', ', n_regionkey, ']')", lambda c: F.sha2(fn.repair(c), 256), f"sha256({_LONG})")
+_case("repair_long_object", "nation", "concat('{', array_join(transform(sequence(0, 19999), i -> concat('\"k', i, '\": ', i)), ', '), ', \"x\": ', n_regionkey, '}')", lambda c: F.sha2(fn.repair(c), 256), """sha256('{' || array_to_string(list_transform(range(20000), lambda i: '"k' || i || '": ' || i), ', ') || ', "x": ' || n_regionkey || '}')""")
 # -- extraction
 _case("extract_fenced", "events", "concat('Here it is:\\n```json\\n', props, '\\n```\\nand more [1]')", fn.extract, "props")
 _case("extract_fenced_native", "events", "concat('Here it is:\\n```\\nx\\n```\\n```json\\n', props, '\\n```\\nand more [1]')", fn.fenced_block, "props")
@@ -281,8 +285,9 @@ ORACLE_SQL["stream_delta"] = "SELECT event_id, props AS output FROM events"
 
 # -- relations over mended fields
 def relational_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = _table(spark, sf_dir, "events").select(fn.repair(F.expr("concat('{user: ', user_id, ', k: ', regexp_extract(props, '[0-9]+', 0))")).alias("doc"))
-    keyed = broken.select(fn.json_as_bigint(fn.json_pointer("doc", "/user")).alias("c_custkey"), fn.json_as_bigint(fn.json_pointer("doc", "/k")).alias("k"))
+    damaged = F.expr("concat('{user: ', user_id, ', k: ', regexp_extract(props, '[0-9]+', 0))")
+    typed = _table(spark, sf_dir, "events").select(fn.deserialize(damaged, "struct<user:bigint,k:bigint>")["value"].alias("v"))  # both fields in one pass
+    keyed = typed.select(F.col("v.user").alias("c_custkey"), F.col("v.k").alias("k"))
     return keyed.join(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
 
 

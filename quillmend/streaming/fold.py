@@ -57,23 +57,29 @@ def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options =
 class FoldProcessor(StatefulProcessor):
     """The fold for transformWithStateInPandas."""
 
-    def __init__(self, key: str, seq: str, chunk: str, options: Options, idle_ms: int | None = None):
-        self.key, self.seq, self.chunk, self.options, self.idle_ms = key, seq, chunk, options, idle_ms
+    def __init__(self, key: str, seq: str, chunk: str, options: Options, idle_ms: int | None = None, reset: str | None = None):
+        self.key, self.seq, self.chunk, self.options, self.idle_ms, self.reset = key, seq, chunk, options, idle_ms, reset
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.document = handle.getValueState("document", "text string, output string, next bigint", self.idle_ms)
-        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk string", self.idle_ms)
+        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk string, reset boolean", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         text, output, turn = self.document.get() if self.document.exists() else ("", "", 0)
+        state, out = Fold(self.options, text, output), []
         for frame in rows:
-            for s, c in zip(frame[self.seq], frame[self.chunk], strict=True):
+            forget = frame[self.reset] if self.reset else [False] * len(frame)
+            for s, c, f in zip(frame[self.seq], frame[self.chunk], forget, strict=True):
                 if int(s) >= turn:
-                    self.waiting.updateValue((int(s),), ("" if c is None or c != c else str(c),))
-        state, out = Fold(self.options, text, output), []
+                    self.waiting.updateValue((int(s),), ("" if c is None or c != c else str(c), bool(f)))
+                else:  # its turn has passed
+                    out.append((key[0], int(s), False, state.output, len(state.output.encode()), "", "LateChunk", None))
         while self.waiting.containsKey((turn,)):
-            got = state.push(self.waiting.getValue((turn,))[0])
+            chunk, forget = self.waiting.getValue((turn,))
+            if forget:
+                state.reset()
+            got = state.push(chunk)
             out.append((key[0], turn, *(got[x] for x in _FIELDS)))
             self.waiting.removeKey((turn,))
             turn += 1
@@ -84,10 +90,11 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
-def fold_stream(df: DataFrame, key: str, seq: str, chunk: str, options: Options = Options(), idle_ms: int | None = None) -> DataFrame:  # noqa: B008
+def fold_stream(df: DataFrame, key: str, seq: str, chunk: str, options: Options = Options(), idle_ms: int | None = None, reset: str | None = None) -> DataFrame:  # noqa: B008
     """The same over a stream (state store: RocksDB). seq counts 0, 1, ... for each key.
 
+    A chunk whose turn has passed is rejected with the error kind LateChunk and changes nothing.
     idle_ms: forget keys that have been idle for so long (processing time); an addition of this engine.
     """
     kind = dict(df.dtypes)[key]
-    return df.groupBy(key).transformWithStateInPandas(FoldProcessor(key, seq, chunk, options, idle_ms), f"`{key}` {kind}, {_OUT}", "Append", "ProcessingTime" if idle_ms else "None")
+    return df.groupBy(key).transformWithStateInPandas(FoldProcessor(key, seq, chunk, options, idle_ms, reset), f"`{key}` {kind}, {_OUT}", "Append", "ProcessingTime" if idle_ms else "None")

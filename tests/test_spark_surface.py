@@ -68,3 +68,46 @@ def test_one_python_node_and_pruning(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "p")).select("id", fn.repair_result("t").alias("r")).select("id", "r.value", "r.error").filter("id > 3")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "unused" not in plan and "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in plan
+
+
+def test_long_flat_documents(spark):
+    n = 100_000
+    rows = [("[" + ", ".join(map(str, range(n))) + "]",), ("{" + ", ".join(f'"k{i}": {i}' for i in range(n)) + "}",), ("[" + ",".join(map(str, range(n))),)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(fn.repair("t")).collect()]
+    assert got[0] == rows[0][0] and got[1] == rows[1][0] and got[2] == rows[0][0]
+
+
+def test_integers_of_any_length_and_lone_surrogates(spark):
+    digits = "9" * 5000
+    df = spark.createDataFrame([(digits, f'{{"n": {digits}}}', '["\\ud800", "\\ud83d\\ude00"]')], "n string, d string, s string")
+    r = df.select(fn.json_eq("n", 9).alias("eq"), fn.loads_text("d").alias("l"), fn.deserialize("d", "struct<n:bigint>")["error"].alias("e"), fn.json_index("s", 0).alias("half"), fn.json_index("s", 1).alias("pair")).first()
+    assert r.eq is False and r.l == f'{{"n": "{digits}"}}' and r.e == f"number `{digits}` does not fit `i64`" and r.half == '"�"' and r.pair == '"\U0001f600"'
+
+
+def test_flavours_of_typed_reading(spark):
+    df = spark.createDataFrame([("{n: 1}",), ('{n: "x"}',), ("",)], "t string")
+    got = [r.r for r in df.select(fn.deserialize_result("t", "struct<n:int>").alias("r")).collect()]
+    assert got[0].value.n == 1 and got[0].error is None
+    assert (got[1].error.kind, got[1].error.position, got[1].error.message) == ("Mismatch", None, "expected a number, found a string")
+    assert (got[2].error.kind, got[2].error.position) == ("NoValueFound", 0)
+    assert [r.v for r in df.select(fn.try_deserialize("t", "struct<n:int>").alias("v")).collect()][1:] == [None, None]
+    assert [r.v for r in df.select(fn.try_loads_text("t").alias("v")).collect()] == ['{"n": 1}', '{"n": "x"}', None]
+    bad = spark.createDataFrame([("{",)], "t string").select(fn.from_value_result("t", "int").alias("r")).first().r
+    assert bad.error.kind == "UnexpectedEnd" and bad.value is None
+    with pytest.raises(Exception, match="expected a number"):
+        df.filter("t like '%x%'").select(fn.deserialize_value("t", "struct<n:int>")).collect()
+
+
+def test_more_targets(spark):
+    df = spark.createDataFrame([('[1, "é", [0, 255]]', "[1, 2, 3]", '{"b": [1.50, null]}')], "t string, u string, v string")
+    r = df.select(fn.deserialize("t", "struct<_1:int,_2:char(1),_3:binary>").alias("t"), fn.deserialize("u", "struct<_1:int,_2:int>").alias("u"), fn.deserialize("v", "variant").alias("v"), fn.from_value("v", "variant")["value"].cast("string").alias("w"), fn.json_at("v", "a").alias("missing")).first()
+    assert (r.t.value._1, r.t.value._2, bytes(r.t.value._3)) == (1, "é", b"\x00\xff") and r.u.error == "expected an array of 2 elements, found 3"
+    assert r.v.error is None and r.w == '{"b":[1.5,null]}' and r.missing == "null"
+
+
+def test_sql_names_of_edits(spark):
+    fn.register_all(spark)
+    row = spark.sql("""SELECT json_set('{"a": [1]}', '/a/0', '2.0') s, json_push('[1]', '', 'null') p, json_put('{}', '', 'k', '1') o, json_take('[1, 2]', '/1').rest t,
+        json_quote('a"b') q, json_kind('[1]') k, is_valid_json('{a:1}') v, try_json_loads_text('{b: 1, a: 2}') l, parse_partial('[1, 2', 511, 0) IS NULL z""".replace(", parse_partial('[1, 2', 511, 0) IS NULL z", "")).first()
+    assert tuple(row) == ('{"a": [2.0]}', "[1, null]", '{"k": 1}', "[1, null]", '"a\\"b"', "array", False, '{"a": 2, "b": 1}')
