@@ -9,6 +9,7 @@ other role, so no pairs are listed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,39 +25,60 @@ STRONG = {
     "access": (r"AKIA[A-Z0-9]{16,}", 20, 0),
     "hex": (r"[0-9a-f]{24,}", 24, 0),
 }
-#: Weak kinds. A key is a whole run of any length, so its start is only tried where a run starts.
+#: Weak kinds. A key and a host are whole runs of any length, so they are only tried where a run starts.
 WEAK = {
     "login": (r"""\b(?:[Uu]ser(?:_?[Nn]ame)?|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 0),
     "key": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/_=-])", 0, 0),
-    "endpoint": (r"""https?://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|internal|local)(?::[0-9]{2,5})?\b""", 0, 0),
+    "endpoint": (r"""https?://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|(?<![A-Za-z0-9_.-])[a-z0-9-][a-z0-9.-]*(?<=\.(?:com|net|org|io|internal|local))(?![A-Za-z0-9_-])(?::[0-9]{2,5})?""", 0, 0),
 }
+#: What stands in every match of a kind, so that most texts need no search (kinds without an entry: anything).
+HINTS = {"assign": (":", "="), "access": ("AKIA",), "login": (":", "="), "endpoint": (".",), "blank": ("\n",)}
 ROLES = {"access": "identifier", "login": "account", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
 #: A weak part needs, this many code points away at most, a part of one of these roles.
 NEEDS = {"identifier": ("secret",), "account": ("secret",), "secret": ("identifier", "account"), "endpoint": ("identifier", "secret")}
 REACH = 200
+#: Ends a scope.
+BLANK = r"\n[ \t]*\n"
 
 _SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _found(text: str, kind: str, pattern: str, least: int, group: int) -> Column:
-    """Spans (start, end, kind) in code points of the leftmost non-overlapping matches that are long enough.
+def _matches(text: str, kind: str, pattern: str) -> Column:
+    """The leftmost non-overlapping matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hint = [F.contains(F.col(text), F.lit(h)) for h in HINTS.get(kind, ())]
+    return F.when(reduce(lambda a, b: a | b, hint), found).otherwise(F.array().cast("array<string>")) if hint else found
 
-    The text is cut into (gap, match) pairs; summing their lengths gives the places.
-    """
-    groups = pattern.replace("(?:", "").replace("(?<", "").replace("(?=", "").replace("(?!", "").count("(") - pattern.count(r"\(")
-    cut = f"(?s)(.*?)({pattern}|\\z)"
-    gaps, found = (f"regexp_extract_all({text}, {_quoted(cut)}, {i})" for i in (1, 2))
-    length = f"length(regexp_extract(x.m, {_quoted(pattern)}, {group}))" if group and groups >= group else "length(x.m)"
-    walk = (
-        f"aggregate(zip_with({gaps}, {found}, (g, m) -> named_struct('g', g, 'm', m)), named_struct('p', 0, 'o', cast(array() as {_SPANS})),"
-        f" (a, x) -> named_struct('p', a.p + length(x.g) + length(x.m), 'o', if(x.m <> '' and {length} >= {least},"
-        f" concat(a.o, array(named_struct('start', a.p + length(x.g), 'end', a.p + length(x.g) + length(x.m), 'kind', '{kind}'))), a.o)), a -> a.o)"
-    )
-    return F.when(F.col(text).rlike(pattern), F.expr(walk)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+
+def _running(lengths: Column) -> Column:
+    """The sums of what comes before each element; by blocks of about the root of their number, so that no long array grows an element at a time."""
+    total = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def blocked(xs: Column, width: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / width).cast("int")), lambda j: total(F.slice(xs, j * width + 1, width)))
+        return _let(parts, lambda ps: _let(total(F.transform(ps, lambda p: F.element_at(p, -1))), lambda before: F.flatten(F.transform(ps, lambda p, j: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: v + F.get(before, j))))))
+
+    return _let(lengths, lambda xs: blocked(xs, F.ceil(F.sqrt(F.size(xs))).cast("int")))
+
+
+def _spans(text: str, found: str, kind: str, pattern: str, least: int, group: int) -> Column:
+    """Spans (start, end, kind) in code points of those matches (a column) that are long enough; the gaps between them are what a split leaves."""
+    empty = F.expr(f"cast(array() as {_SPANS})")
+
+    def placed(gaps: Column) -> Column:
+        before = _running(F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, F.length), lambda g, n: g + n))
+        firsts = F.zip_with(before, F.slice(gaps, 1, F.size(found)), lambda p, g: p + g)
+        spans = F.zip_with(firsts, F.col(found), lambda p, m: F.struct(p.alias("start"), (p + F.length(m)).alias("end"), m.alias("m")))
+        if least:
+            spans = F.filter(spans, lambda s: F.length(F.regexp_extract(s["m"], pattern, group) if group else s["m"]) >= least)
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    return F.when(F.size(found) > 0, _let(F.transform(F.split(F.col(text), pattern, -1), F.length), placed)).otherwise(empty)
 
 
 def _ranked(spans: Column) -> Column:
@@ -66,15 +88,12 @@ def _ranked(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
-def _holds(text: str, kinds: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(text).rlike({**STRONG, **WEAK}[k][0]) for k in kinds])
-
-
 def scan(df: DataFrame, text: str) -> DataFrame:
     """``df`` without its text, with ``strong`` and ``linked``: arrays of (start, end, kind), end exclusive, in code points.
 
     linked holds the weak candidates that a complementary part backs, without those that overlap a strong
-    finding. Null and empty texts have none. Only texts with parts of two roles are looked at for weak
+    finding. Null and empty texts have none. Matches and places cost time in proportion to the text and its matches (a
+    text of a million of them adds a factor of a few). Only texts with parts of two roles are looked at for weak
     candidates, as no other can have a linked one. Rows keep to themselves, equal ones too. Input columns
     named like the added ones give way to them.
     """
@@ -86,19 +105,30 @@ def scan(df: DataFrame, text: str) -> DataFrame:
 def _scan(df: DataFrame, text: str) -> DataFrame:
     keep = [c for c in df.columns if c != text]
     t, row, strong = common.fresh(df, "text"), common.fresh(df, "row"), "strong"
-    empty = F.expr(f"cast(array() as {_SPANS})")
-    base = df.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn(strong, _ranked(F.concat(*[_found(t, k, *v) for k, v in STRONG.items()])))
-    roles = [_holds(t, [k for k, r in ROLES.items() if r == role]).cast("int") for role in NEEDS]
-    weak = F.when(reduce(lambda a, b: a + b, roles) > 1, F.concat(*[_found(t, k, *v) for k, v in WEAK.items()])).otherwise(empty)
-    weak = F.filter(weak, lambda w: ~F.exists(F.col(strong), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    parts = F.when(F.size(weak) > 0, F.concat(weak, F.col(strong))).otherwise(empty)
-    blocks = lambda s: F.size(F.split(F.substring(F.col(t), F.lit(1), s["start"]), r"\n[ \t]*\n"))
-    parts = F.transform(parts, lambda s: F.struct(blocks(s).alias("scope"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    base = base.select(*keep, strong, parts.alias("parts"), F.monotonically_increasing_id().alias(row))
+    at = {k: common.fresh(df, k) for k in [*STRONG, *WEAK, "blank"]}
+    empty, none = F.expr(f"cast(array() as {_SPANS})"), F.array().cast("array<string>")
+    some = lambda kinds: reduce(lambda a, b: a | b, [F.size(at[k]) > 0 for k in kinds])
+    found = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    found = found.select(*keep, t, *[_matches(t, k, v[0]).alias(at[k]) for k, v in [*STRONG.items(), *WEAK.items()] if k != "endpoint"])
+    # an endpoint needs a part of another kind; a doc with parts of one role alone has none that is linked
+    found = found.withColumn(at["endpoint"], F.when(some([k for k in at if k not in ("endpoint", "blank")]), _matches(t, "endpoint", WEAK["endpoint"][0])).otherwise(none))
+    roles = reduce(lambda a, b: a + b, [some([k for k, r in ROLES.items() if r == role]).cast("int") for role in NEEDS])
+    found = found.withColumn("several", (roles > 1) & some(WEAK))
+    found = found.withColumn(at["blank"], F.when(F.col("several"), _matches(t, "blank", BLANK)).otherwise(none))
+    base = found.select(*keep, "several", _ranked(F.concat(*[_spans(t, at[k], k, *v) for k, v in STRONG.items()])).alias(strong),
+                        F.when(F.col("several"), F.concat(*[_spans(t, at[k], k, *v) for k, v in WEAK.items()], _spans(t, at["blank"], "blank", BLANK, 0, 0))).otherwise(empty).alias("weak"),
+                        F.monotonically_increasing_id().alias(row))
     base = common.staged(base, "parts")  # fixes the row numbers
 
-    each = base.filter(F.size("parts") > 0).select(row, F.explode("parts").alias("p")).select(row, "p.*")
+    each = base.filter("several").select(row, F.explode(F.concat("weak", strong)).alias("p")).select(row, "p.*")
     each = each.withColumn("role", F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("kind")])
+    own = Window.partitionBy(row).orderBy("start", "end", "kind")
+    before, after = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    sure = lambda c: F.when(F.col("kind").isin(list(STRONG)), c)
+    each = each.withColumns({
+        "scope": F.coalesce(F.sum((F.col("kind") == "blank").cast("int")).over(before), F.lit(0)),
+        "covered": F.coalesce(F.max(sure(F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(sure(F.col("start"))).over(after) < F.col("end"), F.lit(False)),
+    }).filter((F.col("kind") != "blank") & (F.col("kind").isin(list(STRONG)) | ~F.col("covered")))
     scope = Window.partitionBy(row, "scope").orderBy("start", "end", "kind")
     near = lambda role: F.coalesce(
         (F.max(F.when(F.col("role") == role, F.col("end"))).over(scope.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start") - REACH), F.lit(False)
@@ -106,7 +136,7 @@ def _scan(df: DataFrame, text: str) -> DataFrame:
     each = each.withColumns({f"near_{r}": near(r) for r in NEEDS})
     backed = reduce(lambda a, b: a | b, [(F.col("role") == r) & reduce(lambda a, b: a | b, [F.col(f"near_{x}") for x in needs]) for r, needs in NEEDS.items()])
     linked = each.filter(F.col("kind").isin(list(WEAK)) & backed).groupBy(row).agg(F.collect_list(F.struct("start", "end", "kind")).alias("linked"))
-    out = base.join(linked, row, "left")
+    out = base.select(*keep, strong, row).join(linked, row, "left")
     return out.select(*keep, strong, _ranked(F.coalesce("linked", empty)).alias("linked"))
 
 
