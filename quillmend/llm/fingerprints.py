@@ -73,9 +73,8 @@ def _places(h: str) -> list[str]:
 
 def _table(units: str, salt: str) -> str:
     """The cells of one block."""
-    three = ", ".join(f"named_struct('i', {p}, 'c', 1, 'k', e.k, 'h', e.x)" for p in _places("e.x"))
-    entries = f"transform({units}, u -> named_struct('k', u, 'x', xxhash64(u, {salt})))"
-    return _merged(f"flatten(transform({entries}, e -> array({three})))")
+    parts = ", ".join(_merged(f"transform(es, e -> named_struct('i', {p}, 'c', 1, 'k', e.k, 'h', e.x))") for p in _places("e.x"))
+    return _let("es", f"transform({units}, u -> named_struct('k', u, 'x', xxhash64(u, {salt})))", f"concat({parts})")  # by table, and so by place
 
 
 def _negative(cells: str) -> str:
@@ -93,17 +92,28 @@ def _peel(cells: str, salt: str) -> str:
     return f"aggregate(sequence(1, {3 * CELLS + 1}), {start}, (s, r) -> if(s.more and size(s.cells) > 0, {step}, s), s -> named_struct('o', s.o, 'ok', size(s.cells) = 0))"
 
 
-def difference(a: str, b: str) -> Column:
+def sketch(units: str) -> Column:
+    """The table of a digest array: for each block its cells that aren't empty. A text's blocks follow from its number of digests."""
+    return F.expr(_in_blocks([units], _blocks_for(f"size({units})"), _table("$0", "0")))
+
+
+def difference(a: str, b: str, cells_a: str, cells_b: str) -> Column:
     """The digests that only one of two digest arrays has: array of (p: digest, s: 1 for the first, -1 for the second).
 
-    Tables of both are subtracted and peeled; on failure again with twice the blocks and another hash.
-    (After ``TRIES`` failures, which takes colliding hashes each time, null.)
+    cells_a, cells_b: columns with their sketches. These are subtracted and peeled; where one has fewer blocks,
+    it is made again with as many. If peeling stops early, both are made again with twice the blocks and
+    another hash, and so on. (After ``TRIES`` failures, which takes colliding hashes each time, the arrays are compared.)
     """
-    size = f"{_blocks_for(f'greatest(size({a}), size({b}))')} * cast(power(2, try) as int)"
+    all_ok = "if(forall(all, x -> x.ok), flatten(transform(all, x -> x.o)), null)"
+    as_many = lambda cells, units: f"if(size({cells}) = nn, {cells}, {_in_blocks([units], 'nn', _table('$0', '0'))})"
+    stored = f"zip_with({as_many(cells_a, a)}, {as_many(cells_b, b)}, (xx, yy) -> {_peel(_merged(f'concat(xx, {_negative("yy")})'), '0')})"
+    first = _let("nn", f"greatest(size({cells_a}), size({cells_b}))", _let("all", stored, all_ok))
     subtracted = _merged(f"concat({_table('$0', 'try')}, {_negative(_table('$1', 'try'))})")
-    peeled = _in_blocks([a, b], size, _peel(subtracted, "try"))
-    one = _let("all", peeled, "if(forall(all, x -> x.ok), flatten(transform(all, x -> x.o)), null)")
-    return F.expr(f"aggregate(sequence(0, {TRIES - 1}), cast(null as array<{_PEELED}>), (got, try) -> if(got is null, {one}, got))")
+    larger = f"greatest(size({cells_a}), size({cells_b})) * cast(power(2, try) as int)"
+    again = _let("all", _in_blocks([a, b], larger, _peel(subtracted, "try")), all_ok)
+    found = f"aggregate(sequence(1, {TRIES - 1}), {first}, (got, try) -> if(got is null, {again}, got))"
+    side = lambda x, y, sign: f"transform(array_except({x}, {y}), p -> named_struct('p', p, 's', {sign}))"
+    return F.expr(f"coalesce({found}, concat({side(a, b, 1)}, {side(b, a, -1)}))")
 
 
 def likeness(a: str, b: str, apart: str) -> Column:
@@ -114,10 +124,9 @@ def likeness(a: str, b: str, apart: str) -> Column:
     return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, (size({a}) + size({b}) - {apart}) / cast(size({a}) + size({b}) + {apart} as double))")
 
 
-def serialized(units: str) -> Column:
-    """A fingerprint as text: digests, then for each block the cells that aren't empty as place, count, XOR, check XOR in hex."""
-    cells = f"array_join(transform({_table('$0', '0')}, c -> concat(lower(hex(c.i)), '.', c.c, '.', lower(hex(c.k)), '.', lower(hex(c.h)))), ',')"
-    blocks = _in_blocks([units], _blocks_for(f"size({units})"), cells)
+def serialized(units: str, cells: str) -> Column:
+    """A sketch as text: how many digests, then for each block its cells as place, count, XOR, check XOR in hex."""
+    blocks = f"transform({cells}, block -> array_join(transform(block, c -> concat(lower(hex(c.i)), '.', c.c, '.', lower(hex(c.k)), '.', lower(hex(c.h)))), ','))"
     return F.concat_ws("|", F.expr(f"size({units})").cast("string"), F.expr(f"array_join({blocks}, ';')"))
 
 
@@ -161,7 +170,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.expr("cast(n_chars div 2 as int)")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next", F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("other"), digests("next").alias("after"))
-    rows = rows.withColumns({"apart_edited": F.size(difference("own", "other")), "apart_next": F.size(difference("own", "after"))})
+    rows = rows.withColumns({f"{c}_cells": sketch(c) for c in ("own", "other", "after")})
+    rows = rows.withColumns({"apart_edited": F.size(difference("own", "other", "own_cells", "other_cells")), "apart_next": F.size(difference("own", "after", "own_cells", "after_cells"))})
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", serialized("own").alias("fingerprint"), serialized("other").alias("edited_fingerprint"), likeness("own", "other", "apart_edited").alias("near_edited"), likeness("own", "after", "apart_next").alias("near_next")
+        "doc_id", "n_chars", "edited_sha256", serialized("own", "own_cells").alias("fingerprint"), serialized("other", "other_cells").alias("edited_fingerprint"),
+        likeness("own", "other", "apart_edited").alias("near_edited"), likeness("own", "after", "apart_next").alias("near_next"),
     )

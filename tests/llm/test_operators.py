@@ -255,9 +255,12 @@ def test_fingerprints_match_exact_sets(spark):
     for i in range(12):
         a = [line() for _ in range(rng.choice([0, 1, 5, 60, 300]))]
         b = [x for x in a if rng.random() < 0.9] + [line() for _ in range(rng.randrange(12))]
+        if i % 8 == 7:  # far more blocks than the other
+            b += [line() for _ in range(400 * (i % 5))]
         rows.append((i, "\n".join(a), "\n".join(b)))
     df = spark.createDataFrame(rows, "i int, a string, b string").select("i", "a", "b", fingerprints.digests("a").alias("x"), fingerprints.digests("b").alias("y"))
-    df = df.withColumn("d", fingerprints.difference("x", "y"))
+    df = df.withColumns({"p": fingerprints.sketch("x"), "q": fingerprints.sketch("y")})
+    df = df.withColumn("d", fingerprints.difference("x", "y", "p", "q"))
     for r in df.collect():
         assert {p.p for p in r.d if p.s == 1} == set(r.x) - set(r.y) and {p.p for p in r.d if p.s == -1} == set(r.y) - set(r.x)
         assert len(r.x) == len(_units(r.a))
