@@ -89,6 +89,27 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
             _remove(spark, path)
 
 
+#: Keys that so many rows have may be hot. At most ``MOST_HOT`` keys (of some dozens of bytes) are broadcast for that.
+HOT_ROWS, MOST_HOT = 200, 100_000
+
+
+def hot_from(total: int) -> int:
+    """Keys with so many of ``total`` rows or more count as hot: ``MOST_HOT`` of them at most."""
+    return max(HOT_ROWS, -(-total // MOST_HOT))
+
+
+def counted_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` (staged) with ``keyed``: a row for each key, and in ``n`` how many of ``rows`` have it.
+
+    Rows with a hot key meet it by broadcast where they are, the others by a shuffle in which no key is hot.
+    """
+    keyed = staged(keyed, "keyed")
+    least = hot_from(int(keyed.agg(F.sum(n)).first()[0] or 0))
+    hot = F.broadcast(keyed.filter(F.col(n) >= least).drop(n))
+    others = rows.join(hot.select(*on), on, "left_anti").join(keyed.filter(F.col(n) < least).drop(n), on)
+    return rows.join(hot, on).unionByName(others)
+
+
 def release() -> None:
     """Gives memory that a Python worker no longer needs back to the system, for the stages that come after."""
     import pyarrow as pa

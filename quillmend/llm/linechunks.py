@@ -91,13 +91,22 @@ def repeats(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]] = ch
     pieces whose hash occurs again have their bytes fetched and compared.
     """
     cut = common.staged(docs.mapInArrow(lambda batches: _cut(batches, pieces), "id bigint, first bigint, end bigint, h bigint, k bigint"), "chunks")
-    again = cut.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "k")
-    wanted = cut.join(again, ["h", "k"]).groupBy("id").agg(F.collect_list(F.struct("first", "end", "h", "k")).alias("wanted"))  # of one document
-    found = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_bytes_of, "id bigint, first bigint, end bigint, h bigint, k bigint, chunk binary")
-    found = common.staged(found, "repeated")
-    first = found.groupBy("h", "k", "chunk").agg(F.min(F.struct("id", "first")).alias("f")).select("h", "k", "chunk", F.col("f.id").alias("id0"), F.col("f.first").alias("first0"))
+    again = cut.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    wanted = common.staged(common.counted_join(cut, again, ["h", "k"], "n"), "wanted")
+    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("first", "end", "h", "k")).alias("wanted"))  # of one document
+    found = docs.join(lists, "id").select("id", "text", "wanted").mapInArrow(_bytes_of, "id bigint, first bigint, end bigint, h bigint, k bigint, chunk binary")
+    kinds = found.groupBy("h", "k", "chunk").agg(F.min(F.struct("id", "first")).alias("f"), F.count(F.lit(1)).alias("n"))
+    kinds = common.staged(kinds.select("h", "k", "chunk", F.col("f.id").alias("id0"), F.col("f.first").alias("first0"), "n"), "kinds")
+    per_hash = common.staged(kinds.groupBy("h", "k").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("id0", "first0")).alias("f"), F.sum("n").alias("n")), "hashes")
+    # all pieces of a hash have the same bytes, as a rule; then the bytes needn't travel again
+    one = per_hash.filter("kinds = 1").select("h", "k", F.col("f.id0").alias("id0"), F.col("f.first0").alias("first0"), "n")
+    later = common.counted_join(wanted, one, ["h", "k"], "n")
+    mixed = per_hash.filter("kinds > 1").select("h", "k")
+    if not mixed.isEmpty():
+        unlike = found.join(mixed, ["h", "k"], "left_semi").join(kinds.select("h", "k", "chunk", "id0", "first0"), ["h", "k", "chunk"])
+        later = later.unionByName(unlike.drop("chunk"))
     own_end = F.col("first0") + F.col("end") - F.col("first")  # of the first occurrence
-    return found.join(first, ["h", "k", "chunk"]).filter((F.col("id") != F.col("id0")) | (F.col("first") >= own_end)).select("id", "first", "end")
+    return later.filter((F.col("id") != F.col("id0")) | (F.col("first") >= own_end)).select("id", "first", "end")
 
 
 def remove(df: DataFrame, key: str, text: str, pieces: Callable[[str], list[tuple[int, int]]] = chunks) -> DataFrame:

@@ -208,7 +208,7 @@ def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame, percent:
 
     alone: shingles of a document that no other document of all open buckets has. They are in no
     intersection and in every union, so a pair's similarity is bounded; a member that is ruled out even
-    with the partner in its bucket that has the fewest of them goes.
+    with the fewest of them in its bucket goes.
     """
     members = common.staged(members, "apart")
     ids = common.staged(members.select("id").distinct(), "ids")
@@ -216,13 +216,22 @@ def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame, percent:
     lone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
     known = ids.join(lone, "id", "left").join(classes.select("id", "n", "bands"), "id").select("id", "n", "bands", F.coalesce("alone", F.lit(0)).alias("alone"))
     rated = common.staged(members.join(known, "id"), "rated")
-    # the least that a partner can have: the second least where the member itself has the least
-    least = rated.groupBy("bucket").agg(F.min("alone").alias("least"), F.min_by("id", "alone").alias("by"))
-    second = rated.join(least, "bucket").filter("id <> by").groupBy("bucket").agg(F.min("alone").alias("second"))
-    best = rated.join(least, "bucket").join(second, "bucket").withColumn("partner", F.when(F.col("id") == F.col("by"), F.col("second")).otherwise(F.col("least")))
+    # the least that a partner can have
+    least = rated.groupBy("bucket").agg(F.min("alone").alias("partner"), F.count(F.lit(1)).alias("k"))
+    best = common.counted_join(rated, least, ["bucket"], "k")
     return best.filter(100 * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone", "bands")
 
 
+def _dealt(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``members`` with each of ``chosen`` of their bucket; the members of a hot bucket are dealt out, and each part gets all that are chosen."""
+    per_bucket = common.staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")), "sizes")
+    least = common.hot_from(int(per_bucket.agg(F.sum("k")).first()[0] or 0))
+    hot = F.broadcast(per_bucket.filter(F.col("k") >= least).select("bucket", F.ceil(F.col("k") / common.HOT_ROWS).cast("int").alias("parts")))
+    own = members.join(hot, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("parts", F.lit(1)).cast("bigint")).cast("int")).drop("parts")
+    theirs = chosen.join(hot, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return own.join(theirs, ["bucket", "part"])
+
+
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, component) after more links (a, b)."""
     for end in ("a", "b"):
@@ -251,7 +260,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
     classes = common.staged(classes, "classes")
     met = classes.select(F.col("id"), F.explode("bands").alias("bucket"))
     buckets = met.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = common.staged(met.join(buckets, "bucket").select("bucket", "id", "pivot"), "members")
+    members = common.staged(common.counted_join(met, buckets, ["bucket"], "members").select("bucket", "id", "pivot"), "members")
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = common.staged(pairs, "pairs")
     links, tried, pivots = _linked(pairs, classes, docs, percent), pairs, 1
@@ -262,8 +271,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
     while True:
         at = members.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         at = common.staged(at, "at")
-        open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        members = common.staged(_linkable(at.join(open_, "bucket"), classes, docs, percent), "open")
+        open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi").select("bucket", "k")
+        members = common.staged(_linkable(common.counted_join(at, open_, ["bucket"], "k"), classes, docs, percent), "open")
         if members.isEmpty():
             break
         pivots *= 16
@@ -272,7 +281,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
         chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua"), F.col("p.bands").alias("ba")), "chosen")
         # a pair counts in the first bucket that it shares; there it has been compared, or is now
         first = F.expr("filter(zip_with(bands, ba, (x, y) -> if(x = y, x, null)), v -> v is not null)[0] = bucket")
-        pairs = members.join(chosen, "bucket").filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua", percent) & first)
+        pairs = _dealt(members, chosen).filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua", percent) & first)
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)

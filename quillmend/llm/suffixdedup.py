@@ -28,7 +28,7 @@ PIECE = 20
 #: Depth of the multikey quicksort, in bytes; blind tries go on from there.
 SHALLOW = 24
 #: The quicksort leaves parts of so many suffixes to one sort of all their words to that depth.
-_LEAF = 1 << 16
+_LEAF = 1 << 11
 #: Chunks are small so that their arrays stay in the processor's cache.
 _CHUNK_BYTES, _SORT_BYTES = 64 << 10, 4 << 20
 #: So many hashes are broadcast at most (8 bytes each); beyond, segments are found by a shuffle and cut from their texts again.
@@ -184,52 +184,83 @@ def _shallow(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             starts.append(new)
             continue
         word = words[at + depth]
-        pivot = np.sort(word[:: len(word) // 31])[15]
+        some = np.sort(word[:: max(1, len(word) // 31)])
+        pivot = some[len(some) // 2]
         low, high = word < pivot, word > pivot
         work += [(at[high], depth), (at[~(low | high)], depth + 8), (at[low], depth)]
     return np.concatenate(parts), np.concatenate(starts)
 
 
-def _deep(words: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Classes of equal ``LENGTH``-byte suffixes, by blind tries.
+class _Trie:
+    """A blind trie over strings of ``LENGTH`` bytes: a node [depth, children by the byte there, a string below it].
 
-    new: where a group begins that agrees to ``SHALLOW`` bytes. In each group one suffix is the leaf against
-    which all others are compared, blindly up to where they branch off it: the depth and the bytes there
-    name the subtree that each belongs to. Those that never branch off equal the leaf; the subtrees are
-    groups of the next round. All tries grow side by side. Returns a class number for each suffix.
+    A new string is led down by the bytes at the nodes' depths alone; what lies between them is skipped, and
+    the string that is found there is compared with it once. Where they part, the new one branches off.
     """
-    steps = [*range(SHALLOW, LENGTH - 7, 8)]
-    steps += [LENGTH - 8] if steps[-1] != LENGTH - 8 else []
-    result = np.full(len(at), -1, np.int64)
-    todo, classes = np.arange(len(at)), 0
-    while len(todo):
-        leaf = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        result[todo[leaf]] = classes + np.arange(len(leaf))
-        rest = np.flatnonzero(~new)
-        branch, there = np.full(len(rest), -1, np.int8), np.zeros(len(rest), np.uint64)
-        own, other = at[todo[rest]], at[todo[leaf[group[rest]]]]
-        alike = np.arange(len(rest))
-        for k, step in enumerate(steps):
-            if not len(alike):
-                break
-            w = words[own[alike] + step]
-            off = w != words[other[alike] + step]
-            if off.any():
-                branch[alike[off]], there[alike[off]] = k, w[off]
-                alike = alike[~off]
-        result[todo[rest[alike]]] = classes + group[rest[alike]]
-        classes += len(leaf)
-        apart = np.flatnonzero(branch >= 0)
-        if not len(apart):
-            break
-        g, branch, there = group[rest[apart]], branch[apart], there[apart]
-        order = np.lexsort((there, branch, g))
-        g, branch, there = g[order], branch[order], there[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (branch[1:] != branch[:-1]) | (there[1:] != there[:-1])
-        todo = todo[rest[apart]][order]
-    return result
+
+    def __init__(self, first: bytes):
+        self.root = first
+
+    def add(self, key: bytes) -> bytes:
+        """The equal string in the trie: an old one, or the key itself."""
+        node = self.root
+        while node.__class__ is list:
+            below = node[1].get(key[node[0]])
+            node = node[2] if below is None else below
+        if node == key:
+            return node
+        apart = LENGTH - 1 - ((int.from_bytes(key) ^ int.from_bytes(node)).bit_length() - 1) // 8
+        parent, below = None, self.root
+        while below.__class__ is list and below[0] < apart:
+            parent, below = below, below[1][key[below[0]]]
+        if below.__class__ is list and below[0] == apart:
+            below[1][key[apart]] = key
+            return key
+        branch = [apart, {node[apart]: below, key[apart]: key}, node]
+        if parent is None:
+            self.root = branch
+        else:
+            parent[1][key[parent[0]]] = branch
+        return key
+
+    def ordered(self) -> Iterator[bytes]:
+        """Its strings in order."""
+        work = [self.root]
+        while work:
+            node = work.pop()
+            if node.__class__ is list:
+                work += [node[1][k] for k in sorted(node[1], reverse=True)]
+            else:
+                yield node
+
+
+def _deep(data: bytes, at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts ``at`` in the order of their strings of ``LENGTH`` bytes, and a class number for each.
+
+    new: where a group begins that agrees to ``SHALLOW`` bytes; a blind trie orders each.
+    """
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    order, classes = at.copy(), np.cumsum(new) - 1  # of groups of one string
+    inside = np.zeros(len(at), np.int64)  # further strings in the groups before
+    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        members = at[a : a + n].tolist()
+        key = data[members[0] : members[0] + LENGTH]
+        trie, places = _Trie(key), {}
+        for x in members:
+            key = trie.add(data[x : x + LENGTH])
+            if key in places:
+                places[key].append(x)
+            else:
+                places[key] = [x]
+        i = a
+        for k, key in enumerate(trie.ordered()):
+            found = places[key]
+            order[i : i + len(found)] = found
+            if k:
+                inside[i] = 1
+            i += len(found)
+    return order, classes + np.cumsum(inside)
 
 
 def equal_windows(data: bytes, starts: np.ndarray) -> np.ndarray:
@@ -238,7 +269,7 @@ def equal_windows(data: bytes, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     words = _words(np.frombuffer(data, np.uint8))
     at, new = _shallow(words, starts)
-    classes = _deep(words, at, new)
+    at, classes = _deep(data, at, new)
     by_place = np.empty(len(data), np.int64)
     by_place[at] = classes
     return by_place[starts]

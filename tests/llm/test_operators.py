@@ -10,7 +10,7 @@ import regex
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from quillmend.llm import decontam, fingerprints, langid, linechunks, mixing, neardup, secrets, sharding, splitters, suffixdedup, toxicity
+from quillmend.llm import common, decontam, fingerprints, langid, linechunks, mixing, neardup, secrets, sharding, splitters, suffixdedup, toxicity
 from quillmend.llm.components import components
 
 CLASHES = ["kept", "removed", "n_removed", "score", "lang_pred", "strong", "linked", "parts", "next", "shard", "slot", "source_size", "target", "repeats", "spans", "uid", "key1", "size", "row", "in0"]
@@ -95,6 +95,21 @@ def test_near_duplicates_by_similarity(spark):
         neardup.near_duplicates(df, "d", "t", 79)
 
 
+def test_hot_keys_take_the_other_way(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = spark.createDataFrame([(i % 7 if i < 40 else 100 + i, i) for i in range(60)], "k bigint, v bigint")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
+    got = {(r.k, r.v, r.least) for r in common.counted_join(rows, keyed, ["k"], "n").collect()}
+    least = {}
+    for r in rows.orderBy("v").collect():
+        least.setdefault(r.k, r.v)
+    assert got == {(r.k, r.v, least[r.k]) for r in rows.collect()}
+    base = [f"w{i}" for i in range(120)]
+    docs = [(n, " ".join(base[:k] + [f"y{n}"] + base[k:])) for n, k in enumerate(range(0, 120, 3))] + [(90 + i, " ".join([*base[: 60 + i], *(f"z{i}a{j}" for j in range(60 - i))])) for i in range(20)]
+    found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text").collect()
+    assert {r.id: r.component_id for r in found} == _brute_components(docs)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = neardup.near_duplicates(odd, "doc_id", "text").collect()
     assert len(rows) == len(odd_rows())
@@ -360,6 +375,23 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch):
         assert [got[d] for d, _ in rows] == expected
 
 
+def test_quicksort_and_tries_order_suffixes(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    data = "".join(rng.choice(["ab", "abc", "b" * 30, "long passage " * 9, "x" * rng.randrange(1, 120), "é"]) for _ in range(2500)).encode()
+    starts = np.arange(len(data) - suffixdedup.LENGTH + 1)
+    for leaf in (3, 40, suffixdedup._LEAF):  # small leaves: all by quicksort
+        monkeypatch.setattr(suffixdedup, "_LEAF", leaf)
+        at, new = suffixdedup._shallow(suffixdedup._words(np.frombuffer(data, np.uint8)), starts)
+        heads = [data[i : i + suffixdedup.SHALLOW] for i in at.tolist()]
+        assert heads == sorted(heads) and [True] + [a != b for a, b in zip(heads, heads[1:], strict=False)] == new.tolist()
+        order, classes = suffixdedup._deep(data, at, new)
+        whole = [data[i : i + suffixdedup.LENGTH] for i in order.tolist()]
+        assert whole == sorted(whole) and sorted(order.tolist()) == starts.tolist()
+        assert classes.tolist() == list(np.cumsum([0] + [a != b for a, b in zip(whole, whole[1:], strict=False)]))
+
+
 def test_equal_windows_sorts_many():
     rng = random.Random(8)
     data = "".join(rng.choice(["ab", "abc", "b" * 30]) for _ in range(3000)).encode()
