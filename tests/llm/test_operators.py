@@ -107,7 +107,7 @@ def test_hot_keys_take_the_other_way(spark, monkeypatch):
     base = [f"w{i}" for i in range(120)]
     docs = [(n, " ".join(base[:k] + [f"y{n}"] + base[k:])) for n, k in enumerate(range(0, 120, 3))] + [(90 + i, " ".join([*base[: 60 + i], *(f"z{i}a{j}" for j in range(60 - i))])) for i in range(20)]
     found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text").collect()
-    assert {r.id: r.component_id for r in found} == _brute_components(docs)
+    assert {r.id: (r.n_shingles, r.component_id) for r in found} == _brute_components(docs)
 
 
 def test_near_duplicates_odd_rows(odd, empty):
