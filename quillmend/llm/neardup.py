@@ -179,11 +179,15 @@ def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int
     """The pairs (a, b) that are links: first by their sketches, then by their full sets."""
     s = sketches.select(F.col("id"), "sketch")
     near = pairs.join(s.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
-    near = common.staged(near.filter(_apart(F.col("sa"), F.col("sb")) <= sketch_limit(percent)).select("a", "b"), "near")
+    return _confirm(common.staged(near.filter(_apart(F.col("sa"), F.col("sb")) <= sketch_limit(percent)).select("a", "b"), "near"), docs, percent)
+
+
+def _confirm(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b; staged), those that the full sets link."""
     ids = common.staged(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "ids")
     texts = _texts(docs, ids)
     rows = near.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
-    kind = dict(pairs.dtypes)["a"]
+    kind = dict(near.dtypes)["a"]
     return common.staged(rows.select("a", "b", "ta", "tb").mapInArrow(lambda batches: _confirmed(batches, percent), f"a {kind}, b {kind}"), "links")
 
 
@@ -208,18 +212,20 @@ def _linkable(members: DataFrame, classes: DataFrame, docs: DataFrame, percent:
 
     alone: shingles of a document that no other document of all open buckets has. They are in no
     intersection and in every union, so a pair's similarity is bounded; a member that is ruled out even
-    with the fewest of them in its bucket goes.
+    with the partner in its bucket that has the fewest of them goes.
     """
     members = common.staged(members, "apart")
     ids = common.staged(members.select("id").distinct(), "ids")
     each = _texts(docs, ids).select("id", "text").mapInArrow(_lone, "id bigint, shingle bigint")
     lone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    known = ids.join(lone, "id", "left").join(classes.select("id", "n", "bands"), "id").select("id", "n", "bands", F.coalesce("alone", F.lit(0)).alias("alone"))
+    known = ids.join(lone, "id", "left").join(classes.select("id", "n", "bands", "sketch"), "id").select("id", "n", "bands", "sketch", F.coalesce("alone", F.lit(0)).alias("alone"))
     rated = common.staged(members.join(known, "id"), "rated")
-    # the least that a partner can have
-    least = rated.groupBy("bucket").agg(F.min("alone").alias("partner"), F.count(F.lit(1)).alias("k"))
-    best = common.counted_join(rated, least, ["bucket"], "k")
-    return best.filter(100 * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone", "bands")
+    # the least that a partner can have: the second least where the member itself has the least
+    least = rated.groupBy("bucket").agg(F.min("alone").alias("least"), F.min_by("id", "alone").alias("by"), F.count(F.lit(1)).alias("k"))
+    rated = common.staged(common.counted_join(rated, least, ["bucket"], "k"), "least")
+    second = rated.groupBy("bucket").agg(F.min(F.when(F.col("id") != F.col("by"), F.col("alone"))).alias("second"), F.count(F.lit(1)).alias("k")).filter("second is not null")
+    best = common.counted_join(rated, second, ["bucket"], "k").withColumn("partner", F.when(F.col("id") == F.col("by"), F.col("second")).otherwise(F.col("least")))
+    return best.filter(100 * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("partner"))).select("bucket", "id", "component", "n", "alone", "bands", "sketch")
 
 
 def _dealt(members: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -277,15 +283,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
             break
         pivots *= 16
         salt = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
-        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min_by(F.struct("id", "component", "n", "alone", "bands"), "id").alias("p"))
-        chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua"), F.col("p.bands").alias("ba")), "chosen")
+        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min_by(F.struct("id", "component", "n", "alone", "bands", "sketch"), "id").alias("p"))
+        chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua"), F.col("p.bands").alias("ba"), F.col("p.sketch").alias("sa")), "chosen")
         # a pair counts in the first bucket that it shares; there it has been compared, or is now
         first = F.expr("filter(zip_with(bands, ba, (x, y) -> if(x = y, x, null)), v -> v is not null)[0] = bucket")
-        pairs = _dealt(members, chosen).filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua", percent) & first)
+        pairs = _dealt(members, chosen).filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua", percent) & first & (_apart(F.col("sketch"), F.col("sa")) <= sketch_limit(percent)))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
-        more = _linked(pairs, classes, docs, percent)
+        more = _confirm(pairs, docs, percent)
         members = members.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
         if not more.isEmpty():
             links = links.union(more)
