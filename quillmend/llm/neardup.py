@@ -287,12 +287,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = PERCENT)
         chosen = common.staged(chosen.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("ca"), F.col("p.n").alias("na"), F.col("p.alone").alias("ua"), F.col("p.bands").alias("ba"), F.col("p.sketch").alias("sa")), "chosen")
         # a pair counts in the first bucket that it shares; there it has been compared, or is now
         first = F.expr("filter(zip_with(bands, ba, (x, y) -> if(x = y, x, null)), v -> v is not null)[0] = bucket")
-        pairs = _dealt(members, chosen).filter((F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua", percent) & first & (_apart(F.col("sketch"), F.col("sa")) <= sketch_limit(percent)))
+        marked = members.join(chosen.select("bucket", F.col("a").alias("id"), F.lit(True).alias("is_pivot")), ["bucket", "id"], "left")
+        marked = common.staged(marked.withColumn("is_pivot", F.coalesce("is_pivot", F.lit(False))), "marked")
+        once = ~F.col("is_pivot") | (F.col("a") < F.col("id"))  # two pivots meet one way round
+        pairs = _dealt(marked, chosen).filter(once & (F.col("component") != F.col("ca")) & _possible("n", "alone", "na", "ua", percent) & first & (_apart(F.col("sketch"), F.col("sa")) <= sketch_limit(percent)))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         more = _confirm(pairs, docs, percent)
-        members = members.join(chosen.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
+        members = marked.filter(~F.col("is_pivot")).select("bucket", "id")
         if not more.isEmpty():
             links = links.union(more)
             labels = _relabelled(labels, more)
