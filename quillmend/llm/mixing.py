@@ -67,8 +67,8 @@ def mix(df: DataFrame, source: str, size: str, key: str, weights: tuple[float, .
     source: a column (null is a source too); size, key: names of bigint and id columns. A row is taken
     floor(epochs) times, and once more if it comes early enough in its source's seeded order: the
     rows up to the one at which the fraction is nearest. So a source's words differ from its target by
-    half of one row's size at most. Rows with equal key and size are interchangeable. Rows of size 0
-    follow their order like others. An empty table gives an empty result. Reruns agree: the order is a
+    half of one row's size at most. Rows with equal key and size go together, as one row of their sizes'
+    sum. Rows of size 0 follow their order like others. An empty table gives an empty result. Reruns agree: the order is a
     hash of seed and key.
 
     No source is gathered in one task: order buckets are summed first, and only the one bucket of each
@@ -102,8 +102,10 @@ def _mix(df: DataFrame, source: str, size: str, key: str, weights: tuple[float,
 
     inside = hashed.select(F.col(source).alias("__s"), F.col(b).alias("__b"), F.col(h).alias("__h"), F.col(key).alias("__k"), F.col(size).alias("__size"))
     inside = inside.join(small(edge), F.col("__s").eqNullSafe(F.col(s)) & (F.col("__b") == F.col("__edge")))
+    # equal places go together, so a key that many rows share is one row here
+    inside = inside.groupBy("__s", "__h", "__k", "__size", "__before", "__part").agg(F.sum("__size").alias("__sum"))
     order = Window.partitionBy("__s").orderBy("__h", "__k", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("__before") + F.sum("__size").over(order) - F.col("__size") / 2
+    middle = F.col("__before") + F.sum("__sum").over(order) - F.col("__sum") / 2
     inside = inside.withColumn("__taken", middle < F.col("__part"))
     # the order's last row that is taken, as a place to compare with
     last = inside.filter("__taken").groupBy("__s").agg(F.max(F.struct("__h", "__k", "__size")).alias("__last"))
