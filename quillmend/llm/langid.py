@@ -21,6 +21,8 @@ from . import common
 
 #: About so many bytes of text of each language are learned from, drawn by a hash of the id.
 FIT_BYTES = 4_000_000
+#: But about so many rows at least, also where a language's texts are very long.
+FIT_ROWS = 16
 #: Words and n-grams seen less often in the sample aren't known.
 LEAST_WORD, LEAST_GRAM = 4, 12
 LONGEST_GRAM = 5
@@ -87,14 +89,16 @@ def _logs(rows: list, langs: list[str], by_length: bool) -> tuple[dict[str, int]
 def train(df: DataFrame, key: str, text: str, lang: str) -> Model:
     """A model from rows with a language; null languages and texts teach nothing. No rows: no languages.
 
-    Rows are drawn by a hash of the key so that about ``FIT_BYTES`` of each language are used.
+    Rows are drawn by a hash of the key so that about ``FIT_BYTES`` of each language are used,
+    or ``FIT_ROWS`` of its rows where that is more: no labelled language is left out.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1_000_003)) / F.lit(1_000_003.0)).alias("unit"))
-    sizes = {r.lang: r.b for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n"))
+    sizes = {r.lang: max(FIT_BYTES / max(1, r.b), FIT_ROWS / r.n) for r in sizes.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros(0))
-    share = F.create_map(*[x for k, b in sizes.items() for x in (F.lit(k), F.lit(min(1.0, FIT_BYTES / max(1, b))))])
+    share = F.create_map(*[x for k, part in sizes.items() for x in (F.lit(k), F.lit(min(1.0, part)))])
     drawn = rows.filter(F.col("unit") < share[F.col("lang")]).select("lang", "text")
     counts = drawn.mapInPandas(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = common.staged(counts, "words")
