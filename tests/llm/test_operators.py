@@ -1,8 +1,11 @@
 """The ten operators against brute force, with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -322,6 +325,63 @@ def test_language_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, "text", nothing).collect()} == {"und"} and langid.predict(empty, "text", model).count() == 0
 
 
+def test_languages_of_few_long_texts_are_learned(spark, monkeypatch):
+    """The sample has rows of every labelled language, however long its texts are."""
+    monkeypatch.setattr(langid, "FIT_BYTES", 50)
+    rows = [(i, "wind winter wider " * 40, "en", "s") for i in range(4)] + [(i, "wald wunder weiter " * 4000, "de", "s") for i in range(4, 7)]
+    model = langid.train(spark.createDataFrame(rows, DOCS), "doc_id", "text", "lang")
+    assert {"wind", "wald"} <= set(model.words) and langid.Predictor(model)("wald")[0] == "de"
+
+
+def _plain_predictions(rows, texts):
+    """The rule of op5 over plain dictionaries: rows (lang, text) that teach, and the texts to tell."""
+    seen, cut = Counter(), Counter()
+    for lang, text in rows:
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            seen[lang, w] += 1
+            w = f" {w} "
+            cut.update((lang, w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
+    langs = sorted({x for x, _ in rows})
+
+    def every(counts, least):
+        total = Counter()
+        for (_, w), n in counts.items():
+            total[w] += n
+        return {w for w, n in total.items() if n >= least}
+
+    words, grams = every(seen, langid.LEAST_WORD), every(cut, langid.LEAST_GRAM)
+    of_word, of_gram = Counter(), Counter()
+    for (lang, w), n in seen.items():
+        of_word[lang] += n * (w in words)
+    for (lang, g), n in cut.items():
+        of_gram[lang, len(g)] += n * (g in grams)
+    in_all = {x: sum(of_gram[x, k] for k in range(1, 6)) for x in langs}
+    told = []
+    for text in texts:
+        found, total = regex.findall(r"\p{L}+", (text or "").lower()), dict.fromkeys(langs, 0.0)
+        for w in found:
+            i, padded = 0, f" {w} "
+            while w not in words and i < len(padded):
+                k = next((k for k in range(min(5, len(padded) - i), 0, -1) if padded[i : i + k] in grams), 0)
+                for x in langs:
+                    total[x] += math.log((cut[x, padded[i : i + k]] + 0.05) / (of_gram[x, k] + 1 + 0.05 * len(grams))) if k else math.log(0.05 / (in_all[x] + 1))
+                i += k or 1
+            for x in langs if w in words else []:
+                total[x] += math.log((seen[x, w] + 0.05) / (of_word[x] + 1 + 0.05 * len(words)))
+        best = min(langs, key=lambda x: (-total[x], x))
+        told.append((best, 1 / sum(math.exp((total[x] - total[best]) / math.sqrt(len(found))) for x in langs)) if found else ("und", 0.0))
+    return told
+
+
+def test_language_matches_brute_force(spark, docs):
+    """The small table is within the sample's size, so all labelled rows that aren't held out teach."""
+    rows = docs.select("doc_id", "text", "lang").toPandas()
+    teach = [(r.lang, r.text) for r in rows.itertuples() if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5]
+    got = langid.query(spark, DATA).toPandas().merge(rows[["doc_id", "text"]])
+    want = _plain_predictions(teach, got.text)
+    assert all(a == x and abs(b - y) < 1e-3 for a, b, (x, y) in zip(got.lang_pred, got.score, want, strict=True))
+
+
 def test_backoff_prefers_longer_pieces(spark):
     rows = [(i, "wind winter wider", "en", "s") for i in range(8)] + [(i, "wald wunder weiter", "de", "s") for i in range(8, 16)]
     model = langid.train(spark.createDataFrame(rows, DOCS), "doc_id", "text", "lang")
@@ -502,6 +562,15 @@ def test_mix_takes_targets(spark, odd, empty):
     assert mixing.mix(empty.withColumn("words", mixing.word_count("text")), "source", "words", "doc_id").count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows of one id and size go together; a null id's rows do by size."""
+    rows = [(7, "a", 5)] * 90 + [(None, "a", 1 + i % 9) for i in range(90)] + [(i, "a", 4) for i in range(100, 160)] + [(i, "b", 3) for i in range(200, 300)]
+    got = mixing.mix(spark.createDataFrame(rows, "k bigint, source string, size bigint"), "source", "size", "k").toPandas()
+    assert len(got) == len(rows) and got.fillna({"k": -1}).groupby(["k", "source", "size"]).repeats.nunique().eq(1).all()
+    of = got[got.source == "a"]
+    assert abs((of["size"] * of.repeats).sum() - of.target.iloc[0]) <= 90 * 5 / 2 + 1
+
+
 def test_water_level(spark):
     sources = spark.createDataFrame([(3.0, 10.0), (1.0, 1000.0), (2.0, 40.0)], "weight double, cap double")
     assert mixing.water_level(sources, 90.0) == pytest.approx(40.0) and mixing.water_level(sources, 12.0) == pytest.approx(2.0) and mixing.water_level(sources, 1e9) == float("inf")
