@@ -80,6 +80,14 @@ for _name, _table_name, _damage, _expected in [
     ("repair_regex", "events", "concat('{\"re\": /[a-z]_', event_id, '/}')", """'{"re": "/[a-z]_' || event_id || '/"}'"""),
     ("repair_url", "events", "concat('{u: https://example.org/', event_id, '?a=1&b=2, n: ', event_id, '}')", """'{"u": "https://example.org/' || event_id || '?a=1&b=2", "n": ' || event_id || '}'"""),
     ("repair_escaped", "events", r"""replace(props, '"', '\\"')""", "props"),
+    ("repair_stray_backslash", "events", r"""concat('[\\"', event_type, '", ', event_id, ']')""", """'["' || event_type || '", ' || event_id || ']'"""),
+    ("repair_missing_start_quote", "events", """concat('[', event_type, '", "x"]')""", """'["' || event_type || '", "x"]'"""),
+    ("repair_not_finite", "events", "concat('[NaN, Infinity, -Infinity, ', event_id, ']')", """'["NaN", "Infinity", "-Infinity", ' || event_id || ']'"""),
+    ("repair_number_junk", "events", "concat('[', event_id, '.0.1, 5f-', event_id, ']')", """'["' || event_id || '.0.1", "5f-' || event_id || '"]'"""),
+    ("repair_group", "events", "concat('[(', event_id, '), (', props, ')]')", "'[' || event_id || ', ' || props || ']'"),
+    ("repair_no_key", "events", "concat('{:', event_id, '}')", """'{"' || event_id || '": null}'"""),
+    ("repair_stop_at_delimiter", "events", """concat('{"a":"', event_type, '}')""", """'{"a": "' || event_type || '"}'"""),
+    ("repair_cut_unicode_escape", "events", r"""concat('["', event_type, '\\u12')""", """'["' || event_type || '"]'"""),
     ("repair_identity", "events", "props", "props"),
     ("repair_duplicate_keys", "events", "concat('{b: ', event_id, ', a: 1, b: 2}')", """'{"b": ' || event_id || ', "a": 1, "b": 2}'"""),
 ]:
@@ -252,6 +260,18 @@ _case("loads_text", "events", "concat('{b: ', event_id, ', a: 1e400, b: 2}')", f
 _case("deserialize_struct", "events", "replace(props, '\"', '')", lambda c: fn.deserialize(c, "struct<k:int>")["value"]["k"], "CAST(json_extract_string(props, '$.k') AS INTEGER)")
 _case("deserialize_error", "events", "concat('{k: \"', event_id, '\"}')", lambda c: fn.deserialize(c, "struct<k:int>")["error"], "'expected a number, found a string'")
 _case("deserialize_overflow", "events", "concat('[', event_id, ', 300]')", lambda c: fn.deserialize(c, "array<tinyint>")["error"], "CASE WHEN event_id <= 127 THEN 'number `300` does not fit `i8`' ELSE 'number `' || event_id || '` does not fit `i8`' END")
+_case("deserialize_double", "events", "concat('[', event_id, '.25, .5')", lambda c: fn.deserialize(c, "array<double>")["value"][0], "event_id + 0.25::DOUBLE")
+_case("deserialize_float_overflow", "events", "concat('[', event_id, ', 1e39]')", lambda c: fn.deserialize(c, "array<float>")["error"], "'number `1e39` is not a finite float and cannot be represented'")
+_case("deserialize_bool", "events", "CASE WHEN event_id % 2 = 0 THEN '{b: True}' ELSE '{b: False' END", lambda c: fn.deserialize(c, "struct<b:boolean>")["value"]["b"], "event_id % 2 = 0")
+_case("deserialize_string", "events", "concat('{s: ', event_type)", lambda c: fn.deserialize(c, "struct<s:string>")["value"]["s"], "event_type")
+_case("deserialize_map", "events", "concat('{', event_type, ': ', event_id, ', other: null}')", lambda c: F.map_values(fn.deserialize(c, "map<string,bigint>")["value"])[0], "event_id")
+_case("deserialize_option", "events", "concat('{k: ', CASE WHEN event_id % 2 = 0 THEN 'null' ELSE cast(event_id AS string) END, '}')", lambda c: fn.deserialize(c, "struct<k:bigint>")["value"]["k"], "CASE WHEN event_id % 2 = 1 THEN event_id END")
+_case("deserialize_tuple", "events", "concat('[', event_id, ', ', event_type, ']')", lambda c: fn.deserialize(c, "struct<_1:bigint,_2:string>")["value"]["_2"], "event_type")
+_case("deserialize_char", "events", "concat('[\"', substring(event_type, 1, 1), '\"]')", lambda c: fn.deserialize(c, "array<char(1)>")["value"][0], "substr(event_type, 1, 1)")
+_case("deserialize_any", "events", "concat('{k: [', event_id, ']}')", lambda c: F.variant_get(fn.deserialize(c, "variant")["value"], "$.k[0]", "bigint"), "event_id")
+_case("deserialize_kinds", "events", "CASE WHEN event_id % 2 = 0 THEN '' ELSE '[true]' END", lambda c: fn.deserialize_result(c, "array<int>")["error"]["kind"], "CASE WHEN event_id % 2 = 0 THEN 'NoValueFound' ELSE 'Mismatch' END")
+_case("try_deserialize", "events", "CASE WHEN event_id % 2 = 0 THEN concat('[', event_id) ELSE '[true]' END", lambda c: fn.try_deserialize(c, "array<bigint>")[0], "CASE WHEN event_id % 2 = 0 THEN event_id END")
+_case("try_loads", "events", "CASE WHEN event_id % 2 = 0 THEN concat('[', event_id) ELSE '' END", lambda c: F.variant_get(fn.try_loads(c), "$[0]", "bigint"), "CASE WHEN event_id % 2 = 0 THEN event_id END")
 _case("from_value_missing", "events", "props", lambda c: fn.from_value(c, "struct<k:bigint,other:string>")["value"]["other"], "CAST(NULL AS VARCHAR)")
 
 
@@ -315,6 +335,70 @@ QUERIES["relational_window"] = relational_window
 ORACLE_SQL["relational_window"] = "SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY CAST(json_extract_string(props, '$.k') AS BIGINT) DESC) AS place FROM events"
 
 
+def relational_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten greatest values of mended records; sort and limit."""
+    mended = _table(spark, sf_dir, "events").select("event_id", fn.deserialize(F.expr("replace(props, '\"', '')"), "struct<k:bigint>")["value"]["k"].alias("k"))
+    return mended.orderBy(F.desc("k"), "event_id").limit(10)
+
+
+QUERIES["relational_top"] = relational_top
+ORACLE_SQL["relational_top"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events ORDER BY k DESC, event_id LIMIT 10"
+
+
+def relational_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of clicks and purchases, and of clicks alone, by set operations over mended records."""
+    damaged = F.expr("concat('{user: ', user_id, ', type: ', event_type)")
+    mended = _table(spark, sf_dir, "events").select(fn.deserialize(damaged, "struct<user:bigint,type:string>")["value"].alias("v")).select("v.user", "v.type")
+    clicks, purchases = (mended.filter(F.col("type") == kind).select("user") for kind in ("click", "purchase"))
+    return clicks.intersect(purchases).select("user", F.lit("both").alias("side")).unionAll(clicks.subtract(purchases).select("user", F.lit("clicks").alias("side")))
+
+
+QUERIES["relational_sets"] = relational_sets
+ORACLE_SQL["relational_sets"] = """
+WITH c AS (SELECT user_id AS "user" FROM events WHERE event_type = 'click'), p AS (SELECT user_id AS "user" FROM events WHERE event_type = 'purchase')
+SELECT "user", 'both' AS side FROM (SELECT "user" FROM c INTERSECT SELECT "user" FROM p) UNION ALL SELECT "user", 'clicks' AS side FROM (SELECT "user" FROM c EXCEPT SELECT "user" FROM p)
+"""
+
+
+def relational_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders a month and the sum of their whole prices, from mended records."""
+    damaged = F.expr("concat('{day: ', cast(o_orderdate AS date), ', price: ', o_totalprice, ',}')")
+    typed = _table(spark, sf_dir, "orders").select(fn.deserialize(damaged, "struct<day:string,price:double>")["value"].alias("v"))
+    months = typed.groupBy(F.date_format(F.to_date("v.day"), "yyyy-MM").alias("month"))
+    return months.agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("v.price").cast("bigint")).alias("total"))
+
+
+QUERIES["relational_dates"] = relational_dates
+ORACLE_SQL["relational_dates"] = "SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS month, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS total FROM orders GROUP BY month"
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs, partial parsing, accessors and edits by their SQL names."""
+    fn.register_all(spark)
+    _table(spark, sf_dir, "events").createOrReplaceTempView("quillmend_events")
+    return spark.sql("""
+        SELECT event_id, repair(concat('{id: ', event_id)) AS mended, parse_partial(concat('[', event_id, ', 1.'), 4, 4095) AS partial,
+          json_pointer(props, '/k') AS k, json_set(props, '/k', '[]') AS edited, is_valid_json(concat(props, ',')) AS valid, json_quote(event_type) AS quoted
+        FROM quillmend_events""")
+
+
+QUERIES["sql_functions"] = sql_functions
+ORACLE_SQL["sql_functions"] = """
+SELECT event_id, '{"id": ' || event_id || '}' AS mended, '[' || event_id || ']' AS partial, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '{"k": []}' AS edited, false AS valid, '"' || event_type || '"' AS quoted FROM events
+"""
+
+
+def sql_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function of JSON spans, joined laterally."""
+    fn.register_all(spark)
+    _table(spark, sf_dir, "events").createOrReplaceTempView("quillmend_events")
+    return spark.sql("SELECT event_id, s.pos, s.value FROM quillmend_events, LATERAL json_spans(concat('so ', props, ' and [', event_id, ']')) s")
+
+
+QUERIES["sql_spans"] = sql_spans
+ORACLE_SQL["sql_spans"] = "SELECT event_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN props ELSE '[' || event_id || ']' END AS value FROM events, (SELECT unnest([0, 1]) AS pos)"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged events mended and summed by type."""
     damaged = F.expr("concat('```json\\n{id: ', event_id, \", 'type': '\", event_type, \"', k: \", regexp_extract(props, '[0-9]+', 0), ',')")
