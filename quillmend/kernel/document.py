@@ -269,8 +269,7 @@ class Renderer:
         found = sound.ahead(text, start)
         if not found:
             return False
-        stop, closed = found
-        piece, deep, _ = sound.canonical(text[start + 1 : stop - closed])
+        stop, closed, piece, deep = found
         if self.depth + deep + (self.values >= 1) > DEEPEST:
             return False  # for the error's place
         if piece:

@@ -11,8 +11,9 @@ import re
 
 from .classes import LONE, quoted
 
-_STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"')
+_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"', re.DOTALL)
 _NESTING = re.compile(r"[\[\]{}]")
+_MARKS = re.compile(r"[\[\]{},]")
 _NO_BLANKS = dict.fromkeys(map(ord, " \n\r\t"))
 
 
@@ -28,10 +29,19 @@ def respelled(string: str) -> str:
     return quoted(LONE.sub("\ufffd", json.loads(string))) if "\\" in string else string
 
 
-def canonical(piece: str) -> tuple[str, int, int]:
-    """A piece of strict JSON in canonical spelling, how deep it nests, and at which depth it ends."""
-    strings = _STRING.findall(piece)
-    rest = _STRING.sub("\0", piece).translate(_NO_BLANKS)
+def _split(piece: str) -> list[str]:
+    """In turn what is between strings and what is in them; an unfinished string at the end is left out."""
+    if '\\"' not in piece:
+        parts = piece.split('"')
+        return parts if len(parts) % 2 else parts[:-1]
+    parts = _STRING.split(piece)
+    parts[-1] = parts[-1].partition('"')[0]
+    return parts
+
+
+def canonical(parts: list[str]) -> tuple[str, int]:
+    """A split piece of strict JSON in canonical spelling, and how deep it nests."""
+    rest, strings = "\0".join(parts[::2]).translate(_NO_BLANKS), parts[1::2]
     depth = most = 0
     for ch in _NESTING.findall(rest):
         if ch in "[{":
@@ -40,41 +50,50 @@ def canonical(piece: str) -> tuple[str, int, int]:
                 most = depth
         else:
             depth -= 1
-    if "\\" in piece:
-        strings = list(map(respelled, strings))
-    rest = rest.replace(",", ", ").replace(":", ": ").split("\0")
-    out = [""] * (2 * len(strings) + 1)
-    out[::2], out[1::2] = rest, strings
-    return "".join(out), most, depth
-
+    out = parts[:]
+    out[::2] = rest.replace(",", ", ").replace(":", ": ").split("\0")
+    out[1::2] = [respelled(f'"{s}"')[1:-1] if "\\" in s else s for s in strings]
+    return '"'.join(out), most
 
-#: Strings (an unfinished one, too) and what tells levels.
-_MARKS = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[\[\]{},]', re.DOTALL)
 
-
-def _last_comma(text: str, start: int, stop: int) -> int:
-    """The last comma directly in the container that opens at ``start``, before ``stop``; -1 if there is none."""
-    depth, found = 0, -1
-    for m in _MARKS.finditer(text, start, stop):
+def _last_comma(rest: str) -> int:
+    """The last comma directly in the container that opens first, in a piece without what is in its strings; -1 if there is none."""
+    depth = rest.count("[") + rest.count("{") - rest.count("]") - rest.count("}")
+    for m in _MARKS.finditer(rest[::-1]):  # from the end: it lies before the last member
         ch = m[0]
         if ch == ",":
             if depth == 1:
-                found = m.start()
+                return len(rest) - m.end()
         elif ch in "[{":
-            depth += 1
-        elif ch in "]}":
             depth -= 1
-    return found
+        else:
+            depth += 1
+    return -1
+
 
+def ahead(text: str, start: int) -> tuple[int, bool, str, int] | None:
+    """How far the container at ``start`` is sound: (its end, True) or (the comma after its last sound member, False).
 
-def ahead(text: str, start: int) -> tuple[int, bool] | None:
-    """How far the container at ``start`` is sound: (its end, True), or (the comma after its last sound member, False)."""
+    Then the sound members in canonical spelling, and how deep they nest.
+    """
     try:
-        return _DECODER.raw_decode(text, start)[1], True
+        stop, reached = _DECODER.raw_decode(text, start)[1], None
     except json.JSONDecodeError as e:
-        if e.pos - start < 16:
-            return None
-        comma = _last_comma(text, start, e.pos)
-        return (comma, False) if comma >= 0 else None
+        reached = e.pos
     except (ValueError, RecursionError):
         return None
+    if reached is None:
+        return stop, True, *canonical(_split(text[start + 1 : stop - 1]))
+    if reached - start < 16:
+        return None
+    parts = _split(text[start:reached])
+    rest = "\0".join(parts[::2])
+    comma = _last_comma(rest)
+    if comma < 0:
+        return None
+    n = rest.count("\0", 0, comma)  # strings before it
+    parts = parts[: 2 * n + 1]
+    parts[-1] = parts[-1][: comma - rest.rfind("\0", 0, comma) - 1]
+    stop = start + sum(map(len, parts)) + 2 * n
+    parts[0] = parts[0][1:]
+    return stop, False, *canonical(parts)
