@@ -11,7 +11,7 @@ import re
 import sys
 
 from ..errors import JsonTextError
-from ..options import Allow, Options, Repairs
+from ..options import KEEP, PASS, Options
 from . import classes as c
 from . import sound
 from .scanner import Fault, Scanner
@@ -57,7 +57,7 @@ class _Level:
 class Renderer:
     def __init__(self, text: str, options: Options):
         self.scanner = Scanner(text, options.allow, options.repairs)
-        self.allow, self.repairs, self.strict = options.allow, options.repairs, self.scanner.strict
+        self.allow, self.repairs, self.strict = self.scanner.allow, self.scanner.repairs, self.scanner.strict
         self.out: list[str] = []
         self.next: tuple | None = None  # a token read ahead
         self.ended = False
@@ -91,9 +91,9 @@ class Renderer:
 
     def _kept(self, cut: bool, at: int) -> bool:
         """Whether a string that may be cut off counts."""
-        if cut and not self.repairs & Repairs.TRUNCATION:
+        if cut and not self.repairs & PASS.TRUNCATION:
             raise Fault("UnexpectedEnd", at)
-        return not cut or bool(self.allow & Allow.STR)
+        return not cut or bool(self.allow & KEEP.STR)
 
     # -- the whole document
 
@@ -133,9 +133,9 @@ class Renderer:
             level, keyed = _Level(), opener == "{"
             level.filled()
             if not self._members(level, keyed):
-                if not self.repairs & Repairs.TRUNCATION:
+                if not self.repairs & PASS.TRUNCATION:
                     raise self.fault("UnexpectedEnd")
-                if not self.allow & (Allow.OBJ if keyed else Allow.ARR):
+                if not self.allow & (KEEP.OBJ if keyed else KEEP.ARR):
                     return None, 0
             self.out.append("}" if keyed else "]")
             self.depth -= 1
@@ -157,7 +157,7 @@ class Renderer:
             if comma and self.strict:
                 raise self.fault("TrailingComma")
             return False
-        if not (comma or self.next[4]) or prose or not self.repairs & Repairs.NDJSON:
+        if not (comma or self.next[4]) or prose or not self.repairs & PASS.NDJSON:
             raise self.fault("TrailingValue")
         return True
 
@@ -177,7 +177,7 @@ class Renderer:
             return self.word()
         if kind in ("n", "b", "z", "u"):
             _, text, cut, _, _ = self.take()
-            if cut and not self.allow & Allow.NUM:
+            if cut and not self.allow & KEEP.NUM:
                 return False
             self.out.append(text)
             return True
@@ -189,7 +189,7 @@ class Renderer:
             return False
         # only a plus may be read ahead here: the token after it could be a key
         while (self.next or self.scanner.ahead() == "+") and self.peek() == "+":
-            if not self.repairs & Repairs.CONCATENATION:
+            if not self.repairs & PASS.CONCATENATION:
                 raise self.fault("UnexpectedCharacter", char="+")
             head = self.scanner.ahead()
             if not head or (head not in c.QUOTES and head not in "&\\"):
@@ -207,10 +207,10 @@ class Renderer:
     def word(self) -> bool:
         _, text, cut, start, _ = self.take()
         if (self.next or self.scanner.ahead() == "(") and self.peek() == "(":
-            if not self.repairs & Repairs.CALLS:
+            if not self.repairs & PASS.CALLS:
                 raise Fault("UnexpectedCharacter", start, "(")
             return self.group()
-        if not self.repairs & Repairs.UNQUOTED:
+        if not self.repairs & PASS.UNQUOTED:
             raise Fault("UnquotedValue", start)
         if not self._kept(cut, start):
             return False
@@ -251,9 +251,9 @@ class Renderer:
         closed = self._sound(level, self.scanner.text, start) or self._members(level, keyed)
         kept = True
         if not closed:
-            if not self.repairs & Repairs.TRUNCATION:
+            if not self.repairs & PASS.TRUNCATION:
                 raise self.fault("UnexpectedEnd")
-            kept = bool(self.allow & (Allow.OBJ if keyed else Allow.ARR))
+            kept = bool(self.allow & (KEEP.OBJ if keyed else KEEP.ARR))
         if kept:
             self.out.append("}" if keyed else "]")
         else:
@@ -356,18 +356,18 @@ class Renderer:
             self.take()
             return True
         _, key, cut, start, _ = self.take()
-        if kind == "w" and not self.repairs & Repairs.UNQUOTED:
+        if kind == "w" and not self.repairs & PASS.UNQUOTED:
             raise Fault("UnquotedValue", start)
         if cut:
-            if not self.repairs & Repairs.TRUNCATION:
+            if not self.repairs & PASS.TRUNCATION:
                 raise self.fault("UnexpectedEnd")
-            if not self.allow & Allow.KEY:
+            if not self.allow & KEEP.KEY:
                 return False
         kind = self.peek()
         if kind == ":":
             self.take()
         elif kind == "":
-            if self.repairs & Repairs.TRUNCATION and self.allow & Allow.KEY:
+            if self.repairs & PASS.TRUNCATION and self.allow & KEEP.KEY:
                 self._null(level, key)
             return False
         elif kind in _STARTS:
@@ -380,7 +380,7 @@ class Renderer:
             return True
         kind = self.peek()
         if kind == "":
-            if self.repairs & Repairs.TRUNCATION:
+            if self.repairs & PASS.TRUNCATION:
                 self._null(level, key)
             return False
         if kind in "}],;" and not self.strict:
@@ -420,7 +420,7 @@ def origin(text: str, at: int) -> int:
 
 def render(text: str, options: Options = Options()) -> str:  # noqa: B008 - frozen
     """Canonical JSON text of a damaged document; raises JsonTextError."""
-    twice = bool(options.repairs & Repairs.UNQUOTED) and escaped_twice(text)
+    twice = bool(options.repairs & PASS.UNQUOTED) and escaped_twice(text)
     try:
         return Renderer(unescaped(text) if twice else text, options).document()
     except Fault as f:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from ..errors import JsonTextError
-from ..options import Options, Repairs
+from ..options import PASS, Options
 from .document import Renderer, bytes_before, escaped_twice, origin, render, unescaped
 from .scanner import Fault
 from .sound import respelled
@@ -111,7 +111,7 @@ class Fold:
 
     def _forget(self, output: str, stuck: bool = False) -> None:
         """Without a checkpoint, all output is tail."""
-        self._sound = _Sound(bool(self.options.repairs & Repairs.FENCES))
+        self._sound = _Sound(bool(self.options.repairs & PASS.FENCES))
         self._sound.stuck = stuck
         self._before, self._done_bytes = 0, 0  # bytes of the text and of the output before the checkpoint
         self._tail, self._wrapped = output, False
@@ -137,7 +137,7 @@ class Fold:
     def _after_checkpoint(self, rest: str) -> tuple[str, bool]:
         """What follows ``done`` for the text after the checkpoint, and whether all is wrapped as a list of values."""
         s, options = self._sound, self.options
-        twice = not s.quotes and bool(options.repairs & Repairs.UNQUOTED) and escaped_twice(rest)
+        twice = not s.quotes and bool(options.repairs & PASS.UNQUOTED) and escaped_twice(rest)
         r = Renderer(unescaped(rest) if twice else rest, options)
         try:
             out, values = r.resumed(s.open, s.values)

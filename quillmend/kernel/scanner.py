@@ -7,7 +7,7 @@ where the document does (or where a missing quote was supposed). Places are code
 
 from __future__ import annotations
 
-from ..options import Allow, Repairs
+from ..options import KEEP, PASS
 from . import classes as c
 
 PUNCTUATORS = frozenset("{}[]:,;+()")
@@ -26,11 +26,11 @@ class Fault(Exception):
 class Scanner:
     def __init__(self, text: str, allow: int, repairs: int):
         self.text, self.at, self.end = text, 0, len(text)
-        self.allow, self.repairs = allow, repairs
-        self.strict = repairs & Repairs.ALL == 0
-        self.blanks = c.ALL_BLANKS if repairs & Repairs.WHITESPACE else c.BLANKS
-        self.line_blanks = c.ALL_LINE_BLANKS if repairs & Repairs.WHITESPACE else c.LINE_BLANKS
-        self.comments, self.fences = repairs & Repairs.COMMENTS, repairs & Repairs.FENCES
+        self.allow, self.repairs = allow, repairs = int(allow), int(repairs)
+        self.strict = repairs & PASS.ALL == 0
+        self.blanks = c.ALL_BLANKS if repairs & PASS.WHITESPACE else c.BLANKS
+        self.line_blanks = c.ALL_LINE_BLANKS if repairs & PASS.WHITESPACE else c.LINE_BLANKS
+        self.comments, self.fences = repairs & PASS.COMMENTS, repairs & PASS.FENCES
         #: where only white space is left
         self.last = len(text.rstrip(c.SPACE))
 
@@ -79,11 +79,11 @@ class Scanner:
         return kind, text, cut, start, newline
 
     def _scan(self, head: str, start: int, key: bool, inside: bool) -> tuple[str, str, bool]:
-        text, unquoted = self.text, self.repairs & Repairs.UNQUOTED
+        text, unquoted = self.text, self.repairs & PASS.UNQUOTED
         if head == '"':
             return self._string(head, start + 1, False, inside)
         if head in c.QUOTES:
-            if not self.repairs & Repairs.QUOTES:
+            if not self.repairs & PASS.QUOTES:
                 raise Fault("UnexpectedCharacter", start, head)
             return self._string(head, start + 1, False, inside)
         if head == "." and text.startswith("...", start):
@@ -101,7 +101,7 @@ class Scanner:
             return "s", m[0], self.at >= self.end
         if head == "\\" and unquoted and text[start + 1 : start + 2] in c.QUOTES and start + 1 < self.end:
             return self._string(text[start + 1], start + 2, False, inside)
-        if head == "&" and self.repairs & Repairs.ENTITIES:
+        if head == "&" and self.repairs & PASS.ENTITIES:
             found = c.entity_at(text, start)
             if found and found[0] in c.QUOTES:
                 return self._string(found[0], found[1], True, inside)
@@ -139,7 +139,7 @@ class Scanner:
                 raise Fault("UnexpectedCharacter", start, "0")
             self.at = end
             return "s", raw, False
-        if number != raw and not self.repairs & Repairs.NUMBERS:
+        if number != raw and not self.repairs & PASS.NUMBERS:
             raise Fault("UnexpectedCharacter", start, ".")
         self.at = end
         return "n", number, cut
@@ -158,11 +158,11 @@ class Scanner:
         word, cut = text[start:end], end >= self.last
         # in abc" the quote closes a string that was never opened
         self.at = end + 1 if text.startswith('"', end) else end
-        known = WORDS.get(word) or (FOREIGN_WORDS.get(word) if self.repairs & Repairs.KEYWORDS else None)
+        known = WORDS.get(word) or (FOREIGN_WORDS.get(word) if self.repairs & PASS.KEYWORDS else None)
         if known:
             return *known, False
-        if cut and not key and self.repairs & Repairs.TRUNCATION:
-            for whole, kind, flag in (("true", "b", Allow.BOOL), ("false", "b", Allow.BOOL), ("null", "z", Allow.NULL)):
+        if cut and not key and self.repairs & PASS.TRUNCATION:
+            for whole, kind, flag in (("true", "b", KEEP.BOOL), ("false", "b", KEEP.BOOL), ("null", "z", KEEP.NULL)):
                 if self.allow & flag and whole.startswith(word):
                     return kind, whole, False
         return "w", word, cut

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from enum import IntFlag
+from types import SimpleNamespace
 
 
 class Allow(IntFlag):
@@ -41,6 +42,11 @@ class Repairs(IntFlag):
     ALL = 4095
 
 
+#: The same bits as plain integers, for the kernel: an enum's own operators are several times slower.
+KEEP = SimpleNamespace(**{name: int(bit) for name, bit in Allow.__members__.items()})
+PASS = SimpleNamespace(**{name: int(bit) for name, bit in Repairs.__members__.items()})
+
+
 @dataclass(frozen=True)
 class Options:
     """A pair of masks. Masks combine with ``|``, ``&`` and ``& ~``; bits beyond the known ones are ignored."""
