@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, langid, linechunks, mixing, neardup, secrets, sharding, suffixdedup, toxicity
+from . import decontam, fingerprints, langid, linechunks, merkle, mixing, neardup, secrets, sharding, suffixdedup, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_source_mix": mixing.query,
     "op10_shard_splitters": sharding.query,
+    "op13_merkle_manifest": merkle.query,
 }
 ORACLE_SQL = {
     "op1_near_duplicates": neardup.ORACLE,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_suffix_dedup": suffixdedup.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_shard_splitters": sharding.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

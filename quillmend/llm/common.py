@@ -150,3 +150,23 @@ def fresh(df: DataFrame, base: str) -> str:
         n += 1
         name = f"__{base}{n}"
     return name
+
+
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` (staged) with ``place``: 0, 1, ... in ascending order of these columns, nulls first.
+
+    The rows are dealt out by ranges of the order and sorted there; a range's first place is how many rows the
+    ranges before it have, so no task sees more than its range. Rows equal in all of ``order`` are in any order.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    within = fresh(df, "within")
+    kept = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(within, F.monotonically_increasing_id()), "placed")
+    part = F.shiftright(F.col(within), 33)  # such an id is the partition's number, and in its lower 33 bits the row's
+    counts = kept.groupBy(part.alias("__part")).count().collect()  # a row a partition
+    before, n = [], 0
+    sizes = {r["__part"]: r["count"] for r in counts}
+    for i in range(max(sizes, default=-1) + 1):
+        before.append(n)
+        n += sizes.get(i, 0)
+    firsts = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
+    return kept.withColumn("place", F.get(firsts, part.cast("int")) + F.col(within).bitwiseAND((1 << 33) - 1)).drop(within)
