@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import convtrie, decontam, fingerprints, langid, linechunks, merkle, mixing, neardup, secrets, sharding, suffixdedup, toxicity
+from . import convtrie, decontam, fingerprints, langid, linechunks, merkle, mixing, neardup, pagetext, secrets, sharding, suffixdedup, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_source_mix": mixing.query,
     "op10_shard_splitters": sharding.query,
+    "op11_page_text": pagetext.query,
     "op12_conversation_trie": convtrie.query,
     "op13_merkle_manifest": merkle.query,
 }
