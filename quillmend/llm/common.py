@@ -168,5 +168,5 @@ def placed(df: DataFrame, *order: str) -> DataFrame:
     for i in range(max(sizes, default=-1) + 1):
         before.append(n)
         n += sizes.get(i, 0)
-    firsts = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
+    firsts = F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<bigint>")
     return kept.withColumn("place", F.get(firsts, part.cast("int")) + F.col(within).bitwiseAND((1 << 33) - 1)).drop(within)

@@ -52,9 +52,9 @@ def targets(totals: DataFrame, source: str, total: str, weights: tuple[float, ..
 
     ``budget`` is a multiple of all words. Sources without words get 0.
     """
-    order = Window.orderBy(F.col(source).asc_nulls_last())  # over one row a source
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    listed = totals.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))).withColumn("cap", F.col(total) * max_epochs)
+    listed = common.placed(totals.withColumn("__null", F.col(source).isNull()), "__null", source)  # one row a source, but these may be many
+    turn = F.col("place") % len(weights)
+    listed = listed.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))).withColumn("cap", F.col(total) * max_epochs).drop("__null", "place")
     listed = common.staged(listed, "sources")
     everything = float(listed.agg(F.sum(total)).first()[0] or 0)
     level = water_level(listed, budget * everything)
@@ -67,12 +67,14 @@ def mix(df: DataFrame, source: str, size: str, key: str, weights: tuple[float, .
     source: a column (null is a source too); size, key: names of bigint and id columns. A row is taken
     floor(epochs) times, and once more if it comes early enough in its source's seeded order: the
     rows up to the one at which the fraction is nearest. So a source's words differ from its target by
-    half of one row's size at most. Rows with equal key and size go together, as one row of their sizes'
-    sum. Rows of size 0 follow their order like others. An empty table gives an empty result. Reruns agree: the order is a
-    hash of seed and key.
-
-    No source is gathered in one task: order buckets are summed first, and only the one bucket of each
-    source in which the fraction ends is ranked. Input columns named like the added ones give way to them.
+    half of one row's size at most. Rows with equal key (a null one, say) and size have one place in the order;
+    where the fraction ends among them, the right number is taken, by a hash of the whole row. Rows of
+    size 0 follow their order like others. An empty table gives an empty result. Reruns agree: the order is
+    a hash of seed and key.
+
+    No source is gathered in one task: order buckets are summed first, only the one bucket of each source in which
+    the fraction ends is ranked, a row for each place, and the rows of the last place are numbered by
+    ranges. Input columns named like the added ones give way to them.
     """
     inner, at = common.shielded(df)
     out = _mix(inner, at[source], at[size], at[key], weights, budget, max_epochs, seed)
@@ -102,21 +104,35 @@ def _mix(df: DataFrame, source: str, size: str, key: str, weights: tuple[float,
 
     inside = hashed.select(F.col(source).alias("__s"), F.col(b).alias("__b"), F.col(h).alias("__h"), F.col(key).alias("__k"), F.col(size).alias("__size"))
     inside = inside.join(small(edge), F.col("__s").eqNullSafe(F.col(s)) & (F.col("__b") == F.col("__edge")))
-    # equal places go together, so a key that many rows share is one row here
-    inside = inside.groupBy("__s", "__h", "__k", "__size", "__before", "__part").agg(F.sum("__size").alias("__sum"))
+    # a row for each place, so a key that many rows share is one row here
+    inside = inside.groupBy("__s", "__h", "__k", "__size", "__before", "__part").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy("__s").orderBy("__h", "__k", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("__before") + F.sum("__sum").over(order) - F.col("__sum") / 2
-    inside = inside.withColumn("__taken", middle < F.col("__part"))
-    # the order's last row that is taken, as a place to compare with
-    last = inside.filter("__taken").groupBy("__s").agg(F.max(F.struct("__h", "__k", "__size")).alias("__last"))
+    start = F.col("__before") + F.sum(F.col("__n") * F.col("__size")).over(order) - F.col("__n") * F.col("__size")
+    inside = inside.withColumn("__start", start).filter(F.col("__start") + F.col("__size") / 2 < F.col("__part"))
+    # of the order's last place of which rows are taken, how many: those whose middle comes before the part's end
+    count = F.when(F.col("__size") > 0, F.ceil((F.col("__part") - F.col("__start")) / F.col("__size") + 0.5) - 1).otherwise(F.col("__n"))
+    place = ["__h", "__k", "__size"]
+    last = inside.groupBy("__s").agg(F.max(F.struct(*place, F.least(count, "__n").alias("__count"), "__n")).alias("__last"))
     edge = edge.join(last, F.col(s).eqNullSafe(F.col("__s")), "left").select(F.col(s), "__edge", "__last")
     plan = plan.join(edge.withColumnRenamed(s, "__e"), F.col(s).eqNullSafe(F.col("__e")), "left").drop("__e")
     plan = common.staged(plan, "plan")
 
     joined = hashed.join(small(plan), F.col(source).eqNullSafe(F.col(s)))
-    place = F.struct(F.col(h).alias("__h"), F.col(key).alias("__k"), F.col(size).alias("__size"))
-    extra = (F.col("__part") > 0) & ((F.col(b) < F.col("__edge")) | ((F.col(b) == F.col("__edge")) & (place <= F.col("__last"))))
-    return joined.withColumn("repeats", (F.col("__whole") + F.when(extra, 1).otherwise(0)).cast("int")).select(*df.columns, "source_size", "target", "repeats")
+    own, end = F.struct(F.col(h).alias("__h"), F.col(key).alias("__k"), F.col(size).alias("__size")), F.struct(*[F.col("__last")[c].alias(c) for c in place])
+    at_edge = (F.col("__part") > 0) & F.col("__last").isNotNull() & (F.col(b) == F.col("__edge"))
+    tied = F.coalesce(at_edge & own.eqNullSafe(end) & (F.col("__last.__count") < F.col("__last.__n")), F.lit(False))
+    extra = (F.col("__part") > 0) & ((F.col(b) < F.col("__edge")) | ((F.col(b) == F.col("__edge")) & (own <= end)))
+    repeats = lambda more: (F.col("__whole") + F.when(more, 1).otherwise(0)).cast("int").alias("repeats")
+    out = joined.filter(~tied).select(*df.columns, "source_size", "target", repeats(extra))
+    among = joined.filter(tied)
+    if among.isEmpty():
+        return out
+    # equal rows are interchangeable, so their numbers may be any
+    among = among.withColumns({"__tie": F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]), "__any": F.monotonically_increasing_id()})
+    among = common.placed(among, s, "__tie", "__any")
+    first = among.groupBy(F.col(s).alias("__f")).agg(F.min("place").alias("__first"))
+    among = among.join(small(first), F.col(s).eqNullSafe(F.col("__f")))
+    return out.unionByName(among.select(*df.columns, "source_size", "target", repeats(F.col("place") - F.col("__first") < F.col("__last.__count"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def scan(df: DataFrame, text: str) -> DataFrame:
 
     linked holds the weak candidates that a complementary part backs, without those that overlap a strong
     finding. Null and empty texts have none. Matches and places cost time in proportion to the text and its matches (a
-    text of a million of them adds a factor of a few). Only texts with parts of two roles are looked at for weak
+    text of a million of them adds a factor of a few), and so do the windows in which parts of several roles meet, but for their sorts. Only texts with parts of two roles are looked at for weak
     candidates, as no other can have a linked one. Rows keep to themselves, equal ones too. Input columns
     named like the added ones give way to them.
     """
@@ -122,17 +122,17 @@ def _scan(df: DataFrame, text: str) -> DataFrame:
 
     each = base.filter("several").select(row, F.explode(F.concat("weak", strong)).alias("p")).select(row, "p.*")
     each = each.withColumn("role", F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("kind")])
-    own = Window.partitionBy(row).orderBy("start", "end", "kind")
-    before, after = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    place = ("start", "end", "kind")
+    before, after = (Window.partitionBy(row).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (place, _backwards(place)))
     sure = lambda c: F.when(F.col("kind").isin(list(STRONG)), c)
     each = each.withColumns({
         "scope": F.coalesce(F.sum((F.col("kind") == "blank").cast("int")).over(before), F.lit(0)),
         "covered": F.coalesce(F.max(sure(F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(sure(F.col("start"))).over(after) < F.col("end"), F.lit(False)),
     }).filter((F.col("kind") != "blank") & (F.col("kind").isin(list(STRONG)) | ~F.col("covered")))
-    scope = Window.partitionBy(row, "scope").orderBy("start", "end", "kind")
-    near = lambda role: F.coalesce(
-        (F.max(F.when(F.col("role") == role, F.col("end"))).over(scope.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start") - REACH), F.lit(False)
-    ) | F.coalesce((F.min(F.when(F.col("role") == role, F.col("start"))).over(scope.rowsBetween(1, Window.unboundedFollowing)) <= F.col("end") + REACH), F.lit(False))
+    left, right = (Window.partitionBy(row, "scope").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (place, _backwards(place)))
+    near = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("end"))).over(left) >= F.col("start") - REACH, F.lit(False)) | F.coalesce(
+        F.min(F.when(F.col("role") == role, F.col("start"))).over(right) <= F.col("end") + REACH, F.lit(False)
+    )
     each = each.withColumns({f"near_{r}": near(r) for r in NEEDS})
     backed = reduce(lambda a, b: a | b, [(F.col("role") == r) & reduce(lambda a, b: a | b, [F.col(f"near_{x}") for x in needs]) for r, needs in NEEDS.items()])
     linked = each.filter(F.col("kind").isin(list(WEAK)) & backed).groupBy(row).agg(F.collect_list(F.struct("start", "end", "kind")).alias("linked"))
@@ -140,6 +140,11 @@ def _scan(df: DataFrame, text: str) -> DataFrame:
     return out.select(*keep, strong, _ranked(F.coalesce("linked", empty)).alias("linked"))
 
 
+def _backwards(place: tuple[str, ...]) -> list[Column]:
+    """The reverse order: what follows a row comes before it there, and Spark keeps a running value of what comes before only."""
+    return [F.col(c).desc() for c in place]
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
