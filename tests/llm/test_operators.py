@@ -210,17 +210,14 @@ def test_contamination_odd_rows(spark, odd, empty):
 
 def test_line_chunks_match_brute_force(docs, odd, empty):
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    seen, expected = set(), {}
+    first, expected = {}, {}  # every two adjacent lines, where they were first
     for d, text in rows:
-        lines, kept = text.split("\n"), []
-        for a, b in linechunks.chunks(text):
-            chunk = "\n".join(lines[a:b])
-            if b - a >= linechunks.LEAST_LINES:
-                if chunk in seen:
-                    continue
-                seen.add(chunk)
-            kept += lines[a:b]
-        expected[d] = "\n".join(kept)
+        lines, gone = text.split("\n"), set()
+        for i in range(len(lines) - 1):
+            at = first.setdefault((lines[i], lines[i + 1]), (d, i))
+            if at[0] != d or at[1] + 2 <= i:
+                gone |= {i, i + 1}
+        expected[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     assert {r.doc_id: r.kept for r in linechunks.remove(docs, "doc_id", "text").collect()} == expected
     got = {(r.doc_id, r.text): r for r in linechunks.remove(odd, "doc_id", "text").collect()}
     assert got[1, None].kept is None and got[2, ""].kept == "" and linechunks.remove(odd, "doc_id", "text").count() == len(odd_rows())
@@ -232,7 +229,7 @@ def test_repeated_runs_of_lines_go(spark, odd, empty):
     runs = [[f"run {n} line {i}, which is shared" for i in range(n)] for n in range(2, 7)]
     rows = [(d, "\n".join([f"start {d}", *runs[d % 5], f"own {d}", f"end {d}"][rng.randrange(2) :])) for d in range(30)]  # short runs in otherwise different documents
     rows += [(100 + d, "\n".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for d in range(60)] + [(200, "same\nsame\nsame"), (201, "x\nx\nx\nx")]
-    got = {r.d: r for r in linechunks.remove(spark.createDataFrame(rows, "d bigint, t string"), "d", "t", linechunks.pairs).collect()}
+    got = {r.d: r for r in linechunks.remove(spark.createDataFrame(rows, "d bigint, t string"), "d", "t").collect()}
     for d, text in rows[5:30]:
         assert not set(runs[d % 5]) & set(got[d].kept.split("\n")) and got[d].n_removed == len(runs[d % 5])
     texts = [t.split("\n") for _, t in rows]
@@ -245,7 +242,7 @@ def test_repeated_runs_of_lines_go(spark, odd, empty):
                     gone |= set(range(a, b))
         assert got[d].kept == "\n".join(x for i, x in enumerate(lines) if i not in gone), d
     assert {x for t in texts for x in t} == {x for r in got.values() for x in r.kept.split("\n")} | {""}  # one copy of every line stays
-    assert linechunks.remove(odd, "doc_id", "text", linechunks.pairs).count() == len(odd_rows()) and linechunks.remove(empty, "doc_id", "text", linechunks.pairs).count() == 0
+    assert linechunks.remove(odd, "doc_id", "text").count() == len(odd_rows()) and linechunks.remove(empty, "doc_id", "text").count() == 0
 
 
 def test_line_query_takes_short_runs(spark, tmp_path):
@@ -254,10 +251,13 @@ def test_line_query_takes_short_runs(spark, tmp_path):
 
 
 def test_chunks_resist_shifts():
-    lines = [f"line number {i} of the text" for i in range(60)]
-    chunks = lambda ls: {tuple(ls[a:b]) for a, b in linechunks.chunks("\n".join(ls))}
-    assert len(chunks(lines) & chunks(["new first line", *lines])) >= 0.7 * len(chunks(lines))
-    assert [x for c in linechunks.chunks("\n".join(lines)) for x in range(*c)] == list(range(60))
+    lines = [f"line number {i} of the text".encode() for i in range(60)]
+    hashes = linechunks.line_hashes(lines)
+    marks, moved = linechunks.boundaries(hashes), linechunks.boundaries(linechunks.line_hashes([b"new first line", *lines]))
+    assert [m + 1 for m in marks] == moved[1:] and len(set(marks)) < 50  # a third of the lines is no boundary
+    for i in range(59):  # a run of two lines alone has the boundary that it has in its document
+        assert linechunks.boundaries(hashes[i : i + 2]) == [marks[i] - i]
+        assert linechunks.rolling(hashes[i : i + 2]) == [linechunks.rolling(hashes)[i]]
 
 
 # -- op4
