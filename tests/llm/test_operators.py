@@ -626,13 +626,13 @@ def test_oracles(spark):
     from quillmend.llm import catalog
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in catalog.ORACLE_SQL.items():
         ours, theirs = catalog.QUERIES[name](spark, DATA).toPandas(), c.sql(sql).df()
         columns = sorted(ours.columns)
         assert columns == sorted(theirs.columns), name
-        a, b = (x[columns].sort_values("doc_id").reset_index(drop=True) for x in (ours, theirs))
+        a, b = (x[columns].sort_values(["conv_id", "depth"] if "conv_id" in columns else "doc_id").reset_index(drop=True) for x in (ours, theirs))
         for col in columns:
             assert (a[col].fillna(-1) == b[col].fillna(-1)).all(), (name, col)
 
@@ -640,5 +640,5 @@ def test_oracles(spark):
 def test_names():
     from quillmend.llm import catalog
 
-    assert [sum(q.startswith(f"op{n}_") for q in catalog.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in catalog.QUERIES) for n in range(1, 14)] == [1] * 13
     assert isinstance(pd.__version__, str)
