@@ -22,6 +22,8 @@ UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u
 
 URL = re.compile(r"[A-Za-z0-9\-._~:/?#@!$&'()*+;=]*")
 ENTITY = re.compile(r"&(?:(quot|amp|lt|gt|apos)|#[xX](\+?[0-9A-Fa-f]+)|#(\+?[0-9]+));")
+#: As much of an entity as there is.
+ENTITY_RUN = re.compile(r"&#?[+0-9A-Za-z]*")
 FENCE = re.compile(r"[\[{]?```[A-Za-z0-9_$]*[\]}]?")
 BLANKS = re.compile(r"[ \n\r\t]*")
 ALL_BLANKS = re.compile(f"[ \\n\\r\\t{ODD_BLANK}]*")
@@ -38,6 +40,7 @@ HEX2 = re.compile(r"[0-9A-Fa-f]{2}")
 HEX_TO_END = re.compile(r"[0-9A-Fa-f]{0,3}\Z")
 REGEX = re.compile(r"/(?:\\(?s:.)|[^\\/])*(?:/|\\?\Z)")
 RAW_QUOTE = re.compile(r'(?<!\\)(?:\\\\)*"')
+ESCAPED_QUOTE = re.compile(r'(?<!\\)(?:\\\\)*\\"')
 ESCAPED = re.compile(r"\\(?s:(.))")
 
 

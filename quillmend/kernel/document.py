@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
+from dataclasses import dataclass
 
 from ..errors import JsonTextError
 from ..options import KEEP, PASS, Options
@@ -44,18 +45,38 @@ class _Level:
     """An open container: whether it has no member yet, whether a comma waits for one, and after how many
     members read by token to look for sound ones again (more each time)."""
 
-    __slots__ = ("comma", "empty", "patience", "wait")
+    __slots__ = ("comma", "empty", "keyed", "patience", "wait")
 
-    def __init__(self):
-        self.empty, self.comma = True, False
+    def __init__(self, keyed: bool, empty: bool = True, comma: bool = False):
+        self.keyed, self.empty, self.comma = keyed, empty, comma
         self.patience = self.wait = 4
 
     def filled(self) -> None:
         self.empty = self.comma = False
 
 
+@dataclass(frozen=True)
+class Place:
+    """A place between members (or between values at the top) up to which a document is settled: whatever
+    follows, what comes before is read and rendered the same.
+
+    levels: for each open container ``{`` or ``[``, or with a comma waiting ``(`` or ``<``, or still empty ``}`` or ``]``, or both ``)`` or
+    ``>``; values: complete ones at the top; deepest: how deep it has nested; prose: it began with words.
+    """
+
+    levels: str = ""
+    values: int = 0
+    deepest: int = 0
+    prose: bool = False
+
+
+#: How a level is written in a :class:`Place`: (keyed, empty, comma).
+_LEVELS = {(True, False, False): "{", (False, False, False): "[", (True, False, True): "(", (False, False, True): "<", (True, True, False): "}", (False, True, False): "]", (True, True, True): ")", (False, True, True): ">"}
+_OF_LEVEL = {v: k for k, v in _LEVELS.items()}
+
+
 class Renderer:
-    def __init__(self, text: str, options: Options):
+    def __init__(self, text: str, options: Options, settling: bool = False):
         self.scanner = Scanner(text, options.allow, options.repairs)
         self.allow, self.repairs, self.strict = self.scanner.allow, self.scanner.repairs, self.scanner.strict
         self.out: list[str] = []
@@ -63,6 +84,12 @@ class Renderer:
         self.ended = False
         self.depth = self.deepest = 0
         self.values = 0  # at the top
+        self.levels: list[_Level] = []
+        self.groups, self.prose = 0, False
+        #: with ``settling``, the last settled place, where it is in the text and how many pieces of the output come before it
+        self.settling, self.settled = settling, None
+        #: after how many pieces of the output the text ended in the middle of a string, read as one that will be closed (0: it didn't)
+        self.unfinished = 0
 
     # -- tokens
 
@@ -98,49 +125,70 @@ class Renderer:
     # -- the whole document
 
     def document(self) -> str:
-        first = self.peek()
-        prose = first == "w" and bool(_SPACED.search(self.next[1]))
-        if not self.value():
-            raise Fault("NoValueFound", 0)
-        self.values = 1
-        text = self._rest(prose)
-        if self.values > 1:
+        text, values = self.values_at_top()
+        if values > 1:
             text = f"[{text}]"
         if self.deepest + 1 > DEEPEST and depth_of(text) > DEEPEST:
             raise Fault("DepthLimitExceeded", self.scanner.end)
         return text
 
-    def _rest(self, prose: bool) -> str:
-        """The values after the first; all of them, unwrapped."""
-        while self._another(prose):
+    def values_at_top(self) -> tuple[str, int]:
+        """All values, not yet wrapped as a list, and how many there are."""
+        first = self.peek()
+        self.prose = first == "w" and bool(_SPACED.search(self.next[1]))
+        if not self.value():
+            raise Fault("NoValueFound", 0)
+        self.values = 1
+        return self._rest(), self.values
+
+    def _rest(self) -> str:
+        """The values after those there are; all of them that this renderer has seen, unwrapped."""
+        self._settle()
+        while self._another(self.prose):
             mark = len(self.out)
             if self.values == 1 and self.deepest >= DEEPEST - 1 and depth_of("".join(self.out)) >= DEEPEST:
                 raise self.fault("DepthLimitExceeded")
             self.out.append(", ")
             if not self.value():
-                del self.out[mark:]
+                self._back_to(mark)
                 break
             self.values += 1
+            self._settle()
         return "".join(self.out)
 
-    def resumed(self, open_: str, values: int) -> tuple[str | None, int]:
-        """What follows a sound part of a document that ends just after a value inside these openers, with so many
-        values at the top before; and how many there are in all. None if a container around that part is dropped.
+    def resumed(self, place: Place) -> tuple[str | None, int]:
+        """What follows a settled place, for the text after it, and how many values there are in all at the top.
+
+        None if a container that is open there is dropped.
         """
-        self.depth = self.deepest = len(open_)
-        self.values = values
-        for opener in reversed(open_):
-            level, keyed = _Level(), opener == "{"
-            level.filled()
-            if not self._members(level, keyed):
+        self.values, self.prose = place.values, place.prose
+        self.levels = [_Level(*_OF_LEVEL[x]) for x in place.levels]
+        self.depth, self.deepest = len(self.levels), place.deepest
+        for level in reversed(self.levels[:]):
+            if not self._members(level):
                 if not self.repairs & PASS.TRUNCATION:
                     raise self.fault("UnexpectedEnd")
-                if not self.allow & (KEEP.OBJ if keyed else KEEP.ARR):
+                if not self.allow & (KEEP.OBJ if level.keyed else KEEP.ARR):
                     return None, 0
-            self.out.append("}" if keyed else "]")
+            self.out.append("}" if level.keyed else "]")
+            self.levels.pop()
             self.depth -= 1
-        self.values += bool(open_)
-        return self._rest(False), self.values
+        self.values += bool(place.levels)
+        return self._rest(), self.values
+
+    def _settle(self) -> None:
+        """Notes this place as settled if no decision so far has depended on where the text ends."""
+        if self.settling and self.next is None and not self.scanner.open and not self.groups:
+            around = ["{" if x.keyed else "[" for x in self.levels[:-1]]  # whose member this container is
+            inner = [_LEVELS[x.keyed, x.empty, x.comma] for x in self.levels[-1:]]
+            self.settled = Place("".join(around + inner), self.values, self.deepest, self.prose), self.scanner.at, len(self.out)
+
+    def _back_to(self, mark: int) -> None:
+        """Takes the output back; what was settled within it isn't."""
+        del self.out[mark:]
+        if self.settled and self.settled[2] > mark:
+            self.settled = None
+        self.unfinished = 0
 
     def _another(self, prose: bool) -> bool:
         """Passes what stands between values at the top; whether one follows."""
@@ -202,6 +250,8 @@ class Renderer:
                 return False
             text += more
         self.out.append(c.quoted(text))
+        if cut and self.scanner.within:
+            self.unfinished = len(self.out)
         return True
 
     def word(self) -> bool:
@@ -229,6 +279,7 @@ class Renderer:
         if self.strict:
             raise self.fault("UnexpectedCharacter", char="(")
         self.take()
+        self.groups += 1
         found = self.value()
         while True:
             kind = self.peek()
@@ -241,14 +292,17 @@ class Renderer:
             else:
                 break
         self.depth -= 1
+        self.groups -= 1
         return found
 
     def container(self, opener: str) -> bool:
-        mark, level, keyed = len(self.out), _Level(), opener == "{"
+        mark, level, keyed = len(self.out), _Level(opener == "{"), opener == "{"
         self._deeper()
         start = self.take()[3]
         self.out.append(opener)
-        closed = self._sound(level, self.scanner.text, start) or self._members(level, keyed)
+        self.levels.append(level)
+        closed = self._sound(level, self.scanner.text, start) or self._members(level)
+        self.levels.pop()
         kept = True
         if not closed:
             if not self.repairs & PASS.TRUNCATION:
@@ -257,7 +311,7 @@ class Renderer:
         if kept:
             self.out.append("}" if keyed else "]")
         else:
-            del self.out[mark:]
+            self._back_to(mark)
         self.depth -= 1
         return kept
 
@@ -299,10 +353,12 @@ class Renderer:
         level.wait = level.patience
         return None
 
-    def _members(self, level: _Level, keyed: bool) -> bool:
+    def _members(self, level: _Level) -> bool:
         """Renders members until the closer (True) or until no more can be had (False)."""
+        keyed = level.keyed
         own = "}" if keyed else "]"
         while True:
+            self._settle()
             kind = self.peek(keyed)
             if not kind:
                 return False
@@ -336,7 +392,7 @@ class Renderer:
         if key is not None:
             self.out.append(c.quoted(key) + ": ")
         if not self.value():
-            del self.out[mark:]
+            self._back_to(mark)
             return False
         level.filled()
         return True
@@ -393,8 +449,28 @@ def bytes_before(text: str, at: int) -> int:
     return len(text[:at].encode("utf-8", "surrogatepass"))
 
 
+@dataclass(frozen=True)
+class Escapes:
+    """What a text's double quotes tell, chunk by chunk: whether there are escaped ones, raw ones, and whether a backslash is waiting at its end."""
+
+    escaped: bool = False
+    raw: bool = False
+    waiting: bool = False
+
+    def then(self, chunk: str) -> Escapes:
+        """After one more chunk; the chunk is undone by going on with the value from before it."""
+        text = "\\" * self.waiting + chunk
+        escaped = self.escaped or bool('\\"' in text and c.ESCAPED_QUOTE.search(text))
+        raw = self.raw or bool('"' in text and c.RAW_QUOTE.search(text))
+        return Escapes(escaped, raw, (len(text) - len(text.rstrip("\\"))) % 2 == 1)
+
+    @property
+    def twice(self) -> bool:
+        """Whether every double quote is escaped, so that the whole document lost its outermost string."""
+        return self.escaped and not self.raw
+
+
 def escaped_twice(text: str) -> bool:
-    """Whether every double quote is escaped, so that the whole document lost its outermost string."""
     return '\\"' in text and not c.RAW_QUOTE.search(text)
 
 
@@ -403,19 +479,24 @@ def unescaped(text: str) -> str:
     return c.ESCAPED.sub(lambda m: c.ESCAPES.get(m[1], m[0]), text)
 
 
-def origin(text: str, at: int) -> int:
-    """The byte of ``text`` that a place in its unescaped form comes from."""
+def place_before_escapes(text: str, at: int) -> int:
+    """The place in ``text`` that a place in its unescaped form comes from."""
     seen, last = 0, 0
     for m in c.ESCAPED.finditer(text):
         plain = m.start() - last
         if at < seen + plain:
-            return bytes_before(text, last + at - seen)
+            return last + at - seen
         seen += plain
         width = 1 if m[1] in c.ESCAPES else 2
         if at < seen + width:
-            return bytes_before(text, m.start() + (at - seen if width == 2 else 0))
+            return m.start() + (at - seen if width == 2 else 0)
         seen, last = seen + width, m.end()
-    return bytes_before(text, min(len(text), last + at - seen))
+    return min(len(text), last + at - seen)
+
+
+def origin(text: str, at: int) -> int:
+    """The byte of ``text`` that a place in its unescaped form comes from."""
+    return bytes_before(text, place_before_escapes(text, at))
 
 
 def render(text: str, options: Options = Options()) -> str:  # noqa: B008 - frozen

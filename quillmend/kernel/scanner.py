@@ -2,7 +2,8 @@
 
 A token is (kind, text, cut, start, after_newline). Kinds: a punctuator itself, ``.`` for an ellipsis, ``s``
 string, ``n`` number, ``b`` true or false, ``z`` null, ``u`` undefined, ``w`` bare word. cut: the text ends
-where the document does (or where a missing quote was supposed). Places are code points.
+where the document does (or where a missing quote was supposed). Places are code points. ``Scanner.open`` tells whether anything read so
+far would have been read otherwise if the document went on.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ class Scanner:
         self.comments, self.fences = repairs & PASS.COMMENTS, repairs & PASS.FENCES
         #: where only white space is left
         self.last = len(text.rstrip(c.SPACE))
+        #: a decision has depended on where the text ends
+        self.open = False
+        #: the text ends within a string in which nothing has to be told yet
+        self.within = False
 
     # -- between tokens
 
@@ -55,7 +60,10 @@ class Scanner:
                 m = c.FENCE.match(text, at)
                 if m:
                     at = m.end()
+                elif self.end - at < 4 and not text[at + 1 :].strip("`"):
+                    self.open = True  # may become a fence
             if at == start:
+                self._reached(at + (head == "/"))
                 return at, newline
 
     def ahead(self) -> str:
@@ -88,34 +96,51 @@ class Scanner:
             return self._string(head, start + 1, False, inside)
         if head == "." and text.startswith("...", start):
             self.at = self.blanks.match(text, start + 3).end()
+            self._reached(self.at)
             if text.startswith(",", self.at):
                 self.at += 1
             return ".", "...", False
         if head in "-.0123456789":
             return self._number(start) or self._word(start, key)
+        if head in "/\\":
+            self._reached(start + 1)
         if head == "/":
             if text.startswith(("//", "/*"), start) or not unquoted:
                 raise Fault("UnexpectedCharacter", start, "/")
             m = c.REGEX.match(text, start)
             self.at = m.end()
+            self._reached(self.at)
             return "s", m[0], self.at >= self.end
         if head == "\\" and unquoted and text[start + 1 : start + 2] in c.QUOTES and start + 1 < self.end:
             return self._string(text[start + 1], start + 2, False, inside)
         if head == "&" and self.repairs & PASS.ENTITIES:
-            found = c.entity_at(text, start)
+            found = self._entity(start)
             if found and found[0] in c.QUOTES:
                 return self._string(found[0], found[1], True, inside)
         return self._word(start, key)
 
+    def _reached(self, at: int) -> None:
+        """What stands at ``at`` decides."""
+        if at >= self.end:
+            self.open = True
+
+    def _entity(self, at: int) -> tuple[str, int] | None:
+        found = c.entity_at(self.text, at)
+        if not found:
+            self._reached(c.ENTITY_RUN.match(self.text, at).end())
+        return found
+
     def _number(self, start: int) -> tuple[str, str, bool] | None:
         """A number, respelled if need be; a string if it has leading zeros; None if it is a word."""
         m = c.SOUND_NUMBER.match(self.text, start)
         if m:
             self.at = m.end()
+            self._reached(self.at)
             return "n", m[0], False
         m = c.NUMBER.match(self.text, start)
         raw, (sign, whole, point, mark, plus, power) = m[0], m.groups()
         end = m.end()
+        self._reached(end)
         if not raw or not (end >= self.end or self.text[end] in c.AFTER_QUOTE or self.text[end] in c.SPACE):
             return None
         at_end, cut, number = end >= self.end, False, sign + whole
@@ -147,15 +172,21 @@ class Scanner:
     def _word(self, start: int, key: bool) -> tuple[str, str, bool]:
         text = self.text
         end = (c.KEY_WORD if key else c.WORD).match(text, start).end()
+        self._reached(end)
         end = start + len(text[start:end].rstrip(c.SPACE))
         end = max(end, start + 1)  # an odd character is a word, so that reading goes on
+        if text[end - 1] == ":" and self.end - end < 2:
+            self.open = True
         if text[end - 1] == ":" and text.startswith("//", end):
             at = end - 1
             while at > start and text[at - 1] not in c.SPACE:
                 at -= 1
             if text[at:end] in c.SCHEMES:
                 end = c.URL.match(text, end).end()
+                self._reached(end)
         word, cut = text[start:end], end >= self.last
+        if cut:
+            self.open = True
         # in abc" the quote closes a string that was never opened
         self.at = end + 1 if text.startswith('"', end) else end
         known = WORDS.get(word) or (FOREIGN_WORDS.get(word) if self.repairs & PASS.KEYWORDS else None)
@@ -199,14 +230,16 @@ class Scanner:
                 delimiter_last = text[stop - 1] in c.AFTER_QUOTE
                 at = stop
             if at >= end:
+                settled, self.open = not self.open, True
                 if delimiter_last and not cutting:
                     return True, comma
+                self.within = settled and not cutting and comma < 0 and not entity
                 return "".join(parts), at, True
             if at == comma:
                 return "".join(parts), at, True
             head = text[at]
             if head == "&" and entity:
-                found = c.entity_at(text, at)
+                found = self._entity(at)
                 if found:
                     if found[0] in ends:
                         return "".join(parts), found[1], False
@@ -248,6 +281,7 @@ class Scanner:
             if cutting and head in c.CUT_AT:
                 if head == "/" and "".join(parts) in c.SCHEMES:
                     stop = c.URL.match(text, at).end()
+                    self._reached(stop)
                     parts.append(text[at:stop])
                     delimiter_last = text[stop - 1] in c.AFTER_QUOTE
                     at = stop
@@ -272,9 +306,12 @@ class Scanner:
             if self.comments and text.startswith("/", at):
                 m = c.COMMENT.match(text, at)
                 at = m.end() if m else at
+                if not m:
+                    self._reached(at + 1)
             if at == start:
                 break
         if at >= self.end:
+            self.open = True
             return True
         head = text[at]
         if head in c.AFTER_QUOTE:
@@ -288,11 +325,14 @@ class Scanner:
         """What the escape after a backslash stands for, and where it ends; None: the text ends in it."""
         text = self.text
         if at >= self.end:
+            self.open = True
             return "", at
         head = text[at]
         if head in c.ESCAPES:
             return c.ESCAPES[head], at + 1
         at += 1
+        if head in "xu":
+            self._reached(at + (1 if head == "x" else 3))
         if head == "x":
             m = c.HEX2.match(text, at)
             if m:
@@ -305,6 +345,8 @@ class Scanner:
         m = c.HEX4.match(text, at)
         if m:
             code = int(m[0], 16)
+            if 0xD800 <= code <= 0xDBFF:
+                self._reached(m.end() + 5)
             if 0xD800 <= code <= 0xDBFF and text.startswith("\\u", m.end()):
                 low = c.HEX4.match(text, m.end() + 2)
                 if low and 0xDC00 <= int(low[0], 16) <= 0xDFFF:

@@ -1,8 +1,12 @@
 """A keyed, ordered fold over chunks.
 
 For every chunk: seq, whether it was accepted, the whole output, and the change as (keep bytes, text). A
-rejected chunk leaves no trace. In a stream the text and the output of each key live in the state store;
-chunks that come before their turn (seq counts from 0) wait there.
+rejected chunk leaves no trace.
+
+In a stream, state is written in proportion to what arrives: an accepted chunk is kept once, under its seq, and a small
+checkpoint says where the document stands (:class:`..kernel.fold.Checkpoint`) and with which chunk what isn't settled
+begins, so a batch reads and renders that part alone. Chunks that come before their turn (seq counts from 0) wait in the
+state store; with event time, a gap that the watermark has passed is closed.
 """
 
 from __future__ import annotations
@@ -11,14 +15,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..kernel.fold import Fold
+from ..functions import try_repair
+from ..kernel.document import Escapes, Place, render
+from ..kernel.fold import Checkpoint, Fold
 from ..options import Options
 
 _FIELDS = ["accepted", "output", "keep", "text", "error_kind", "error_position"]
 _ARROW = [pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+#: The column of event times in milliseconds.
+_TIME = "event_time_ms"
 _OUT = "seq bigint, accepted boolean, output string, keep bigint, text string, error_kind string, error_position bigint"
 
 
@@ -27,11 +36,12 @@ def _frame(key: str, rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"seq": "int64", "keep": "int64", "accepted": bool, "error_position": "Int64"}) if rows else out
 
 
-def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options = Options(), reset: str | None = None) -> DataFrame:  # noqa: B008
+def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options = Options(), reset: str | None = None, whole: bool = True) -> DataFrame:  # noqa: B008
     """Rows (key, seq, accepted, output, keep, text, error_kind, error_position), a row a chunk.
 
     Chunks of a key go by seq. A null chunk is an empty one. Where the column ``reset`` is true, the
-    document is forgotten before the chunk.
+    document is forgotten before the chunk. Without ``whole`` the column ``output`` is null: the changes say
+    it all, and rows take space in proportion to their chunk instead of to the whole document.
     """
     kind = dict(df.dtypes)[key]
     columns = [key, seq, chunk, *([reset] if reset else [])]
@@ -46,7 +56,7 @@ def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options =
             for k, c, f in zip(keys, chunks, forget, strict=True):
                 if state is None or k != last or f:
                     state, last = Fold(options), k
-                rows.append(state.push(c or ""))
+                rows.append(state.push(c or "", whole))
             out = [pa.array([r[x] for r in rows], t) for x, t in zip(_FIELDS, _ARROW, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *out], names=[key, "seq", *_FIELDS])
 
@@ -54,47 +64,167 @@ def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options =
     return rows.mapInArrow(fold, f"`{key}` {kind}, {_OUT}")
 
 
+#: The checkpoint in the state store: the next turn; the chunk with which what isn't settled begins and how many of its characters are; when a timer was set; and a
+#: :class:`..kernel.fold.Checkpoint` (``levels`` is ``-`` where there is no place).
+_AT = "next bigint, first bigint, skip bigint, timer bigint, levels string, values bigint, deepest bigint, prose boolean, before bigint, done bigint, length bigint, wrapped boolean, twice boolean, escaped boolean, raw boolean, waiting boolean"
+
+
+def _packed(c: Checkpoint) -> tuple:
+    p, e = c.place or Place("-"), c.escapes
+    return p.levels, p.values, p.deepest, p.prose, c.before, c.done, c.length, c.wrapped, c.twice, e.escaped, e.raw, e.waiting
+
+
+def _unpacked(row: tuple) -> Checkpoint:
+    levels, values, deepest, prose, before, done, length, wrapped, twice, *escapes = row
+    return Checkpoint(None if levels == "-" else Place(levels, values, deepest, prose), before, done, length, wrapped, twice, Escapes(*escapes))
+
+
+class _Document:
+    """One key's document in a batch: a fold that goes on from the state, and which chunks what isn't settled comes from."""
+
+    def __init__(self, options: Options, chunks, row: tuple | None):
+        self.options, self.chunks = options, chunks
+        self.turn, first, skip, self.timer = row[:4] if row else (0, 0, 0, -1)
+        self.rest: list[tuple[int, int]] = []  # (seq, characters)
+        texts = []
+        for s in range(first, self.turn):
+            if chunks.containsKey((s,)):
+                texts.append(chunks.getValue((s,))[0])
+                self.rest.append((s, len(texts[-1])))
+        rest = "".join(texts)[skip:]
+        checkpoint = _unpacked(row[4:]) if row else Checkpoint()
+        self.fold = Fold.at(options, checkpoint, rest, lambda: self._history(first, skip, rest, checkpoint))
+
+    def _history(self, first: int, skip: int, rest: str, c: Checkpoint) -> tuple[str, str]:
+        """The text before ``rest``, and its output."""
+        before = sorted((k[0], v[0]) for k, v in self.chunks.iterator() if k[0] <= first)
+        text = "".join(t if s < first else t[:skip] for s, t in before)
+        done = ""
+        if c.done:
+            whole = render(text + rest, self.options).encode("utf-8", "surrogatepass")
+            done = whole[c.wrapped : c.wrapped + c.done].decode("utf-8", "surrogatepass")
+        return text, done
+
+    def forget(self) -> None:
+        self.fold.reset()
+        self.rest = []
+        for (s,) in list(self.chunks.keys()):
+            self.chunks.removeKey((s,))
+
+    def push(self, chunk: str, whole: bool) -> dict:
+        got = self.fold.push(chunk, whole)
+        if got["accepted"]:
+            self.chunks.updateValue((self.turn,), (chunk,))
+            self.rest.append((self.turn, len(chunk)))
+        self.turn += 1
+        return got
+
+    def row(self) -> tuple:
+        left = len(self.fold.rest)
+        if left > sum(n for _, n in self.rest):  # rendered from the start again
+            self.rest = sorted((k[0], len(v[0])) for k, v in self.chunks.iterator())
+        first, skip = self.turn, 0
+        for s, n in reversed(self.rest):
+            if left <= 0:
+                break
+            first, skip, left = s, max(0, n - left), left - n
+        return (self.turn, first, skip, self.timer, *_packed(self.fold.checkpoint))
+
+
 class FoldProcessor(StatefulProcessor):
     """The fold for transformWithStateInPandas."""
 
-    def __init__(self, key: str, seq: str, chunk: str, options: Options, idle_ms: int | None = None, reset: str | None = None):
-        self.key, self.seq, self.chunk, self.options, self.idle_ms, self.reset = key, seq, chunk, options, idle_ms, reset
+    def __init__(self, key: str, seq: str, chunk: str, options: Options, idle_ms: int | None = None, reset: str | None = None, time: str | None = None, whole: bool = True):
+        self.key, self.seq, self.chunk, self.options, self.idle_ms, self.reset, self.time, self.whole = key, seq, chunk, options, idle_ms, reset, time, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.document = handle.getValueState("document", "text string, output string, next bigint", self.idle_ms)
-        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk string, reset boolean", self.idle_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        text, output, turn = self.document.get() if self.document.exists() else ("", "", 0)
-        state, out = Fold(self.options, text, output), []
+        self.at = handle.getValueState("at", _AT, self.idle_ms)
+        self.chunks = handle.getMapState("chunks", "seq bigint", "chunk string", self.idle_ms)
+        self.waiting = handle.getMapState("waiting", "seq bigint", "chunk string, reset boolean, time bigint", self.idle_ms)
+
+    def _document(self) -> _Document:
+        return _Document(self.options, self.chunks, self.at.get() if self.at.exists() else None)
+
+    def _refused(self, document: _Document, seq: int, kind: str) -> tuple:
+        fold = document.fold
+        return seq, False, fold.output if self.whole else None, fold.output_bytes, "", kind, None
+
+    def _go_on(self, document: _Document, out: list[tuple]) -> None:
+        """Takes the chunks whose turn it is; sets a timer where others wait on."""
+        while self.waiting.containsKey((document.turn,)):
+            chunk, forget, _ = self.waiting.getValue((document.turn,))
+            self.waiting.removeKey((document.turn,))
+            if forget:
+                document.forget()
+            turn = document.turn
+            got = document.push(chunk, self.whole)
+            out.append((turn, *(got[x] for x in _FIELDS)))
+        if self.time and document.timer < 0 and self.waiting.exists():
+            document.timer = min(v[2] for _, v in self.waiting.iterator())
+            self.handle.registerTimer(document.timer)
+        self.at.update(document.row())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        document, out = self._document(), []
         for frame in rows:
             forget = frame[self.reset] if self.reset else [False] * len(frame)
-            for s, c, f in zip(frame[self.seq], frame[self.chunk], forget, strict=True):
-                if int(s) >= turn:
-                    self.waiting.updateValue((int(s),), ("" if c is None or c != c else str(c), bool(f)))
+            times = frame[self.time] if self.time else [0] * len(frame)
+            for s, c, f, t in zip(frame[self.seq], frame[self.chunk], forget, times, strict=True):
+                if int(s) >= document.turn:
+                    self.waiting.updateValue((int(s),), ("" if c is None or c != c else str(c), bool(f), int(t)))
                 else:  # its turn has passed
-                    out.append((key[0], int(s), False, state.output, len(state.output.encode()), "", "LateChunk", None))
-        while self.waiting.containsKey((turn,)):
-            chunk, forget = self.waiting.getValue((turn,))
-            if forget:
-                state.reset()
-            got = state.push(chunk)
-            out.append((key[0], turn, *(got[x] for x in _FIELDS)))
-            self.waiting.removeKey((turn,))
-            turn += 1
-        self.document.update((state.text, state.output, turn))
-        yield _frame(self.key, out)
+                    out.append(self._refused(document, int(s), "LateChunk"))
+        self._go_on(document, out)
+        yield _frame(self.key, [(key[0], *r) for r in out])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed a chunk that waits: those before it aren't waited for any longer."""
+        document, out = self._document(), []
+        document.timer = -1
+        if not self.waiting.containsKey((document.turn,)) and self.waiting.exists():
+            out.append(self._refused(document, document.turn, "LostChunk"))
+            document.turn = min(k[0] for k in self.waiting.keys())
+        self._go_on(document, out)
+        yield _frame(self.key, [(key[0], *r) for r in out])
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(df: DataFrame, key: str, seq: str, chunk: str, options: Options = Options(), idle_ms: int | None = None, reset: str | None = None) -> DataFrame:  # noqa: B008
+def fold_stream(df: DataFrame, key: str, seq: str, chunk: str, options: Options = Options(), idle_ms: int | None = None, reset: str | None = None, time: str | None = None, delay: str = "0 seconds", whole: bool = True) -> DataFrame:  # noqa: B008
     """The same over a stream (state store: RocksDB). seq counts 0, 1, ... for each key.
 
     A chunk whose turn has passed is rejected with the error kind LateChunk and changes nothing.
     idle_ms: forget keys that have been idle for so long (processing time); an addition of this engine.
+    time, delay: a timestamp column and how far a chunk may lag behind (event time). Once the watermark has passed a chunk
+    that waits for earlier ones, these count as lost: a row of the error kind LostChunk has the first missing seq, and the document goes on
+    with the waiting chunk. A lost one that comes after all is a LateChunk; none is dropped in silence. Null times count as long ago.
+    whole: with False, ``output`` is null (the changes say it all) and no batch reads more than what isn't settled.
     """
+    if time and idle_ms:
+        raise ValueError("idle_ms goes by processing time, time by event time: give one of them")
     kind = dict(df.dtypes)[key]
-    return df.groupBy(key).transformWithStateInPandas(FoldProcessor(key, seq, chunk, options, idle_ms, reset), f"`{key}` {kind}, {_OUT}", "Append", "ProcessingTime" if idle_ms else "None")
+    columns = [F.col(c) for c in (key, seq, chunk, *([reset] if reset else []))]
+    if time:
+        # a plain number, so that Spark doesn't take late rows away before they can be reported
+        df = df.withWatermark(time, delay)
+        columns.append(F.coalesce(F.unix_millis(F.col(time).cast("timestamp")), F.lit(0)).alias(_TIME))
+    processor = FoldProcessor(key, seq, chunk, options, idle_ms, reset, _TIME if time else None, whole)
+    mode = "ProcessingTime" if idle_ms else "EventTime" if time else "None"
+    return df.select(*columns).groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kind}, {_OUT}", "Append", mode)
+
+
+def fold_state(spark: SparkSession, checkpoint: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """The state of :func:`fold_stream` after its last batch, from the folder of its checkpoints: a row a key.
+
+    Columns: the key, next (the seq whose turn it is), input (all accepted text), input_bytes, is_empty, output (null before anything was
+    accepted), unsettled_bytes (of the text, read again by the next batch) and waiting (the seqs that came before their turn).
+    """
+    read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    of = read("at").select(F.col("key"), F.col("value.next").alias("next"), F.col("value.length").alias("input_bytes"), (F.col("value.length") - F.col("value.before")).alias("unsettled_bytes"))
+    chunks = read("chunks").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("user_map_key.seq").alias("seq"), F.col("user_map_value.chunk").alias("chunk"))))["chunk"].alias("chunks"))
+    waiting = read("waiting").groupBy("key").agg(F.array_sort(F.collect_list("user_map_key.seq")).alias("waiting"))
+    found = of.join(chunks, "key", "left").join(waiting, "key", "left").withColumn("input", F.coalesce(F.array_join("chunks", ""), F.lit("")))
+    output = try_repair("input", int(options.allow), int(options.repairs))
+    return found.select("key.*", "next", "input", "input_bytes", (F.col("input_bytes") == 0).alias("is_empty"), F.when(F.col("input_bytes") > 0, output).alias("output"), "unsettled_bytes", F.coalesce("waiting", F.array().cast("array<bigint>")).alias("waiting"))
