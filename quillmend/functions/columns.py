@@ -11,17 +11,19 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DataType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, CharType, DataType, DateType, MapType, StringType, StructType, TimestampNTZType, TimestampType, VarcharType, VariantType
 
 from ..errors import ERROR_TYPE, JsonTextError
-from ..kernel import document, spans, tree
+from ..kernel import document, spans, tree, types
+from ..kernel.types import enum_of
 from ..options import Allow, Options, Repairs
 
 __all__ = [
-    "deserialize", "deserialize_result", "deserialize_value", "extract", "extract_all", "extract_partial", "fenced_block", "from_value", "from_value_result", "is_valid_json", "json_array", "json_as_bigint", "json_as_bool", "json_as_double", "json_as_number", "json_as_string", "json_as_ubigint", "json_at", "json_elements", "json_entries", "json_eq", "json_get", "json_index", "json_is", "json_is_empty", "json_kind", "json_len", "json_object", "json_of", "json_pointer", "json_push", "json_put", "json_quote", "json_set", "json_take", "loads", "loads_result", "loads_text", "parse", "parse_partial", "parse_result", "repair", "repair_bytes", "repair_bytes_into", "repair_bytes_result", "repair_extract", "repair_into", "repair_result", "try_deserialize", "try_loads", "try_loads_text", "try_parse", "try_parse_partial", "try_repair", "try_repair_bytes", "try_repair_extract", "validate",
+    "deserialize", "deserialize_result", "deserialize_value", "enum_of", "extract", "extract_all", "extract_partial", "fenced_block", "from_value", "from_value_result", "is_valid_json", "json_array", "json_as_bigint", "json_as_bool", "json_as_double", "json_as_number", "json_as_string", "json_as_ubigint", "json_at", "json_elements", "json_encode", "json_encode_result", "json_entries", "json_eq", "json_get", "json_index", "json_is", "json_is_empty", "json_kind", "json_len", "json_object", "json_of", "json_pointer", "json_push", "json_put", "json_quote", "json_set", "json_take", "loads", "loads_result", "loads_text", "parse", "parse_partial", "parse_result", "repair", "repair_bytes", "repair_bytes_into", "repair_bytes_result", "repair_extract", "repair_into", "repair_result", "serialize", "serialize_result", "try_deserialize", "try_json_encode", "try_loads", "try_loads_text", "try_parse", "try_parse_partial", "try_repair", "try_repair_bytes", "try_repair_extract", "try_serialize", "validate",
 ]
 
 _ALL, _PASSES = int(Allow.ALL), int(Repairs.ALL)
@@ -505,9 +507,7 @@ def _spec(schema: str | DataType) -> tuple[str, str]:
     import json
     import re
 
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    kind = _type(schema)
     return re.sub(r"\bchar\(1\)", "string", kind.simpleString()), json.dumps(kind.jsonValue())
 
 
@@ -556,3 +556,130 @@ def from_value(c: Column | str, schema: str | DataType) -> Column:
 
 def from_value_result(c: Column | str, schema: str | DataType) -> Column:
     return _read_as(c, schema, "result", False, _ALL, _PASSES)
+
+
+# -- typed columns as canonical text
+
+
+def _type(schema: str | DataType) -> DataType:
+    return types.type_of(schema) if isinstance(schema, str) else schema
+
+
+def _spelled_by_catalyst(c: Column, kind: DataType) -> Column:
+    """For types of which every value has one text."""
+    if isinstance(kind, StructType):
+        members = [F.concat(json_quote(F.lit(f.name)), F.lit(": "), _spelled_by_catalyst(c[f.name], f.dataType)) for f in kind.fields]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: _spelled_by_catalyst(v, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, MapType):
+        text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(json_quote(e["key"].cast("string")), F.lit(": "), _spelled_by_catalyst(e["value"], kind.valueType))), ", "), F.lit("}"))
+    elif isinstance(kind, StringType | CharType | VarcharType | DateType | TimestampType | TimestampNTZType):
+        text = json_quote(c.cast("string"))
+    elif isinstance(kind, BinaryType):
+        pairs = F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.substring(F.hex(c), 2 * i - 1, F.lit(2)), 16, 10))
+        text = F.when(F.octet_length(c) == 0, "[]").otherwise(F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]")))
+    else:
+        text = c.cast("string")
+    return F.coalesce(F.when(c.isNotNull(), text), F.lit("null"))
+
+
+def _without_variants(c: Column, kind: DataType) -> Column:
+    """Variants as their JSON text, which Arrow can carry."""
+    if isinstance(kind, VariantType):
+        return F.to_json(c)
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_without_variants(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda v: _without_variants(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: _without_variants(v, kind.valueType))
+    if isinstance(kind, DateType | TimestampType | TimestampNTZType):
+        return c.cast("string")
+    return c
+
+
+@lru_cache(maxsize=64)
+def _spelling(kind_json: str, flavour: str, nulls: bool):
+    from pyspark.sql.types import _parse_datatype_json_string
+
+    kind = _parse_datatype_json_string(kind_json)
+
+    def attempt(value) -> dict:
+        try:
+            return {"value": None if value is None else types.spelled(value, kind, nulls), "error": None}
+        except ValueError as e:
+            if flavour == "raise":
+                raise
+            return {"value": None, "error": _typed_error(e)}
+
+    error = pa.struct([("kind", pa.string()), ("char", pa.string()), ("position", pa.int64()), ("message", pa.string())])
+
+    def column(values: pa.Array) -> pa.Array:
+        return pa.array([attempt(v) for v in values.to_pylist()], pa.struct([("value", pa.string()), ("error", error)]))
+
+    return arrow_udf(column, f"struct<value:string,error:{ERROR_TYPE}>")  # Arrow keeps nulls, integers and nesting as they are
+
+
+def _encoded(c: Column | str, schema: str | DataType, flavour: str, nulls: bool) -> Column:
+    c, kind = _col(c), _type(schema)
+    if types.plain_only(kind):
+        text = F.when(c.isNotNull(), _spelled_by_catalyst(c, kind))
+        return F.struct(text.alias("value"), F.lit(None).cast(ERROR_TYPE).alias("error")) if flavour == "result" else text
+    r = _spelling(kind.json(), flavour, nulls)(_without_variants(c, kind))
+    return r if flavour == "result" else r["value"]
+
+
+def json_encode(c: Column | str, schema: str | DataType, nulls: bool = False) -> Column:
+    """Canonical text of a column of that type (``df.schema["c"].dataType``), without loss: :func:`deserialize` gives the value back.
+
+    Structs and maps are objects in their order, arrays and ``binary`` arrays, integers and decimals their digits, floats the
+    shortest text that reads back, variants their JSON, dates and times strings. A float that isn't finite has no text: that ends the query, or
+    with ``nulls`` it is null. Types without floats and variants never leave the JVM.
+    """
+    return _encoded(c, schema, "raise", nulls)
+
+
+def try_json_encode(c: Column | str, schema: str | DataType) -> Column:
+    return _encoded(c, schema, "try", False)
+
+
+def json_encode_result(c: Column | str, schema: str | DataType) -> Column:
+    """struct<value, error>."""
+    return _encoded(c, schema, "result", False)
+
+
+@lru_cache
+def _serialized(flavour: str):
+    def spelled(text: str) -> str:
+        try:
+            node = tree.read(text)
+        except (ValueError, RecursionError):
+            document.render(text, Options(_ALL, 0))  # says what is wrong with the text, and where
+            raise tree.Mismatch("no JSON value in canonical text") from None
+        return tree.write(types.classified(node))
+
+    def attempt(text: str) -> dict:
+        try:
+            return {"value": spelled(text), "error": None}
+        except ValueError as e:
+            return {"value": None, "error": _typed_error(e)}
+
+    if flavour == "result":
+        return _tabled(attempt, ("value", "error"), f"struct<value:string,error:{ERROR_TYPE}>")
+    return _mapped(spelled if flavour == "raise" else lambda text: attempt(text)["value"], "string")
+
+
+def serialize(c: Column | str) -> Column:
+    """A value (canonical text) as other data models take it: every number is the first of i64, u64 and f64 that it fits, order and
+    duplicates stay. A number that is no finite float is never retyped: it ends the query.
+    """
+    return _serialized("raise")(_col(c))
+
+
+def try_serialize(c: Column | str) -> Column:
+    return _serialized("try")(_col(c))
+
+
+def serialize_result(c: Column | str) -> Column:
+    return _serialized("result")(_col(c))

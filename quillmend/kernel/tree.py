@@ -226,6 +226,8 @@ def coerced(node, spec: dict | str):
     if isinstance(spec, dict):
         if spec["type"] == "struct":
             fields = spec["fields"]
+            if len(fields) == 2 and fields[0].get("metadata", {}).get("comment", "").split(" ")[0] == "enum":
+                return _variant(node, fields)
             if fields and kind(node) == "array" and all(f["name"] == f"_{i}" for i, f in enumerate(fields, 1)):
                 if len(node) != len(fields):
                     raise Mismatch(f"expected an array of {len(fields)} elements, found {len(node)}")
@@ -288,5 +290,42 @@ def coerced(node, spec: dict | str):
     raise Mismatch(f"type {name} can't be read from JSON")
 
 
+def _one_of(names: list[str]) -> str:
+    quoted = [f"`{n}`" for n in names]
+    if not quoted:
+        return "there are no variants"
+    return "expected " + (quoted[0] if len(quoted) == 1 else " or ".join(quoted) if len(quoted) == 2 else "one of " + ", ".join(quoted))
+
+
+def _variant(node, fields: list[dict]) -> dict:
+    """A tagged union: the variant's name, or an object whose first member is the name and the content."""
+    units = [u.strip() for u in fields[0]["metadata"]["comment"].partition(" ")[2].split(",") if u.strip()]
+    contents = {f["name"]: f["type"] for f in fields[1]["type"]["fields"]}
+    if kind(node) == "string":
+        name, content = str(node), MISSING
+    elif isinstance(node, Members):
+        if not node:
+            raise Mismatch("enum must have exactly one member")
+        name, content = node[0]
+    else:
+        raise _expected("an enum", node)
+    if name not in units and name not in contents:
+        raise Mismatch(f"unknown variant `{name}`, {_one_of([*units, *contents])}")
+    if name in units:
+        if content is not MISSING and content is not None:
+            raise _expected("`null` content for a unit variant", content)
+        return {"variant": name, "payload": None}
+    spec = contents[name]
+    struct = isinstance(spec, dict) and spec["type"] == "struct" and not spec["fields"][0].get("metadata", {}).get("comment", "").startswith("enum")
+    positional = struct and all(f["name"] == f"_{i}" for i, f in enumerate(spec["fields"], 1))
+    if content is MISSING:
+        raise Mismatch(f"invalid type: unit variant, expected {'tuple' if positional else 'struct' if struct else 'newtype'} variant")
+    if positional and kind(content) != "array":
+        raise _expected("a tuple variant content", content)
+    if struct and not positional and not isinstance(content, Members):
+        raise _expected("a struct variant content", content)
+    return {"variant": name, "payload": {**dict.fromkeys(contents), name: _nullable(content, spec, True)}}
+
+
 def _nullable(node, spec, null: bool):
     return None if node is None and null else coerced(node, spec)
