@@ -407,3 +407,129 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"], ORACLE_SQL["flagship"] = flagship, _BY_TYPE
+
+
+# -- damaged documents in small chunks, put together from the changes alone
+
+
+def _cut(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
+    """Rows (key, seq, chunk): the text in chunks of so many characters."""
+    places = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.floor((F.length("t") - 1) / size)).cast("bigint"))
+    cut = df.select(key, text.alias("t")).select(key, "t", F.explode(places).alias("seq"))
+    return cut.select(key, "seq", F.substring("t", (F.col("seq") * size + 1).cast("int"), F.lit(size)).alias("chunk"))
+
+
+def _rebuilt(chunks: DataFrame, key: str) -> DataFrame:
+    """The last output of each document, without any row holding it whole."""
+    changes = streaming.fold_batch(chunks, key, "seq", "chunk", whole=False).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "keep", "text"))).alias("d"))
+    output = F.aggregate("d", F.lit("").cast("binary"), lambda a, x: F.concat(F.substring(a, F.lit(1), x["keep"].cast("int")), F.encode(x["text"], "UTF-8")))
+    return changes.select(key, F.decode(output, "UTF-8").alias("output"))
+
+
+def _stream_case(name: str, damage: str, expected: str, size: int) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rebuilt(_cut(_table(spark, sf_dir, "events"), "event_id", F.expr(damage), size), "event_id")
+
+    QUERIES[name], ORACLE_SQL[name] = query, f"SELECT event_id, {expected} AS output FROM events"
+
+
+_LIST = """'{"id": ' || event_id || ', "user": {"n": ' || user_id || ', "kind": "' || event_type || '"}, "list": [1, ' || event_id || ', null]}'"""
+_stream_case("stream_damaged", """concat("{'id': ", event_id, ", 'user': {'n': ", user_id, ", 'kind': '", event_type, "',}, 'list': [1, ", event_id, ", None")""", _LIST, 5)
+_stream_case("stream_comments", r"""concat('{id: ', event_id, ', /* of whom */ user: {n: ', user_id, ', kind: "', event_type, '"} // so much\n, list: [1 ', event_id, ' undefined]}')""", _LIST, 3)
+_stream_case("stream_fenced", """concat('```json\n{"id": ', event_id, ', "user": {"n": ', user_id, ', "kind": "', event_type, '"}, "list": [1, ', event_id, ', null]}\n```')""", _LIST, 7)
+_stream_case("stream_escaped", r"""concat('{\"id\": ', event_id, ', \"user\": {\"n\": ', user_id, ', \"kind\": \"', event_type, '\"}, \"list\": [1, ', event_id, ', null]}')""", _LIST, 4)
+_stream_case("stream_lines", """concat('{"id": ', event_id, '}\n{"k": "', event_type, '"}\n[', user_id, ',')""", """'[{"id": ' || event_id || '}, {"k": "' || event_type || '"}, [' || user_id || ']]'""", 6)
+_stream_case("stream_long_string", """concat('{"t": "', repeat(concat(event_type, ' and more '), 20))""", """'{"t": "' || trim(repeat(event_type || ' and more ', 20)) || '"}'""", 8)
+
+
+def stream_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document that looks escaped once too often after its second chunk, and no longer after its third."""
+    chunks = F.expr(r"""array(named_struct('seq', 0L, 'chunk', concat('[\\n', event_id, ', ')), named_struct('seq', 1L, 'chunk', '\\"a\\", '), named_struct('seq', 2L, 'chunk', '"b"]'))""")
+    rows = _table(spark, sf_dir, "events").select("event_id", F.explode(chunks).alias("c")).select("event_id", "c.seq", "c.chunk")
+    return streaming.fold_batch(rows, "event_id", "seq", "chunk").select("event_id", "seq", "accepted", "output")
+
+
+QUERIES["stream_verdict"] = stream_verdict
+ORACLE_SQL["stream_verdict"] = r"""
+SELECT event_id, CAST(seq AS BIGINT) AS seq, true AS accepted,
+       CASE seq WHEN 0 THEN '["\\n' || event_id || '"]' WHEN 1 THEN '[' || event_id || ', "a"]' ELSE '["\\n' || event_id || '", "a\"", "b"]' END AS output
+FROM events, (SELECT unnest([0, 1, 2]) AS seq)
+"""
+
+# -- tagged unions and the targets without a query so far
+_SHAPE = fn.enum_of({"Nothing": None, "Count": "bigint", "Pair": "struct<_1:bigint,_2:string>", "Named": "struct<name:string>"})
+_ENUM = "CASE event_id % 5 WHEN 0 THEN 'Nothing' WHEN 1 THEN concat('{Count: ', event_id) WHEN 2 THEN concat('{Pair: [', event_id, ', ', event_type, ']}') WHEN 3 THEN concat('{Named: {name: ', event_type, ', more: 1}, Count: x}') ELSE '{Nothing: null}' END"
+_case("enum_variant", "events", _ENUM, lambda c: fn.deserialize(c, _SHAPE)["value"]["variant"], "(['Nothing', 'Count', 'Pair', 'Named', 'Nothing'])[event_id % 5 + 1]")
+_case("enum_newtype", "events", _ENUM, lambda c: fn.deserialize(c, _SHAPE)["value"]["payload"]["Count"], "CASE WHEN event_id % 5 = 1 THEN event_id END")
+_case("enum_tuple", "events", _ENUM, lambda c: fn.deserialize(c, _SHAPE)["value"]["payload"]["Pair"]["_2"], "CASE WHEN event_id % 5 = 2 THEN event_type END")
+_case("enum_struct", "events", _ENUM, lambda c: fn.deserialize(c, _SHAPE)["value"]["payload"]["Named"]["name"], "CASE WHEN event_id % 5 = 3 THEN event_type END")
+_case("enum_error", "events", "CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat('{Nothing: ', event_id, '}') ELSE concat('[', event_id) END", lambda c: fn.deserialize(c, _SHAPE)["error"], "CASE event_id % 3 WHEN 0 THEN 'unknown variant `' || event_type || '`, expected one of `Nothing`, `Count`, `Pair`, `Named`' WHEN 1 THEN 'expected `null` content for a unit variant, found a number' ELSE 'expected an enum, found an array' END")
+_case("enum_nested", "events", "concat('{all: [', event_id, ', {Count: ', event_id, '}]}')", lambda c: fn.deserialize(F.replace(c, F.lit("["), F.lit("[Nothing, {Count: 1}, {Count: ")), "struct<all:array<struct<variant:string COMMENT 'enum Nothing',payload:struct<Count:bigint>>>>")["value"]["all"][2]["payload"]["Count"], "event_id")
+_case("deserialize_unit", "events", "CASE WHEN event_id % 2 = 0 THEN '[None' ELSE concat('[', event_id) END", lambda c: fn.deserialize(c, "struct<_1:void>")["error"], "CASE WHEN event_id % 2 = 1 THEN 'expected null, found a number' END")
+_case("deserialize_bytes", "events", "concat('[', event_id % 256, ', 255, 0]')", lambda c: F.hex(fn.deserialize(c, "binary")["value"]), "printf('%02X', event_id % 256) || 'FF00'")
+_case("value_at_key", "events", "replace(props, '}', '')", lambda c: fn.json_at(fn.repair(c), "k"), "json_extract_string(props, '$.k')")
+_case("value_at_index", "events", "concat('[', event_id, ', ', event_type)", lambda c: F.concat(fn.json_at(fn.repair(c), 1), fn.json_at(fn.repair(c), 7)), """'"' || event_type || '"null'""")
+_case("value_equality", "events", "replace(props, '\"', '')", lambda c: fn.repair(c) == fn.repair(F.concat(c, F.lit(" // the same"))), "true")
+
+# -- typed columns as text, without loss
+_ENCODED = "struct<id:bigint,kind:string,value:double,seen:array<bigint>,by:map<string,array<double>>>"
+
+
+def encode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed value as text and back again, over the whole table."""
+    typed = F.expr("named_struct('id', event_id, 'kind', event_type, 'value', value, 'seen', array(user_id, null), 'by', map(event_type, array(value / 3, null)))")
+    text = _table(spark, sf_dir, "events").select("event_id", typed.alias("v")).withColumn("text", fn.json_encode("v", _ENCODED))
+    back = text.withColumn("back", fn.deserialize("text", _ENCODED))
+    return back.select("event_id", (F.col("back.value").cast("string") == F.col("v").cast("string")).alias("same"), F.col("back.error").alias("error"), fn.is_valid_json("text").alias("valid"))
+
+
+QUERIES["encode_round_trip"] = encode_round_trip
+ORACLE_SQL["encode_round_trip"] = "SELECT event_id, true AS same, CAST(NULL AS VARCHAR) AS error, true AS valid FROM events"
+
+
+def encode_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table as objects, spelled by Catalyst alone."""
+    kind = "struct<key:bigint,customer:bigint,priority:string,day:date,parts:array<string>>"
+    row = F.expr("named_struct('key', o_orderkey, 'customer', o_custkey, 'priority', o_orderpriority, 'day', cast(o_orderdate AS date), 'parts', split(o_orderpriority, '-'))")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", fn.json_encode(row, kind).alias("text"))
+
+
+QUERIES["encode_orders"] = encode_orders
+ORACLE_SQL["encode_orders"] = """
+SELECT o_orderkey, '{"key": ' || o_orderkey || ', "customer": ' || o_custkey || ', "priority": "' || o_orderpriority || '", "day": "' || CAST(o_orderdate AS DATE)
+       || '", "parts": [' || array_to_string(list_transform(string_split(o_orderpriority, '-'), lambda x: '"' || x || '"'), ', ') || ']}' AS text FROM orders
+"""
+
+
+def encode_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats by their shortest text; one that isn't finite is an error."""
+    value = F.expr("array(value, CASE WHEN event_id % 7 = 0 THEN double('NaN') ELSE 0.5D END)")
+    r = _table(spark, sf_dir, "events").select("event_id", fn.json_encode_result(value, "array<double>").alias("r"))
+    return r.select("event_id", "r.value", F.col("r.error.message").alias("error"))
+
+
+QUERIES["encode_floats"] = encode_floats
+ORACLE_SQL["encode_floats"] = "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN '[' || CAST(value AS VARCHAR) || ', 0.5]' END AS value, CASE WHEN event_id % 7 = 0 THEN 'number `NaN` is not a finite float and cannot be represented' END AS error FROM events"
+_case("serialize_value", "events", "concat('{\"z\": [1.50, ', event_id, '.0, ', event_id, ', 1e2], \"a\": ', event_id, 'e1}')", fn.serialize, """'{"z": [1.5, ' || event_id || '.0, ' || event_id || ', 100.0], "a": ' || (event_id * 10) || '.0}'""")
+_case("serialize_error", "events", "concat('[', event_id, ', 1e', 300 + event_id % 20, ']')", lambda c: fn.serialize_result(c)["error"]["message"], "CASE WHEN 300 + event_id % 20 > 308 THEN 'number `1e' || (300 + event_id % 20) || '` is not a finite float and cannot be represented' END")
+
+
+# -- typed reads by SQL name
+def sql_deserialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fn.register_all(spark)
+    _table(spark, sf_dir, "events").createOrReplaceTempView("quillmend_events")
+    return spark.sql("SELECT event_id, d.value.k AS k, d.value.kind AS kind, d.error FROM quillmend_events, LATERAL json_deserialize(concat('{k: ', CASE WHEN event_id % 4 = 0 THEN 'x' ELSE CAST(user_id AS STRING) END, ', kind: ', event_type), 'struct<k:bigint, kind:string>') AS d")
+
+
+QUERIES["sql_deserialize"] = sql_deserialize
+ORACLE_SQL["sql_deserialize"] = "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS k, CASE WHEN event_id % 4 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 4 = 0 THEN 'expected a number, found a string' END AS error FROM events"
+
+
+def sql_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fn.register_all(spark)
+    _table(spark, sf_dir, "events").createOrReplaceTempView("quillmend_events")
+    return spark.sql("SELECT event_id, json_object('id', json_of_bigint(event_id), 'kind', json_of_string(event_type), 'all', json_array(json_at(props, 'k'), NULL)) AS text, json_kind(props) AS kind, variant_get(json_loads(replace(props, '}', '')), '$.k', 'bigint') AS k FROM quillmend_events")
+
+
+QUERIES["sql_builders"] = sql_builders
+ORACLE_SQL["sql_builders"] = """SELECT event_id, '{"id": ' || event_id || ', "kind": "' || event_type || '", "all": [' || json_extract_string(props, '$.k') || ', null]}' AS text, 'object' AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"""
