@@ -4,11 +4,13 @@ import json
 import random
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillmend.errors import JsonTextError
-from quillmend.kernel.document import render
+from quillmend.kernel import fold as fold_module
+from quillmend.kernel.document import Escapes, escaped_twice, render
 from quillmend.kernel.fold import Fold
 from quillmend.options import Allow, Options, Repairs
 
@@ -67,19 +69,120 @@ def test_escaped_once_too_often(value, cuts):
     _same("[1, 2, " + json.dumps(text)[1:-1] + "]", cuts, Options())
 
 
-def _seconds(members: int) -> float:
-    text = json.dumps({f"key{i}": {"n": i, "list": [i, "some text"], "ok": True} for i in range(members)})
-    fold, start = Fold(), time.process_time()
+#: Pieces of documents, sound and damaged.
+_PIECES = ["{", "}", "[", "]", ",", ":", '"', "'", "“", "”", "`", "\\", '\\"', "\\\\", "\\u00e9", "\\ud83d\\ude00", "\\u12", "\\x4", "//", "/*", "*/", "/", "\n", " ", "a", "key", "abc def", "true", "True", "tru", "nul", "None", "1", "-1", "0", "01", "1.", "1e5", "1e", ".5", "-", "+", "...", "(", ")", ";", "call(", "&quot;", "&#39;", "&qu", "```", "```json\n", "é", "😀", "http://x.y/z", "/re/", '{"a":1}', "[1,2]", '"k": "v"', "'k': 'v'", ", ", '"a", ', "\u00a0", "plain words ", "more of it"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=20), _CUTS, st.sampled_from(["", '{"a": 1, ', "Sure, here: "]), st.booleans(), _OPTIONS)
+def test_pieces_of_documents(pieces, cuts, head, twice, options):
+    text = head + "".join(pieces)
+    _same(text.replace('"', '\\"') if twice else text, cuts, options)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=16), st.integers(1, 4), st.integers(0, 10**6))
+def test_going_on_from_a_checkpoint(pieces, step, seed):
+    """A fold that is made again from its checkpoint and the rest alone is the fold."""
+    text, draw = '{"a": [1, ' + "".join(pieces), random.Random(seed)
+    fold, other = Fold(), Fold()
+    for i in range(0, len(text), step):
+        if draw.random() < 0.4 and not fold.is_empty():
+            rest, whole = fold.rest, fold.input
+            wrapped, done = fold.checkpoint.wrapped, fold.checkpoint.done
+            settled = fold.output.encode()[wrapped : wrapped + done].decode()
+            fold = Fold.at(Options(), fold.checkpoint, rest, lambda t=whole[: len(whole) - len(rest)], d=settled: (t, d))
+        assert fold.push(text[i : i + step]) == other.push(text[i : i + step])
+    assert fold.input == other.input and len(fold) == len(other)
+
+
+def _document(members: int) -> str:
+    return json.dumps({f"key{i}": {"n": i, "list": [i, "some text"], "ok": True} for i in range(members)})
+
+
+_DAMAGES = {
+    "sound": lambda t: t,
+    "single quotes": lambda t: t.replace('"', "'"),
+    "unquoted keys": lambda t: t.replace('"key', "key").replace('": {', ": {"),
+    "comments": lambda t: t.replace("}, ", "}, /* a comment */ "),
+    "prose": lambda t: "Sure, here is all that you have asked for, as it was there\n" + t,
+    "fence": lambda t: "```json\n" + t,
+    "trailing commas": lambda t: t.replace("}, ", ",}, "),
+    "python": lambda t: t.replace("true", "True").replace('"', "'"),
+    "escaped": lambda t: json.dumps(t)[1:-1],
+    "lines": lambda t: "\n".join(json.dumps({"n": i, "s": "text"}) for i in range(len(t) // 24)),
+    "one string": lambda t: '{"t": "' + "plain words and more of them " * (len(t) // 29),
+    "undamaged tail": lambda t: "{'a': 1, b: 2, " + t[1:],
+}
+
+
+def _work(text: str, monkeypatch) -> int:
+    """Characters that are read again or anew while the text comes in chunks of eight."""
+    read = []
+    plain = fold_module.Renderer
+
+    class Counted(plain):
+        def __init__(self, text, *rest):
+            read.append(len(text))
+            super().__init__(text, *rest)
+
+    monkeypatch.setattr(fold_module, "Renderer", Counted)
+    fold, shown = Fold(), b""
     for i in range(0, len(text), 8):
-        got = fold.push(text[i : i + 8])
-    assert got["output"] == render(text)
-    return time.process_time() - start
+        got = fold.push(text[i : i + 8], whole=False)
+        assert got["output"] is None
+        shown = shown[: got["keep"]] + got["text"].encode()
+    monkeypatch.setattr(fold_module, "Renderer", plain)
+    assert shown.decode() == fold.output and fold.output == render(fold.input)
+    return sum(read)
+
+
+@pytest.mark.parametrize("damage", _DAMAGES)
+def test_work_is_linear(damage, monkeypatch):
+    """51 KB in chunks of eight characters: four times the text is four times the work, whatever its damage."""
+    small, large = (_DAMAGES[damage](_document(n)) for n in (208, 832))
+    a, b = _work(small, monkeypatch), _work(large, monkeypatch)
+    assert len(large) > 40_000 and b < 1.3 * a * len(large) / len(small) and b < 40 * len(large)
 
 
 def test_time_is_linear():
-    _seconds(50)
-    small, large = _seconds(200), _seconds(1600)
-    assert large < 8 * 3 * small + 0.2
+    def seconds(text: str) -> float:
+        fold, start = Fold(), time.process_time()
+        for i in range(0, len(text), 8):
+            fold.push(text[i : i + 8], whole=False)
+        return time.process_time() - start
+
+    text = _DAMAGES["single quotes"](_document(100))
+    seconds(text)
+    assert seconds(_DAMAGES["single quotes"](_document(1600))) < 16 * 3 * seconds(text) + 0.5
+
+
+def test_verdict_of_escapes_chunk_by_chunk():
+    draw = random.Random(3)
+    for _ in range(400):
+        text = "".join(draw.choices(["\\", '"', "a", '\\"', "\\\\"], k=draw.randrange(14)))
+        state, seen = Escapes(), ""
+        for i in range(0, len(text), step := draw.randrange(1, 4)):
+            before = state
+            state.then("\\\"x")  # a chunk that is rejected leaves nothing
+            assert state == before
+            state, seen = state.then(text[i : i + step]), seen + text[i : i + step]
+            assert state.twice == escaped_twice(seen), seen
+    start = time.process_time()
+    state = Escapes()
+    for _ in range(100_000):
+        state = state.then('\\"abc')
+    assert time.process_time() - start < 5 and state.twice
+
+
+def test_verdict_flips():
+    """On with the second chunk, off with the third; a rejected chunk in between changes nothing."""
+    fold = Fold()
+    outputs = [fold.push(c)["output"] for c in ("[\\n1, ", '\\"a\\", ', '"b"]')]
+    assert outputs == [render("[\\n1, "), render('[\\n1, \\"a\\", '), render('[\\n1, \\"a\\", "b"]')] and outputs[1] == '[1, "a"]'
+    fold = Fold()
+    fold.push('[\\"a\\"')
+    assert not fold.push('] "x" y')["accepted"] and fold.push(", 2")["output"] == render('[\\"a\\", 2')
 
 
 def test_a_fold_goes_on_from_what_was_kept():
