@@ -36,6 +36,27 @@ _MEMBER = f"{_TEXT}: {_SCALAR}"
 CANONICAL = rf"^(?:\{{(?:{_MEMBER}(?:, {_MEMBER})*+)?\}}|\[(?:{_SCALAR}(?:, {_SCALAR})*+)?\])\z"
 
 
+#: Nested canonical text: its strings are blanked out, then its scalars, and then the innermost containers so many times.
+NESTED_LEVELS = 6
+_STRING_TEXT = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\bfnrt]|u00(?:0[0-7bef]|1[0-9a-f]))[^"\\\x00-\x1f]*+)*+"'
+_SCALAR_TEXT = r"(?<![^\[\x20])(?:true|false|null|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)(?![^,\]}])"
+_INNERMOST = "\\{(?:\x01: [\x01\x02](?:, \x01: [\x01\x02])*+)?\\}|\\[(?:[\x01\x02](?:, [\x01\x02])*+)?\\]"
+
+
+def _is_canonical(c: Column) -> Column:
+    """Whether a text is its own repair, as far as Catalyst can tell: flat, or of some levels. False means that the kernel decides.
+
+    What can't be canonical is told by its first and last characters or once its strings are gone, so damaged texts cost a pass or two.
+    """
+    blank = F.regexp_replace(c, F.lit(_STRING_TEXT), F.lit("\x01"))
+    left = F.regexp_replace(blank, F.lit(_SCALAR_TEXT), F.lit("\x02"))
+    for _ in range(NESTED_LEVELS):
+        left = F.regexp_replace(left, F.lit(_INNERMOST), F.lit("\x02"))
+    framed = c.rlike(r"^[{\[](?s:.*)[}\]]\z") & ~c.rlike(r"[\x00-\x1f]")
+    nested = F.when(~framed, False).when(~blank.rlike(r"^[\x01\[\]{}:, 0-9aeflnrstuE.+-]*\z"), False).otherwise(left == "\x02")
+    return F.when(c.rlike(CANONICAL), True).otherwise(nested)
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -101,24 +122,26 @@ def _verb(name: str, flavour: str, allow: int, repairs: int):
     function, kind = {"repair": (whole, "string"), "repair_bytes": (from_bytes, "binary"), "repair_extract": (found, "string")}[name]
     if flavour == "result":
         return _tabled(_reported(function), ("value", "error"), f"struct<value:{kind},error:{ERROR_TYPE}>")
+    if flavour == "empty":
+        quiet = _attempt(function)
+        return _mapped(lambda text: quiet(text) or "", kind)
     return _mapped(_attempt(function) if flavour == "try" else function, kind)
 
 
-def _fast(c: Column, udf, repairs: int) -> Column:
-    """Canonical rows as they are, the others through the kernel."""
-    clean = c.rlike(CANONICAL)
-    return F.coalesce(F.when(clean, c), udf(F.when(~clean, c)))
+def _fast(c: Column, udf) -> Column:
+    """Canonical rows as they are, the others through the kernel; ``udf`` gives a text for every text, an empty one where it fails."""
+    return F.coalesce(udf(F.when(~_is_canonical(c), c)), c)
 
 
 def repair(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
     """Canonical valid JSON of a damaged document; an error ends the query."""
     c = _col(c)
-    return _fast(c, _verb("repair", "raise", int(allow), int(repairs)), repairs)
+    return _fast(c, _verb("repair", "raise", int(allow), int(repairs)))
 
 
 def try_repair(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:
     c = _col(c)
-    return _fast(c, _verb("repair", "try", int(allow), int(repairs)), repairs)
+    return F.nullif(_fast(c, _verb("repair", "empty", int(allow), int(repairs))), F.lit(""))
 
 
 def repair_result(c: Column | str, allow: int = _ALL, repairs: int = _PASSES) -> Column:

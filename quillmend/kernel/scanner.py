@@ -16,6 +16,10 @@ WORDS = {"true": ("b", "true"), "false": ("b", "false"), "null": ("z", "null")}
 FOREIGN_WORDS = {"True": ("b", "true"), "False": ("b", "false"), "None": ("z", "null"), "undefined": ("u", "null")}
 
 
+#: What neither is nor begins blanks, a comment or a fence.
+_NO_TRIVIA = frozenset("\"'}],:;+()-.0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")
+
+
 class Fault(Exception):
     """An error at a place (code points)."""
 
@@ -44,6 +48,8 @@ class Scanner:
     def _trivia(self, at: int) -> tuple[int, bool]:
         """Where the next token starts, and whether a line ends before it."""
         text, newline = self.text, False
+        if at < self.end and text[at] in _NO_TRIVIA:
+            return at, False
         while True:
             start = at
             at = self.blanks.match(text, at).end()

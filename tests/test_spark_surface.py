@@ -1,5 +1,8 @@
 """SQL names, files, streaming and plans."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,33 @@ def test_sql_names_of_edits(spark):
     row = spark.sql("""SELECT json_set('{"a": [1]}', '/a/0', '2.0') s, json_push('[1]', '', 'null') p, json_put('{}', '', 'k', '1') o, json_take('[1, 2]', '/1').rest t,
         json_quote('a"b') q, json_kind('[1]') k, is_valid_json('{a:1}') v, try_json_loads_text('{b: 1, a: 2}') l, parse_partial('[1, 2', 511, 0) IS NULL z""".replace(", parse_partial('[1, 2', 511, 0) IS NULL z", "")).first()
     assert tuple(row) == ('{"a": [2.0]}', "[1, null]", '{"k": 1}', "[1, null]", '"a\\"b"', "array", False, '{"a": 2, "b": 1}')
+
+
+def test_nested_canonical_rows_never_reach_the_kernel(spark):
+    """What Catalyst takes for canonical is its own repair, damaged neighbours included; nested clean documents are taken."""
+    from quillmend.functions import columns
+    from quillmend.kernel.document import render
+
+    draw = random.Random(17)
+
+    def value(depth):
+        kind = draw.randrange(8 if depth else 5)
+        if kind >= 5:
+            items = [value(depth - 1) for _ in range(draw.randrange(4))]
+            return items if kind == 5 else {draw.choice(["a", "b c", "é", 'q"', "\n", "\x01", "//", "“", "{", "1"]): v for v in items}
+        return [None, True, draw.randrange(-(10**20), 10**20), draw.choice([0.5, -1e300, 2.0]), draw.choice(["", "text, more: [x]", "é😀“”", '"', "\\", "/*", "a\tb\x7f", "```", "'", "\x1f"])][kind]
+
+    texts = [render(json.dumps(value(draw.randrange(6)), ensure_ascii=False)) for _ in range(1500)]
+    damaged = []
+    for t in texts:
+        at = draw.randrange(len(t))
+        damaged.append(t[:at] + draw.choice(["", ",", '"', "'", "}", "]", "\\", " ", "  ", ":", "//", "\x01", "\x02", "01", "1.", "\n", "x", "{", "“", "```"]) + t[at + draw.randrange(3) :])
+    rows = [(t,) for t in texts + damaged + ['{"a": 1}', '{"a":1}', '[01]', '["\\u00e9"]', '["\\/"]', '["\\u000a"]', '["\\u001f"]', "[1, 2, ]", "[\x01]", "[\x02]", '{"a": 1, "a": 2}', "[1.]", "[-]", "[+1]", "[1e5, 1E+3, -0, 0e-2]", "[[[[[[1]]]]]]", "[truefalse]", "[null true]"]]
+    got = spark.createDataFrame(rows, "t string").select("t", columns._is_canonical(F.col("t")).alias("clean"), fn.try_repair("t").alias("fast"), fn.repair_result("t")["value"].alias("slow")).collect()
+    assert all(r.fast == r.slow and (not r.clean or r.slow == r.t) for r in got)
+    plain = [r for r in got[: len(texts)] if r.t[0] in "{["]
+    assert sum(r.clean for r in plain) > 0.99 * len(plain) and len(plain) > 300
+    deep = "[" * 7 + "]" * 7
+    assert not spark.createDataFrame([(deep,)], "t string").select(columns._is_canonical(F.col("t"))).first()[0] and spark.createDataFrame([(deep,)], "t string").select(fn.repair("t")).first()[0] == deep
+    long = "[" + ", ".join(f'{{"k{i}": [{i}, "some text"]}}' for i in range(50_000)) + "]"
+    assert spark.createDataFrame([(long,)], "t string").select(columns._is_canonical(F.col("t"))).first()[0]
