@@ -12,9 +12,10 @@ import re
 from .classes import LONE, quoted
 
 _STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"', re.DOTALL)
-_NESTING = re.compile(r"[\[\]{}]")
 _MARKS = re.compile(r"[\[\]{},]")
-_NO_BLANKS = dict.fromkeys(map(ord, " \n\r\t"))
+#: Curly brackets as square ones, and all that is no bracket.
+_SQUARE = bytes.maketrans(b"{}", b"[]")
+_NO_BRACKETS = bytes(x for x in range(256) if x not in b"[]{}")
 
 
 def _constant(name: str):
@@ -39,21 +40,27 @@ def _split(piece: str) -> list[str]:
     return parts
 
 
+def _depth(rest: bytes) -> int:
+    """How deep brackets nest: as often as innermost pairs can be taken away."""
+    left, depth = rest.translate(_SQUARE, _NO_BRACKETS), 0
+    while left:
+        shorter = left.replace(b"[]", b"")
+        if len(shorter) == len(left):  # what is left is cut off
+            return depth + max(left.count(b"["), left.count(b"]"))
+        left, depth = shorter, depth + 1
+    return depth
+
+
 def canonical(parts: list[str]) -> tuple[str, int]:
     """A split piece of strict JSON in canonical spelling, and how deep it nests."""
-    rest, strings = "\0".join(parts[::2]).translate(_NO_BLANKS), parts[1::2]
-    depth = most = 0
-    for ch in _NESTING.findall(rest):
-        if ch in "[{":
-            depth += 1
-            if depth > most:
-                most = depth
-        else:
-            depth -= 1
+    rest = "\0".join(parts[::2]).encode("ascii").translate(None, b" \n\r\t")  # there is nothing else between strings
     out = parts[:]
-    out[::2] = rest.replace(",", ", ").replace(":", ": ").split("\0")
-    out[1::2] = [respelled(f'"{s}"')[1:-1] if "\\" in s else s for s in strings]
-    return '"'.join(out), most
+    out[::2] = rest.replace(b",", b", ").replace(b":", b": ").decode("ascii").split("\0")
+    text = '"'.join(out)
+    if "\\" in text:
+        out[1::2] = [respelled(f'"{s}"')[1:-1] if "\\" in s else s for s in parts[1::2]]
+        text = '"'.join(out)
+    return text, _depth(rest)
 
 
 def _last_comma(rest: str) -> int:
