@@ -31,6 +31,8 @@ SHALLOW = 24
 _LEAF = 1 << 11
 #: Chunks are small so that their arrays stay in the processor's cache.
 _CHUNK_BYTES, _SORT_BYTES = 64 << 10, 4 << 20
+#: Longer texts are filed in pieces of so many bytes, as the arrays for a piece are some eighty times as large.
+PIECE_BYTES = 1 << 20
 #: So many hashes are broadcast at most (8 bytes each); beyond, segments are found by a shuffle and cut from their texts again.
 BROADCAST_HASHES = 2_500_000
 #: So many bytes of spans are broadcast at most.
@@ -101,22 +103,27 @@ class Filed:
         return again[np.maximum(high, low)] > again[low] if len(self.places) else np.zeros(len(self.starts), bool)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, bytes, np.ndarray]]:
-    """(ids, bytes, ends) of documents of (id, text), some dozens of KB together; texts under ``LENGTH`` bytes are left out."""
-    ids, parts, size = [], [], 0
+def _pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a text's pieces, so that every window lies in exactly one: they overlap by ``LENGTH`` - 1 bytes."""
+    for i in range(0, len(data) - LENGTH + 1, PIECE_BYTES):
+        yield i, data[i : i + PIECE_BYTES + LENGTH - 1]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, bytes, np.ndarray]]:
+    """(ids, offsets, bytes, ends) of pieces of documents of (id, text), some dozens of KB together; texts under ``LENGTH`` bytes are left out."""
+    ids, offsets, parts, size = [], [], [], 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = (text.as_py() or "").encode()
-            if len(data) < LENGTH:
-                continue
-            ids.append(key)
-            parts.append(data)
-            size += len(data)
-            if size >= _CHUNK_BYTES:
-                yield ids, b"".join(parts), np.cumsum([len(p) for p in parts])
-                ids, parts, size = [], [], 0
+            for offset, data in _pieces((text.as_py() or "").encode()):
+                ids.append(key)
+                offsets.append(offset)
+                parts.append(data)
+                size += len(data)
+                if size >= _CHUNK_BYTES:
+                    yield ids, offsets, b"".join(parts), np.cumsum([len(p) for p in parts])
+                    ids, offsets, parts, size = [], [], [], 0
     if parts:
-        yield ids, b"".join(parts), np.cumsum([len(p) for p in parts])
+        yield ids, offsets, b"".join(parts), np.cumsum([len(p) for p in parts])
 
 
 def _grouped(items: Iterator, n: int) -> Iterator[list]:
@@ -127,19 +134,19 @@ def _grouped(items: Iterator, n: int) -> Iterator[list]:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for many in _grouped(_chunks(batches), 32):
-            values, counts = np.unique(np.concatenate([Filed(data, ends).hashes for _, data, ends in many]), return_counts=True)
+            values, counts = np.unique(np.concatenate([Filed(data, ends).hashes for _, _, data, ends in many]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "n"])
 
 
 def _segments(with_bytes: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for ids, data, ends in _chunks(batches):
+            for ids, offsets, data, ends in _chunks(batches):
                 filed = Filed(data, ends)
                 at = np.searchsorted(ends, filed.starts, side="right")
                 first = np.concatenate([[0], ends[:-1]])[at]
                 stops = filed.stops + LENGTH - 1
-                columns = [pa.array(filed.keys.view(np.int64)), pa.array(np.array(ids, np.int64)[at]), pa.array(filed.starts - first), pa.array(stops - filed.starts), pa.array(filed.doubled())]
+                columns = [pa.array(filed.keys.view(np.int64)), pa.array(np.array(ids, np.int64)[at]), pa.array(filed.starts - first + np.array(offsets, np.int64)[at]), pa.array(stops - filed.starts), pa.array(filed.doubled())]
                 if with_bytes:
                     columns.append(pa.array([data[a:b] for a, b in zip(filed.starts.tolist(), stops.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "id", "at", "len", "twice", "segment"][: len(columns)])

@@ -4,14 +4,17 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
-from conftest import DATA
+from conftest import DATA, ROOT
 from pyspark.sql import functions as F
 
 from quillmend.llm import common, decontam, fingerprints, langid, linechunks, mixing, neardup, secrets, sharding, splitters, suffixdedup, toxicity
@@ -464,6 +467,44 @@ def test_equal_windows_sorts_many():
     assert all(first.setdefault(data[i : i + suffixdedup.LENGTH], c) == c for i, c in zip(starts.tolist(), classes.tolist(), strict=True)) and len(set(first.values())) == len(first)
 
 
+def _windows_filed(texts):
+    """Of every window (text, place) the hash that files it."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    filed, bodies = {}, [t.encode() for t in texts]
+    for out in suffixdedup._segments(True)(iter([batch])):
+        for r in out.to_pylist():
+            assert bodies[r["id"]][r["at"] : r["at"] + r["len"]] == r["segment"]
+            for w in range(r["at"], r["at"] + r["len"] - suffixdedup.LENGTH + 1):
+                assert (r["id"], w) not in filed
+                filed[r["id"], w] = r["h"]
+    hashes = {h for out in suffixdedup._hashes(iter([batch])) for h in out.column(0).to_pylist()}
+    assert set(filed.values()) <= hashes
+    return filed
+
+
+def test_long_texts_are_filed_in_pieces(monkeypatch):
+    """Every window once and under the same hash, whatever the pieces; memory is that of a piece, not of the text."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdé ", k=rng.randrange(900))) for _ in range(30)] + ["x" * 700, "y" * 99, "z" * 100]
+    whole = _windows_filed(texts)
+    for size in (1, 37, 100, 250):
+        monkeypatch.setattr(suffixdedup, "PIECE_BYTES", size)
+        assert _windows_filed(texts) == whole
+    code = """if True:
+        import resource, sys
+        import numpy as np, pyarrow as pa
+        from quillmend.llm import suffixdedup as s
+        text = np.random.default_rng(1).integers(97, 123, 60_000_000, np.uint8).tobytes().decode()
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        for out in s._hashes(iter([batch])):
+            pass
+        print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+    """
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout)
+    assert grown < 600  # MB, the text's bytes among them
+
+
 def test_suffix_dedup_odd_rows(odd, empty):
     got = suffixdedup.remove(odd, "doc_id", "text").collect()
     assert len(got) == len(odd_rows()) and set(odd.columns) <= set(got[0].asDict())
