@@ -10,10 +10,12 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 import regex
+import zstandard
 from conftest import DATA, ROOT
 from pyspark.sql import functions as F
 
@@ -191,7 +193,6 @@ def test_proximity(spark):
 
 
 def test_postings_round_trip():
-    import numpy as np
 
     values = np.array([0, 1, 127, 128, 16_383, 16_384, 2**40], np.int64)
     data, length = decontam.encode_deltas(values)
@@ -413,6 +414,64 @@ def test_toxicity_learns_words(spark):
     assert (got.score[got.y == 1] >= toxicity.THRESHOLD).mean() >= 0.9 and (got.score[got.y == 0] >= toxicity.THRESHOLD).mean() <= 0.05
 
 
+def _plain_toxicity(rows, texts):
+    """The rule of op6 over plain dictionaries and a plain fit: rows (text, label, part) that teach, and the texts to score."""
+    words = lambda text: [w.strip(toxicity._TRIM) for w in (text or "").lower().encode().split()]
+    contexts = {(y, a, w, b) for text, y, part in rows if part for ws in [words(text)] for a, w, b in zip([b"", *ws], ws, [*ws[1:], b""], strict=False) if len(w) > 1}
+    toxic, plain = (Counter(w for y, _, w, _ in contexts if y == label) for label in (1, 0))
+    nt, no = max(1, sum(toxic.values())), max(1, sum(plain.values()))
+    known = {w for w in {*toxic, *plain} if toxic[w] + plain[w] >= toxicity.LEAST_CONTEXTS}
+
+    def z(w):
+        p = (toxic[w] + plain[w]) / (nt + no)
+        return (toxic[w] / nt - plain[w] / no) / math.sqrt(p * (1 / nt + 1 / no))
+
+    ranked = sorted((w for w in known if len(w) >= 3), key=lambda w: (-z(w), w))
+    apart = [w for w in ranked if z(w) > toxicity.LEAST_Z and toxic[w] * no >= toxicity.LEAST_RATIO * max(1, plain[w]) * nt][: toxicity.CONTRAST_WORDS]
+    other = list(reversed(ranked))[: len(apart)]
+    shared = [w for w in sorted(known, key=lambda w: (-toxic[w] - plain[w], w)) if w not in apart][: toxicity.SHARED_WORDS]
+    spelled = lambda ws: b" " + b" ".join(reversed(ws)) + b" "
+    width = max(len(spelled(apart)), len(spelled(other)))
+
+    def packer(ws):
+        content = zstandard.ZstdCompressionDict(spelled(ws).rjust(width) + spelled(shared), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY)
+        return zstandard.ZstdCompressor(dict_data=content, compression_params=how)
+
+    by_toxic, by_plain = packer(apart), packer(other)
+
+    def features(text):
+        ws = (text or "").lower().encode().split()
+        parts = [b" " + b" ".join(ws[i : i + 6]) + b" " for i in range(0, len(ws), 6)] or [b"  "]
+        gains = sorted((len(by_plain.compress(w)) - len(by_toxic.compress(w)) for w in parts), reverse=True)
+        return [gains[0], gains[min(1, len(gains) - 1)], gains[min(3, len(gains) - 1)], sum(gains) / len(gains), math.log(len(gains))]
+
+    held = [(features(text), y) for text, y, part in rows if not part]
+    x, y = np.array([f for f, _ in held]), np.array([v for _, v in held], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    x = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
+    w = np.zeros(6)
+    for _ in range(20_000):  # plain descent instead of Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= 0.5 / len(x) * (x.T @ (p - y) + w)
+    new = np.hstack([np.ones((len(texts), 1)), (np.array([features(t) for t in texts]) - mean) / scale])
+    return 1 / (1 + np.exp(-np.clip(new @ w, -30, 30))), apart
+
+
+def test_toxicity_matches_a_plain_refit(spark):
+    """The table is within the sample's size, so all labelled rows that aren't held out teach; what is told of the others holds."""
+    folder = DATA.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").filter("toxic is not null")
+    known = docs.join(labels, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(toxicity.SEED + 1)), F.lit(toxicity.CALIBRATE_ONE_IN))).select("doc_id", "text", "toxic", "part").collect()
+    teach = [(r.text, r.toxic, r.part) for r in known if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    got = toxicity.query(spark, folder).toPandas().merge(docs.select("doc_id", "text").toPandas())
+    want, apart = _plain_toxicity(teach, got.text)
+    assert len(apart) > 10 and np.abs(got.score - want).max() < 2e-3 and (np.abs(want - 0.7) < 2e-3).sum() + (got.predicted == (want >= 0.7)).sum() >= len(got)
+    told = got.merge(pd.DataFrame([(r.doc_id, r.toxic) for r in known], columns=["doc_id", "toxic"]))
+    held = told[told.held_out]
+    assert held.predicted[held.toxic == 1].mean() >= 0.8 and held.predicted[held.toxic == 0].mean() <= 0.05
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     model = toxicity.train(odd, "doc_id", "text", F.lit(None).cast("int"))
     assert {r.score for r in toxicity.score(odd, "text", model).collect()} == {0.0}
@@ -440,7 +499,6 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch):
 
 
 def test_quicksort_and_tries_order_suffixes(monkeypatch):
-    import numpy as np
 
     rng = random.Random(9)
     data = "".join(rng.choice(["ab", "abc", "b" * 30, "long passage " * 9, "x" * rng.randrange(1, 120), "é"]) for _ in range(2500)).encode()
@@ -459,7 +517,6 @@ def test_quicksort_and_tries_order_suffixes(monkeypatch):
 def test_equal_windows_sorts_many():
     rng = random.Random(8)
     data = "".join(rng.choice(["ab", "abc", "b" * 30]) for _ in range(3000)).encode()
-    import numpy as np
 
     starts = np.arange(len(data) - suffixdedup.LENGTH + 1)
     classes = suffixdedup.equal_windows(data, starts)
