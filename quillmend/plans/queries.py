@@ -22,9 +22,9 @@ _IDS = {"events": "event_id", "nation": "n_nationkey", "orders": "o_orderkey", "
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; where its files give fewer splits than half the task slots, its rows are dealt out evenly first."""
+    """A table; where it has fewer files than half the task slots, its rows are dealt out evenly first, as a small file is one split."""
     df, slots = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(slots) if 2 * df.rdd.getNumPartitions() <= slots else df
+    return df.repartition(slots) if 2 * len(df.inputFiles()) <= slots else df
 
 
 def _case(name: str, table: str, damage: str, verb: Callable[[Column], Column], expected: str) -> None:
@@ -533,3 +533,30 @@ def sql_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["sql_builders"] = sql_builders
 ORACLE_SQL["sql_builders"] = """SELECT event_id, '{"id": ' || event_id || ', "kind": "' || event_type || '", "all": [' || json_extract_string(props, '$.k') || ', null]}' AS text, 'object' AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"""
+
+
+# -- a document forgotten, chunks that fail, masks put together
+def stream_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before its third chunk every other document is forgotten; the last chunk of each fails and leaves no trace."""
+    chunks = F.expr("""array(named_struct('seq', 0L, 'chunk', concat("['", event_type), 'forget', false), named_struct('seq', 1L, 'chunk', "', ", 'forget', false),
+        named_struct('seq', 2L, 'chunk', concat('{n: ', event_id, '}'), 'forget', event_id % 2 = 0), named_struct('seq', 3L, 'chunk', '] "x" y: z', 'forget', false))""")
+    rows = _table(spark, sf_dir, "events").select("event_id", F.explode(chunks).alias("c")).select("event_id", "c.seq", "c.chunk", "c.forget")
+    return streaming.fold_batch(rows, "event_id", "seq", "chunk", reset="forget").select("event_id", "seq", "accepted", "output", "error_kind", "error_position")
+
+
+QUERIES["stream_reset"] = stream_reset
+ORACLE_SQL["stream_reset"] = """
+WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN '{"n": ' || event_id || '}' ELSE '["' || event_type || '", {"n": ' || event_id || '}]' END AS mended,
+                  CASE WHEN event_id % 2 = 0 THEN length('{n: ' || event_id || '}') ELSE length('["' || event_type || '", {n: ' || event_id || '}') END AS upto FROM events)
+SELECT event_id, CAST(seq AS BIGINT) AS seq, seq < 3 AS accepted, CASE WHEN seq < 2 THEN '["' || event_type || '"]' ELSE mended END AS output,
+       CASE WHEN seq = 3 THEN 'TrailingValue' END AS error_kind, CAST(CASE WHEN seq = 3 THEN upto + 2 END AS BIGINT) AS error_position
+FROM e, (SELECT unnest([0, 1, 2, 3]) AS seq)
+"""
+_WITHOUT_COMMENTS = Options.all().with_repairs(int(Repairs.ALL & ~Repairs.COMMENTS))
+_OBJECTS_ONLY = Options.partial(int(Allow.ALL & ~Allow.STR)).with_repairs(int(Repairs.ALL & ~Repairs.NDJSON))
+_case("options_with_repairs", "events", "concat('{id: ', event_id, CASE WHEN event_id % 2 = 0 THEN ' /* so */' ELSE '' END, '}')", lambda c: fn.try_repair(c, _WITHOUT_COMMENTS.allow, _WITHOUT_COMMENTS.repairs), """CASE WHEN event_id % 2 = 1 THEN '{"id": ' || event_id || '}' END""")
+_case("options_with_allow", "events", "concat('{id: ', event_id, ', kind: \"', event_type)", lambda c: fn.parse_partial(c, _OBJECTS_ONLY.allow, _OBJECTS_ONLY.repairs), """'{"id": ' || event_id || '}'""")
+_case("options_masks", "events", "concat('[', event_id, ', [', user_id, ', {a: ', event_type)", lambda c: fn.parse_partial(c, int((Allow.ARR | Allow.OBJ | Allow.NUM) & ~Allow.OBJ), int(Options.all().repairs)), "'[' || event_id || ', [' || user_id || ']]'")
+_case("repair_into_mixed", "events", "CASE WHEN event_id % 3 = 0 THEN '   ' ELSE concat('{a: ', event_id) END", lambda c: fn.repair_into(F.concat(F.col("event_type"), F.lit(": ")), c), """event_type || ': ' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '{"a": ' || event_id || '}' END""")
+_case("validate_position", "events", """concat('["', event_type, CASE event_id % 3 WHEN 0 THEN '",, 1]' WHEN 1 THEN '" 1]' ELSE '", x]' END)""", lambda c: fn.validate(c)["error"]["position"], "CAST(CASE WHEN event_id % 3 = 1 THEN 1 ELSE length(event_type) + 5 END AS BIGINT)")
+_case("validate_kind", "events", """concat('["', event_type, CASE event_id % 3 WHEN 0 THEN '",, 1]' WHEN 1 THEN '" 1]' ELSE '", x]' END)""", lambda c: fn.validate(c)["error"]["kind"], "CASE event_id % 3 WHEN 0 THEN 'TrailingComma' WHEN 1 THEN 'UnexpectedEnd' ELSE 'UnquotedValue' END")
