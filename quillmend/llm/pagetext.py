@@ -45,7 +45,7 @@ BOILERPLATE = frozenset("head nav aside footer form menu button select option di
 #: Words of classes and ids that say the same; the last line says so only outside of an article.
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer toolbar share sharing social related recommended recommendations comment comments disqus replies reply respond pagination pager widget copyright".split()
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer toolbar share sharing social related recommended recommendations comment comments disqus replies reply respond pagination pager copyright".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 
@@ -53,7 +53,8 @@ _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)")
 _RAW_END = {name: re.compile(f"</{name}(?![a-z])[^>]*+>?", re.IGNORECASE) for name in RAW}
 _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:\s|^)hidden(?=[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN, _UNSEEN = re.compile(r"(?:\s|^)hidden(?=[\s=/]|$)", re.IGNORECASE), re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ARTICLE, _MAIN = re.compile(r"<article\b", re.IGNORECASE), re.compile(r"<main\b|\brole\s*=\s*[\"']?main\b|articleBody", re.IGNORECASE)
 
@@ -78,7 +79,7 @@ class _Tag:
             elif what in ("class", "id"):
                 words += [w.lower() for w in _PART.findall(value)]
         listed = [w for w in words if w in BOILERPLATE_WORDS]
-        self.boiler = self.name in BOILERPLATE or bool(listed) or bool(rest and _HIDDEN.search(rest))
+        self.boiler = self.name in BOILERPLATE or bool(listed) or bool(rest and (_HIDDEN.search(_QUOTED.sub('""', rest)) or "=" in rest and _UNSEEN.search(rest)))
         self.header = self.name == "header" or not HEADER_WORDS.isdisjoint(words)
         self.key = self.name + "".join("." + w for w in (listed or words)[:1])
 

@@ -52,6 +52,7 @@ def test_words_are_positive_and_tags_negative():
         ("<main><header><h1>Head</h1></header><p>Body</p></main><header><p>Site name</p></header>", "Head\nBody"),
         ("<article class=comment><p>a reader says this</p></article><p>The real text stands outside of it.</p>", "The real text stands outside of it."),
         ("<p a='unclosed>one</p><p>two</p>", "one\ntwo"), ("<ARTICLE><P>Upper <STYLE>p{}</STYLE>case</P></ARTICLE>", "Upper case"),
+        ("<article><p>See <a title='hidden gems' href=x>this</a> <b class=\"display:none\">too</b>.</p></article>", "See this too."),
         ("<article><p>a</p><div hidden><p>unseen</p></div><div style='display: none'>nor this</div></article>", "a"),
     ],
 )
