@@ -22,6 +22,8 @@ DEEPEST = 256
 #: A level takes four calls.
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * DEEPEST + 2000))
 
+#: What is left of a growing text is as a rule no sound container if it is shorter.
+_SHORT = 64
 _STARTS = frozenset("{[snbzuw(")
 _NOISE = frozenset(".;+")
 _KEYS = frozenset("swnbzu")
@@ -320,6 +322,8 @@ class Renderer:
 
         skipped: how many characters of the document aren't in ``text`` (but for an opener put before the rest).
         """
+        if self.settling and len(text) - start < _SHORT:
+            return False
         found = sound.ahead(text, start)
         if not found:
             return False
@@ -355,10 +359,14 @@ class Renderer:
 
     def _members(self, level: _Level) -> bool:
         """Renders members until the closer (True) or until no more can be had (False)."""
-        keyed = level.keyed
+        keyed, scanner = level.keyed, self.scanner
         own = "}" if keyed else "]"
         while True:
-            self._settle()
+            if scanner.at >= scanner.end and self.next is None:
+                scanner.open = True
+                return False
+            if self.settling and not scanner.open:
+                self._settle()
             kind = self.peek(keyed)
             if not kind:
                 return False
