@@ -6,6 +6,10 @@ the oracle builds the clean text from the same columns. Every query runs over it
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -560,3 +564,69 @@ _case("options_masks", "events", "concat('[', event_id, ', [', user_id, ', {a: '
 _case("repair_into_mixed", "events", "CASE WHEN event_id % 3 = 0 THEN '   ' ELSE concat('{a: ', event_id) END", lambda c: fn.repair_into(F.concat(F.col("event_type"), F.lit(": ")), c), """event_type || ': ' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '{"a": ' || event_id || '}' END""")
 _case("validate_position", "events", """concat('["', event_type, CASE event_id % 3 WHEN 0 THEN '",, 1]' WHEN 1 THEN '" 1]' ELSE '", x]' END)""", lambda c: fn.validate(c)["error"]["position"], "CAST(CASE WHEN event_id % 3 = 1 THEN 1 ELSE length(event_type) + 5 END AS BIGINT)")
 _case("validate_kind", "events", """concat('["', event_type, CASE event_id % 3 WHEN 0 THEN '",, 1]' WHEN 1 THEN '" 1]' ELSE '", x]' END)""", lambda c: fn.validate(c)["error"]["kind"], "CASE event_id % 3 WHEN 0 THEN 'TrailingComma' WHEN 1 THEN 'UnexpectedEnd' ELSE 'UnquotedValue' END")
+
+
+# -- Structured Streaming over a table: state store, waiting chunks, watermarks
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, damage: Callable[[DataFrame], DataFrame], **more) -> DataFrame:
+    """Folds the stream of a table's files and reads what the sink has got when all were taken."""
+    folder = _scratch(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern, as a stream's plain path can't be a single file
+    folded = streaming.fold_stream(damage(stream), "conv_id", "seq", "chunk", **more)
+    running = folded.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(folded.schema).parquet(f"{folder}/out")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder of the one that the session names in ``spark.checkpoint.dir``; where it names none and runs on one machine, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="quillmend-")
+    folder = f"{shared.rstrip('/')}/quillmend/stream-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone when Python ends
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)
+    return folder
+
+
+_TURN = """concat(CASE WHEN turn = 0 THEN '[' ELSE ', ' END, "{role: '", role, "', n: ", length(text), '}')"""
+_TURN_SQL = """'{"role": "' || role || '", "n": ' || length(text) || '}'"""
+
+
+def stream_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as chunks of one damaged document, in a stateful stream."""
+    turns = lambda df: df.select("conv_id", F.col("turn").alias("seq"), F.expr(_TURN).alias("chunk"))
+    return _streamed(spark, sf_dir, "conversations", turns).select("conv_id", "seq", "accepted", "output", "error_kind")
+
+
+QUERIES["stream_structured"] = stream_structured
+ORACLE_SQL["stream_structured"] = f"SELECT conv_id, turn AS seq, true AS accepted, '[' || string_agg({_TURN_SQL}, ', ') OVER (PARTITION BY conv_id ORDER BY turn) || ']' AS output, CAST(NULL AS VARCHAR) AS error_kind FROM conversations"
+
+
+def stream_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second turn of every third conversation never comes: once the watermark has passed the third, the document goes on without it."""
+
+    def turns(df: DataFrame) -> DataFrame:
+        came = df.filter("NOT (conv_id % 3 = 1 AND turn = 1)")
+        return came.select("conv_id", F.col("turn").alias("seq"), F.expr(_TURN).alias("chunk"), F.expr("timestamp_seconds(CASE WHEN conv_id % 3 = 1 THEN turn ELSE 1000000 + turn END)").alias("time"))
+
+    return _streamed(spark, sf_dir, "conversations", turns, time="time", delay="1 minute").select("conv_id", "seq", "accepted", "output", "error_kind")
+
+
+QUERIES["stream_lost"] = stream_lost
+ORACLE_SQL["stream_lost"] = f"""
+WITH c AS (SELECT *, conv_id % 3 = 1 AND turn = 1 AS lost, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT conv_id, turn AS seq, NOT lost AS accepted, '[' || string_agg(CASE WHEN NOT lost THEN {_TURN_SQL} END, ', ') OVER (PARTITION BY conv_id ORDER BY turn) || ']' AS output,
+       CASE WHEN lost THEN 'LostChunk' END AS error_kind
+FROM c WHERE NOT (lost AND last = 1)
+"""
