@@ -227,3 +227,21 @@ def test_small_manifests(spark, n):
     assert len(got) == n and all(r.folded == m.root and r.size == (n > 1) + (n > 16) for r in got) and (m.root is None) == (n == 0)
     if n:
         assert m.root == _tree([_h(str(i)) for i in range(n)])[0]
+
+
+# -- places
+
+
+def test_places(spark):
+    """Gapless places in ascending order, nulls first, however the rows are dealt out; equal rows take any; none without rows."""
+    from quillmend.llm import common
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 2, 2, -5]), rng.choice([None, "a", "B", "é", ""]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a bigint, b string, i bigint").repartition(7)
+    got = sorted(common.placed(df, "a", "b").collect(), key=lambda r: r.place)
+    order = lambda r: (r.a is not None, r.a or 0, r.b is not None, (r.b or "").encode())
+    assert [r.place for r in got] == list(range(500)) and [order(r) for r in got] == sorted(order(r) for r in got) and sorted(r.i for r in got) == list(range(500))
+    assert common.placed(df.limit(0), "a").count() == 0
+    same = common.placed(spark.range(1000).select(F.lit(1).alias("a")), "a").collect()
+    assert sorted(r.place for r in same) == list(range(1000))
