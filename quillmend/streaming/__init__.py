@@ -1,3 +1,3 @@
 """Documents that arrive in chunks, in batch and in Structured Streaming."""
 
-from .fold import FoldProcessor, fold_batch, fold_state, fold_stream  # noqa: F401
+from .fold import FoldProcessor, fold_batch, fold_lists, fold_state, fold_stream  # noqa: F401

@@ -11,8 +11,9 @@ state store; with event time, a gap that the watermark has passed is closed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import try_repair
+from ..kernel.alike import Folds, folds
 from ..kernel.document import Escapes, Place, render
 from ..kernel.fold import Checkpoint, Fold
 from ..options import Options
 
-_FIELDS = ["accepted", "output", "keep", "text", "error_kind", "error_position"]
+_FIELDS = list(Folds.FIELDS)
 _ARROW = [pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 #: The column of event times in milliseconds.
 _TIME = "event_time_ms"
+_TYPES = dict(zip(["seq", *_FIELDS], "bigint boolean string bigint string string bigint".split(), strict=True))
 _OUT = "seq bigint, accepted boolean, output string, keep bigint, text string, error_kind string, error_position bigint"
 
 
@@ -36,34 +39,86 @@ def _frame(key: str, rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"seq": "int64", "keep": "int64", "accepted": bool, "error_position": "Int64"}) if rows else out
 
 
+def _texts(chunks: pa.Array) -> list[str]:
+    return chunks.fill_null("").to_numpy(zero_copy_only=False).tolist()
+
+
+def _others(keys: pa.Array) -> np.ndarray:
+    """For each key but the first whether it isn't the one before it."""
+    if pa.types.is_nested(keys.type) or pa.types.is_floating(keys.type):
+        values = keys.to_pylist()
+        return np.array([a != b for a, b in zip(values[1:], values, strict=False)], bool)
+    codes = keys.dictionary_encode("encode").indices.to_numpy()
+    return codes[1:] != codes[:-1]
+
+
 def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options = Options(), reset: str | None = None, whole: bool = True) -> DataFrame:  # noqa: B008
     """Rows (key, seq, accepted, output, keep, text, error_kind, error_position), a row a chunk.
 
     Chunks of a key go by seq. A null chunk is an empty one. Where the column ``reset`` is true, the
     document is forgotten before the chunk. Without ``whole`` the column ``output`` is null: the changes say
-    it all, and rows take space in proportion to their chunk instead of to the whole document.
+    it all, and rows take space in proportion to their chunk instead of to the whole document. Documents that are alike but for
+    their digits are folded once (:mod:`..kernel.alike`).
     """
     kind = dict(df.dtypes)[key]
     columns = [key, seq, chunk, *([reset] if reset else [])]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key and seq, a row out for each; only the present key's state is held."""
-        state, last = None, None
+        """Rows sorted by key and seq, a row out for each; only a batch and the state of the key at its end are held."""
+        alike, state, last = folds(options, whole), None, None
         for batch in batches:
-            keys, chunks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            forget = batch.column(3).to_pylist() if reset else [False] * len(keys)
-            rows = []
-            for k, c, f in zip(keys, chunks, forget, strict=True):
-                if state is None or k != last or f:
-                    state, last = Fold(options), k
-                rows.append(state.push(c or "", whole))
-            out = [pa.array([r[x] for r in rows], t) for x, t in zip(_FIELDS, _ARROW, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *out], names=[key, "seq", *_FIELDS])
+            chunks, n = _texts(batch.column(2)), batch.num_rows
+            if not n:
+                continue
+            begins = _others(batch.column(0))
+            forget = batch.column(3).fill_null(False).to_numpy(zero_copy_only=False) if reset else None
+            edges = [0, *(np.flatnonzero(begins if forget is None else begins | forget[1:]) + 1).tolist(), n]
+            out = {x: [] for x in _FIELDS}
+            for start, stop in zip(edges, edges[1:], strict=False):
+                goes_on = not start and state is not None and batch.column(0)[0].as_py() == last and not (reset and forget[0])
+                if goes_on or stop == n:  # the document may have begun before this batch, or end after it
+                    if not goes_on:
+                        state, last = Fold(options), batch.column(0)[start].as_py()
+                    for c in chunks[start:stop]:
+                        got = state.push(c, whole)
+                        for x in _FIELDS:
+                            out[x].append(got[x])
+                else:
+                    for x, column in alike.fold(chunks[start:stop]).items():
+                        out[x] += column
+            arrays = [pa.array(out[x], t) for x, t in zip(_FIELDS, _ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *arrays], names=[key, "seq", *_FIELDS])
 
     rows = df.select(*columns).repartition(key).sortWithinPartitions(key, seq)
     return rows.mapInArrow(fold, f"`{key}` {kind}, {_OUT}")
 
 
+def fold_lists(df: DataFrame, key: str, chunks: str, options: Options = Options(), whole: bool = True, fields: Sequence[str] = tuple(_TYPES)) -> DataFrame:  # noqa: B008
+    """The same for documents whose chunks are the array of a row already: rows (key, changes), a row a document, without a shuffle.
+
+    changes: an array of structs of the ``fields`` (of seq, accepted, output, keep, text, error_kind, error_position), one for each
+    chunk in turn; seq counts from 0. A null array has no chunks.
+    """
+    kind = dict(df.dtypes)[key]
+    types = dict(zip(["seq", *_FIELDS], [pa.int64(), *_ARROW], strict=True))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alike = folds(options, whole)
+        for batch in batches:
+            lists = batch.column(1)
+            given, out, ends = _texts(lists.flatten()), {x: [] for x in types}, [0]
+            for n in lists.value_lengths().to_pylist():
+                if n:
+                    done = alike.fold(given[ends[-1] : ends[-1] + n])
+                    for x in fields:
+                        out[x] += range(n) if x == "seq" else done[x]
+                ends.append(ends[-1] + (n or 0))
+            changes = pa.StructArray.from_arrays([pa.array(out[x], types[x]) for x in fields], fields=[pa.field(x, types[x]) for x in fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), changes)], names=[key, "changes"])
+
+    return df.select(key, chunks).mapInArrow(fold, f"`{key}` {kind}, changes array<struct<{', '.join(f'{x}: {_TYPES[x]}' for x in fields)}>>")
+
+
 #: The checkpoint in the state store: the next turn; the chunk with which what isn't settled begins and how many of its characters are; when a timer was set; and a
 #: :class:`..kernel.fold.Checkpoint` (``levels`` is ``-`` where there is no place).
 _AT = "next bigint, first bigint, skip bigint, timer bigint, levels string, values bigint, deepest bigint, prose boolean, before bigint, done bigint, length bigint, wrapped boolean, twice boolean, escaped boolean, raw boolean, waiting boolean"
