@@ -157,3 +157,23 @@ def test_state_as_a_table(spark, tmp_path):
 def test_time_and_idle_exclude_each_other(spark):
     with pytest.raises(ValueError, match="one of them"):
         streaming.fold_stream(spark.range(1), "id", "id", "id", idle_ms=5, time="t")
+
+
+def test_chunks_in_turn_never_wait_in_the_store():
+    """Chunks of a batch whose turn it is are written once, as chunks; only those that come early are kept as waiting ones."""
+    import pandas as pd
+
+    from quillmend.options import Options
+    from quillmend.streaming.fold import FoldProcessor
+
+    def batch(seqs, chunks):
+        processor = FoldProcessor("k", "s", "c", Options())
+        processor.init(handle)
+        return [r for f in processor.handleInputRows(("x",), iter([pd.DataFrame({"s": seqs, "c": chunks})]), None) for r in f.to_dict("records")]
+
+    handle = _Handle()
+    assert [r["output"] for r in batch([1, 0, 2], ["1, ", "[", "2"])][-1] == "[1, 2]"
+    assert handle.states["waiting"].written == 0 and len(handle.states["chunks"].d) == 3
+    assert batch([5, 4], ["5", "4, "]) == [] and sorted(handle.states["waiting"].d) == [(4,), (5,)]
+    assert [(r["seq"], r["output"]) for r in batch([3, 0], [", 3, ", "late"])] == [(0, "[1, 2]"), (3, "[1, 2, 3]"), (4, "[1, 2, 3, 4]"), (5, "[1, 2, 3, 4, 5]")]
+    assert not handle.states["waiting"].d
