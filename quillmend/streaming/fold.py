@@ -16,18 +16,21 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import try_repair
-from ..kernel.alike import Folds, folds
+from ..kernel.alike import CUT, LONG, Folds, folds
 from ..kernel.document import Escapes, Place, render
 from ..kernel.fold import Checkpoint, Fold
 from ..options import Options
 
 _FIELDS = list(Folds.FIELDS)
-_ARROW = [pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+_ARROW = dict(zip(["seq", *_FIELDS], [pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True))
+#: Documents are folded together as long as the sum of their bytes times chunks, which is about what comes out, is at most so much.
+_TOGETHER = 1 << 27
 #: The column of event times in milliseconds.
 _TIME = "event_time_ms"
 _TYPES = dict(zip(["seq", *_FIELDS], "bigint boolean string bigint string string bigint".split(), strict=True))
@@ -47,6 +50,68 @@ def _texts(chunks: pa.Array) -> list[str]:
     return chunks.fill_null("").to_numpy(zero_copy_only=False).tolist()
 
 
+def _sizes(offsets: np.ndarray, chunks: pa.Array) -> np.ndarray:
+    """Bytes of documents that begin at the offsets."""
+    return np.diff(np.concatenate([[0], np.cumsum(pc.binary_length(chunks).to_numpy().astype(np.int64))])[offsets])
+
+
+def _groups(offsets: np.ndarray, chunks: pa.Array) -> list[tuple[int, int]]:
+    """From where to where documents are folded together."""
+    grown = np.cumsum(_sizes(offsets, chunks) * np.diff(offsets)) // _TOGETHER
+    edges = [0, *(np.flatnonzero(np.diff(grown)) + 1).tolist(), len(grown)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _flat(bases: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """base, base + 1, ... for each document, as many as it has chunks."""
+    before = np.cumsum(counts) - counts
+    return pa.array(np.repeat(bases - before, counts) + np.arange(counts.sum()))
+
+
+def _changes(alike: Folds, offsets: np.ndarray, chunks: pa.Array, fields: Sequence[str]) -> dict[str, pa.Array]:
+    """What each of the chunks does, of documents that begin at the offsets; those of a shape are filled in together."""
+    counts = np.diff(offsets)
+    short = np.flatnonzero((counts > 0) & (_sizes(offsets, chunks) + counts - 1 <= LONG))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), chunks).take(pa.array(short)), CUT)
+    starts = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy().astype(np.int64))])
+    data = np.frombuffer(joined.buffers()[2], np.uint8, starts[-1]) if starts[-1] else np.zeros(0, np.uint8)
+    groups: dict = {}
+    plain = set(np.flatnonzero(counts > 0).tolist())
+    for i, (kept, document) in enumerate(zip(alike.shapes(data, starts, counts[short].tolist()), short.tolist(), strict=True)):
+        if kept:
+            groups.setdefault(kept, []).append(i)
+            plain.discard(document)
+    # where the rows of each document begin, in what is the same for a shape and in the texts
+    same, texts, outputs = (np.zeros(len(counts), np.int64) for _ in range(3))
+    columns, rows, lengths, n, pieces = {x: [] for x in fields if x not in ("seq", "text", "output")}, [], [np.zeros(1, np.int64)], 0, 0
+    for kept, members in groups.items():
+        documents = short[members]
+        rows.append(kept.filled(data, starts[members]).ravel())
+        lengths.append(np.tile(kept.lengths, len(members)))
+        same[documents] = n
+        texts[documents] = pieces + np.arange(len(members)) * len(kept.lengths)
+        outputs[documents] = texts[documents] + kept.chunks
+        n, pieces = n + kept.chunks, pieces + len(lengths[-1])
+        for x, column in columns.items():
+            column += kept.columns[x]
+    ends = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+    strings = [pa.StringArray.from_buffers(pieces, pa.py_buffer(ends), pa.py_buffer(np.concatenate([*rows, np.zeros(0, np.uint8)])))]
+    for document in sorted(plain):
+        done = alike._plainly(chunks[offsets[document] : offsets[document + 1]].to_pylist())
+        came = [*done["text"], *(done["output"] if alike.whole else [])]
+        same[document], texts[document], outputs[document] = n, pieces, pieces + counts[document]
+        n, pieces = n + int(counts[document]), pieces + len(came)
+        strings.append(pa.array(came, pa.string()))
+        for x, column in columns.items():
+            column += done[x]
+    pool = pa.concat_arrays(strings)
+    found = {x: pa.array(column, _ARROW[x]).take(_flat(same, counts)) for x, column in columns.items()}
+    found["seq"] = _flat(np.zeros(len(counts), np.int64), counts)
+    found["text"] = pool.take(_flat(texts, counts)) if "text" in fields else None
+    found["output"] = (pool.take(_flat(outputs, counts)) if alike.whole else pa.nulls(len(chunks), pa.string())) if "output" in fields else None
+    return {x: found[x] for x in fields}
+
+
 def _others(keys: pa.Array) -> np.ndarray:
     """For each key but the first whether it isn't the one before it."""
     if pa.types.is_nested(keys.type) or pa.types.is_floating(keys.type):
@@ -70,27 +135,31 @@ def fold_batch(df: DataFrame, key: str, seq: str, chunk: str, options: Options =
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key and seq, a row out for each; only a batch and the state of the key at its end are held."""
         alike, state, last = folds(options, whole), None, None
+
+        def pushed(texts: list[str]) -> list[pa.Array]:
+            rows = [state.push(c, whole) for c in texts]
+            return [pa.array([r[x] for r in rows], _ARROW[x]) for x in _FIELDS]
+
         for batch in batches:
-            chunks, n = _texts(batch.column(2)), batch.num_rows
+            n = batch.num_rows
             if not n:
                 continue
-            begins = _others(batch.column(0))
+            keys, chunks = batch.column(0), batch.column(2).fill_null("")
+            begins = _others(keys)
             forget = batch.column(3).fill_null(False).to_numpy(zero_copy_only=False) if reset else None
             edges = [0, *(np.flatnonzero(begins if forget is None else begins | forget[1:]) + 1).tolist(), n]
-            out = {x: [] for x in _FIELDS}
-            for start, stop in zip(edges, edges[1:], strict=False):
-                goes_on = not start and state is not None and batch.column(0)[0].as_py() == last and not (reset and forget[0])
-                if goes_on or stop == n:  # the document may have begun before this batch, or end after it
-                    if not goes_on:
-                        state, last = Fold(options), batch.column(0)[start].as_py()
-                    for c in chunks[start:stop]:
-                        got = state.push(c, whole)
-                        for x in _FIELDS:
-                            out[x].append(got[x])
-                else:
-                    for x, column in alike.fold(chunks[start:stop]).items():
-                        out[x] += column
-            arrays = [pa.array(out[x], t) for x, t in zip(_FIELDS, _ARROW, strict=True)]
+            parts, first, end = [], 0, edges[-2]
+            if state is not None and keys[0].as_py() == last and not (reset and forget[0]):  # goes on from the batch before
+                first = edges[1]
+                parts.append(pushed(_texts(chunks[:first])))
+            if first < end:
+                middle = [e for e in edges if first <= e <= end]
+                done = _changes(alike, np.array(middle) - first, chunks[first:end], _FIELDS)
+                parts.append([done[x] for x in _FIELDS])
+            if first < n:  # the last document may go on in the next batch
+                state, last = Fold(options), keys[end].as_py()
+                parts.append(pushed(_texts(chunks[end:])))
+            arrays = [pa.concat_arrays(x) for x in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *arrays], names=[key, "seq", *_FIELDS])
 
     rows = df.select(*columns).repartition(key).sortWithinPartitions(key, seq)
@@ -104,21 +173,17 @@ def fold_lists(df: DataFrame, key: str, chunks: str, options: Options = Options(
     chunk in turn; seq counts from 0. A null array has no chunks.
     """
     kind = dict(df.dtypes)[key]
-    types = dict(zip(["seq", *_FIELDS], [pa.int64(), *_ARROW], strict=True))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alike = folds(options, whole)
         for batch in batches:
-            lists = batch.column(1)
-            given, out, ends = _texts(lists.flatten()), {x: [] for x in types}, [0]
-            for n in lists.value_lengths().to_pylist():
-                if n:
-                    done = alike.fold(given[ends[-1] : ends[-1] + n])
-                    for x in fields:
-                        out[x] += range(n) if x == "seq" else done[x]
-                ends.append(ends[-1] + (n or 0))
-            changes = pa.StructArray.from_arrays([pa.array(out[x], types[x]) for x in fields], fields=[pa.field(x, types[x]) for x in fields])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), changes)], names=[key, "changes"])
+            counts = batch.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            given, offsets = batch.column(1).flatten().fill_null(""), np.concatenate([[0], np.cumsum(counts)])
+            for start, stop in _groups(offsets, given):
+                ends = offsets[start : stop + 1] - offsets[start]
+                done = _changes(alike, ends, given[offsets[start] : offsets[stop]], fields)
+                changes = pa.StructArray.from_arrays(list(done.values()), fields=[pa.field(x, _ARROW[x]) for x in fields])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), changes)], names=[key, "changes"])
 
     return df.select(key, chunks).mapInArrow(fold, f"`{key}` {kind}, changes array<struct<{', '.join(f'{x}: {_TYPES[x]}' for x in fields)}>>")
 

@@ -1,5 +1,7 @@
 """Plans and work of the queries that grew too fast: every text is read once, by as many tasks as there are, and folds of like documents are shared."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 
@@ -7,6 +9,7 @@ from quillmend import streaming
 from quillmend.kernel import alike
 from quillmend.kernel.fold import Fold
 from quillmend.plans import QUERIES
+from quillmend.streaming import fold
 
 
 def _plan(df) -> str:
@@ -53,6 +56,26 @@ def test_like_documents_are_folded_once(spark, name, monkeypatch):
     assert len(pushed) < sum(map(len, given["lists"])) / 2
 
 
+@pytest.mark.parametrize("name", [*_ONCE, "stream_verdict", "stream_fold"])
+def test_like_documents_are_filled_in_together(spark, name, monkeypatch):
+    """A batch of the query's documents: no chunk of a known shape becomes an object of Python, and the columns are the same."""
+    given = {}
+    monkeypatch.setattr(streaming, "fold_lists", lambda df, key, chunks, **more: given.update(lists=[r[0] for r in df.select(chunks).collect()]) or _Stop.raised())
+    monkeypatch.setattr(streaming, "fold_batch", lambda df, key, seq, chunk, **more: given.update(lists=_lists(df.select(key, seq, chunk).collect())) or _Stop.raised())
+    with pytest.raises(_Stop):
+        QUERIES[name](spark, DATA)
+    lists, folds = given["lists"], alike.Folds()
+    offsets, chunks = np.cumsum([0, *map(len, lists)]), pa.array([c for x in lists for c in x], pa.string())
+    fold._changes(folds, offsets, chunks, folds.FIELDS)
+    plainly, single = folds._plainly, []
+    monkeypatch.setattr(folds, "_plainly", lambda x: single.append(x) or plainly(x))
+    got = fold._changes(folds, offsets, chunks, folds.FIELDS)
+    assert len(single) < len(lists) / 4
+    expected = [plainly(x) for x in lists]
+    for field in folds.FIELDS:
+        assert got[field].to_pylist() == [v for x in expected for v in x[field]]
+
+
 class _Stop(Exception):
     @classmethod
     def raised(cls):
